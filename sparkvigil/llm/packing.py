@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-_SPACE = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
-_CACHED_CHARS, _CACHED_WORDS = 64, 400_000
+#: What Python's split() drops and the tokenizers keep.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Runs of plain letters, then of plain marks: each is one word to the tokenizer, whatever stands around it.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#%&$|]*)")
+_LONGEST, _KEPT, _RECENT = 64, 500_000, 100_000
 
 
 def default_tokenizer() -> str:
@@ -36,30 +41,49 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {"": b""}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._kept: dict[str, bytes] = {}
+        self._recent: dict[str, bytes] = {}
+        self._letters: dict[str, bytes] = {}
 
-    def _encode(self, runs: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+    def _own(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, runs: list[str]) -> dict[str, bytes]:
+        """Runs of letters and marks are encoded as two words, and without regard to case."""
+        parts = {r: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(r)) else (r, "") for r in runs}
+        if len(self._letters) > _KEPT:
+            self._letters.clear()
+        known = self._letters
+        missing = list({w for pair in parts.values() for w in pair if w not in known})
+        known.update(zip(missing, self._own(missing), strict=True))
+        return {r: known[a] + known[b] for r, (a, b) in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_SPACE).split(" ") for t in texts]
-        if len(self._known) > _CACHED_WORDS:
-            self._known = {"": b""}
-        known, seen = self._known, set()
-        for runs in split:
-            seen.update(runs)
-        missing = [r for r in seen if r not in known]
-        once = {}
-        for run, ids in zip(missing, self._encode(missing), strict=True):
-            (known if len(run) <= _CACHED_CHARS else once)[run] = ids
-        if once:
-            return [b"".join([known[r] if r in known else once[r] for r in runs]) for runs in split]
-        return [b"".join(map(known.__getitem__, runs)) for runs in split]
+        split = [_SPACE.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
+        if len(self._recent) > _RECENT:
+            self._recent.clear()
+        get = self._kept.get
+        found = [list(map(get, runs)) for runs in split]
+        get = self._recent.get
+        for runs, ids in zip(split, found, strict=True):
+            if None in ids:
+                ids[:] = [get(r) if x is None else x for r, x in zip(runs, ids, strict=True)]
+        missing = {r for runs, ids in zip(split, found, strict=True) if None in ids for r, x in zip(runs, ids, strict=True) if x is None}
+        fresh = self._encode(list(missing)) if missing else {}
+        out = [b"".join([fresh[r] if x is None else x for r, x in zip(runs, ids, strict=True)] if None in ids else ids) for runs, ids in zip(split, found, strict=True)]
+        (self._kept if len(self._kept) < _KEPT else self._recent).update((r, x) for r, x in fresh.items() if len(r) <= _LONGEST)
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One for each path and process, so that tasks find what those before have encoded."""
+    return _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
+
+
 def _batches(texts: list[str], chars: int = 1 << 20):
     """(first, texts) of about so many characters each."""
     at = size = 0
@@ -82,7 +106,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, en
     path = tokenizer or default_tokenizer()
 
     def each(batches):
-        own = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
+        from sparkvigil.llm import packing  # the module of this process, not a copy sent with the task
+
+        own = packing.tokenizer_at(path)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
