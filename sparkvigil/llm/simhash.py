@@ -95,7 +95,7 @@ def near_links(fps: DataFrame, most: int = 4, bucket: int = 48) -> DataFrame:
     flips = [0, *(_signed(sum(1 << i for i in c)) for r in range(1, most // 2 + 1) for c in combinations(range(64), r))]
     balls = hot.select("fp", F.explode(_constants(flips)).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
     least = cut(balls.groupBy("z").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").select("z", "b"), "balls")
-    met = balls.join(least, "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    met = balls.join(least.hint("merge"), "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(met).distinct()
 
 
