@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut
 from .learning import SAMPLE, held_out, labelled_sample
+from .quality import AdditiveModel, fit
 
 TERMS, CONTEXTS, WINDOW = 2000, 500, 4
 #: Prefixes of these lengths are candidate stems; whole words of any length are candidates.
@@ -130,15 +132,15 @@ class Match:
 class Finder:
     """Matches of a lexicon in texts; tokens seen before are remembered, within a bound."""
 
-    def __init__(self, terms: list[str]):
-        self._automaton = LexiconAutomaton(terms)
+    def __init__(self, terms: list[str], benign: frozenset[str] = frozenset()):
+        self._automaton, self._benign = LexiconAutomaton(terms), benign
         self._seen: dict[str, str | None] = {}
 
     def _key(self, token: str) -> str | None:
         if token not in self._seen:
             if len(self._seen) > 300_000:
                 self._seen.clear()
-            hit = self._automaton.match(token)
+            hit = None if token in self._benign else self._automaton.match(token)
             self._seen[token] = f"{hit[0]}~{hit[1]}" if hit else None
         return self._seen[token]
 
@@ -177,21 +179,32 @@ def _quoted(text: str) -> list[tuple[int, int]]:
 @dataclass
 class ToxicityModel:
     terms: list[str]
+    benign: frozenset[str] = frozenset()
     prior: float = 0.0
     unmatched: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
     contexts: dict[str, float] = field(default_factory=dict)
     quoted: tuple[float, float] = (0.0, 0.0)  # outside, inside quotation marks
 
-    def score(self, matches: list[Match]) -> float:
+    shape: AdditiveModel | None = None
+
+    def features(self, text: str, matches: list[Match]) -> list[float]:
         """Each term counts once, at its most damning place; the window's words and quotation marks shift it."""
         best: dict[str, float] = {}
         for m in matches:
             around = max(-3.0, min(3.0, sum(self.contexts.get(w, 0.0) for w in m.around)))
             value = self.weights.get(m.key, 0.0) + around + self.quoted[m.quoted]
             best[m.key] = max(value, best.get(m.key, -99.0))
-        logit = self.prior + (sum(best.values()) if best else self.unmatched)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+        top = sorted(best.values(), reverse=True)
+        words = math.log1p(text.count(" ") + text.count("\n"))
+        return [top[0] if top else self.unmatched, sum(x for x in top if x > 0), float(len(top)), sum(top) / (1 + words), words, sum(top[:2])]
+
+    def scores(self, texts: list[str], finder: Finder) -> np.ndarray:
+        """From the evidence of the terms, in a text of its length, by shapes fitted on the sample."""
+        if self.shape is None:
+            return np.full(len(texts), 1 / (1 + math.exp(-self.prior)))
+        x = np.array([self.features(t, finder.matches(t)) for t in texts], np.float64).reshape(len(texts), 6)
+        return self.shape.score(x)
 
 
 def _sums(sample: DataFrame, count) -> DataFrame:
@@ -216,24 +229,45 @@ def _frame(sums: Counter) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "key", "toxic", "clean"])
 
 
-def _candidates(text: str) -> set[tuple[str, str]]:
-    words = set(_WORD.findall(text.lower()))
-    return {("term", w) for w in words} | {("term", w[:n] + "*") for w in words for n in _STEMS if n <= len(w)} | {("all", "")}
+def _words(text: str) -> set[tuple[str, str]]:
+    return {("word", w) for w in _WORD.findall(text.lower())} | {("all", "")}
+
+
+def _candidates(benign: frozenset[str]):
+    def count(text: str) -> set[tuple[str, str]]:
+        words = set(_WORD.findall(text.lower())) - benign
+        return {("term", w) for w in words} | {("term", w[:n] + "*") for w in words for n in _STEMS if n <= len(w)} | {("all", "")}
+
+    return count
 
 
 def _covers(stem: str, term: str) -> bool:
     return stem.endswith("*") and term.rstrip("*").startswith(stem[:-1])
 
 
-def learn_lexicon(sample: DataFrame, precision: float = 0.4, evidence: float = 22.0) -> list[str]:
-    """Terms that mark toxic documents: words, and stems as ``stem*``.
+def benign_words(sample: DataFrame, least: int = 3, most: int = 100_000) -> frozenset[str]:
+    """Words of at least ``least`` clean documents which toxic ones hold hardly more often; the ``most`` commonest.
+
+    They match no stem and nothing by error, whatever they look like.
+    """
+    counts = cut(_sums(sample, _words), "words")
+    base = counts.where("kind = 'all'").first()
+    if base is None:
+        return frozenset()
+    share = max(0.3, 2 * base.toxic / (base.toxic + base.clean))
+    usual = counts.where((F.col("kind") == "word") & (F.col("clean") >= least) & (F.col("toxic") <= share * (F.col("toxic") + F.col("clean"))))
+    return frozenset(r.key for r in usual.orderBy(F.col("clean").desc(), "key").limit(most).select("key").collect())
+
+
+def learn_lexicon(sample: DataFrame, benign: frozenset[str] = frozenset(), precision: float = 0.5, evidence: float = 22.0) -> list[str]:
+    """Terms that mark toxic documents: words, and stems as ``stem*``, of words that aren't benign.
 
     A candidate needs a toxic share of ``precision`` among the documents that
     hold it and a log-likelihood ratio of ``evidence`` against the base rate; at most TERMS, the
     strongest, come to the driver. Of a stem and the longer stems and words that begin with it, the
     strongest stays; of equals, the word, then the longest stem.
     """
-    counts = cut(_sums(sample, _candidates), "terms")
+    counts = cut(_sums(sample, _candidates(benign)), "terms")
     base = counts.where("kind = 'all'").first()
     if base is None or not base.toxic or not base.clean:
         return []
@@ -274,12 +308,13 @@ def _once(make):
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE, smooth: float = 20.0) -> ToxicityModel:
     """Fits on at most ``limit`` labelled documents. Only counts of terms, and of the commonest words around them, come to the driver."""
     sample = cut(labelled_sample(docs, labels, column, limit).dropDuplicates(["doc_id"]), "sample")
-    terms = learn_lexicon(sample)
-    counts = cut(_sums(sample, _evidence(_once(lambda: Finder(terms)))), "evidence")
+    benign = benign_words(sample)
+    terms = learn_lexicon(sample, benign)
+    counts = cut(_sums(sample, _evidence(_once(lambda: Finder(terms, benign)))), "evidence")
     known = {(r.kind, r.key): (r.toxic, r.clean) for r in counts.where("kind <> 'around'").collect()}
     around = counts.where("kind = 'around'").orderBy((F.col("toxic") + F.col("clean")).desc(), "key").limit(CONTEXTS).collect()
     toxic, clean = known.get(("all", ""), (0, 0))
-    model = ToxicityModel(terms, prior=math.log((toxic + 1) / (clean + 1)))
+    model = ToxicityModel(terms, benign, prior=math.log((toxic + 1) / (clean + 1)))
 
     def ratio(t: float, c: float) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
@@ -294,17 +329,28 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
 
     model.contexts = {r.key: within(r.toxic, r.clean) for r in around}
     model.quoted = tuple(within(*known.get(("quoted", str(q)), (0, 0))) for q in (False, True))
+    if toxic and clean:
+        finder = _once(lambda: Finder(model.terms, model.benign))
+
+        def each(frames):
+            for pdf in frames:
+                x = [model.features(t, finder().matches(t)) for t in pdf["text"]]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"]} | {f"f{i}": [r[i] for r in x] for i in range(6)})
+
+        names = [f"f{i}" for i in range(6)]
+        rows = sample.mapInPandas(each, "doc_id bigint, y int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values("doc_id", ignore_index=True)
+        model.shape = fit(rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64), cycles=60, pair_cycles=20, pairs=3)
     return model
 
 
 def scored(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1 of each whole text; null texts count as empty."""
-    at, finder = docs.columns.index("text"), _once(lambda: Finder(model.terms))
+    at, finder = docs.columns.index("text"), _once(lambda: Finder(model.terms, model.benign))
 
     def each(batches):
         for batch in batches:
-            scores = [model.score(finder().matches(t or "")) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+            scores = model.scores([t or "" for t in batch.column(at).to_pylist()], finder())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
