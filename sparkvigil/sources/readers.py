@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import json
 import zipfile
 from datetime import UTC, datetime, timedelta
@@ -15,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ALARM_COLUMNS = {"alarm_id", "timestamp", "host", "service", "severity", "alarm_type"}
 INVENTORY_COLUMNS = {"host", "servis", "veri_merkezi", "kabin", "ortam", "is_kritikligi"}
 DEPENDENCY_COLUMNS = {"kaynak_servis", "hedef_servis", "bagimlilik_tipi", "kritiklik"}
-PACKAGE_SEVERITY = {1: "CRITICAL", 2: "ERROR", 3: "WARNING", 4: "INFO", 5: "DEBUG"}
+PACKAGE_SEVERITY = {1: "INFO", 2: "WARNING", 3: "WARNING", 4: "ERROR", 5: "CRITICAL"}
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,27 +27,40 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def package(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(alarms, inventory, dependencies) of a ZIP of JSON lists: told apart by their columns, not their names.
+    """(alarms, inventory, dependencies) of a ZIP of JSON lists and CSV files, told apart by their columns, not their names.
 
     A package is a small file that operators upload. The first alarm file counts, and the last of the others.
+    Values are text; nested ones are JSON.
     """
     alarms = inventory = dependencies = None
     with zipfile.ZipFile(path) as z:
-        for name in sorted(n for n in z.namelist() if n.endswith(".json")):
-            rows = json.loads(z.read(name))
+        for name in sorted(z.namelist()):
+            text = z.read(name).decode("utf-8-sig", "replace")
+            rows = json.loads(text) if name.endswith(".json") else list(csv.DictReader(io.StringIO(text))) if name.endswith(".csv") else []
             if not isinstance(rows, list) or not rows or not isinstance(rows[0], dict):
                 continue
             have = set(rows[0])
-            df = lambda: spark.createDataFrame([{k: None if v is None else v if isinstance(v, (int, float, dict)) else str(v) for k, v in r.items()} for r in rows])  # noqa: B023, E731
             if ALARM_COLUMNS <= have:
-                alarms = df() if alarms is None else alarms
+                alarms = alarms or rows
             elif INVENTORY_COLUMNS <= have:
-                inventory = df()
+                inventory = rows
             elif DEPENDENCY_COLUMNS <= have:
-                dependencies = df()
+                dependencies = rows
     if alarms is None:
         raise ValueError("the package holds no alarm file")
-    return alarms, inventory, dependencies
+    return _frame(spark, alarms), inventory and _frame(spark, inventory), dependencies and _frame(spark, dependencies)
+
+
+def _frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    said = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return spark.createDataFrame([tuple(said(r.get(k)) for k in names) for r in rows], ", ".join(f"`{k}` string" for k in names))
+
+
+def quality(alarms: DataFrame, inventory: DataFrame) -> DataFrame:
+    """One row: alarms, those without inventory, and those whose service differs from it."""
+    met = host_enriched(alarms, inventory)
+    return met.agg(F.count("*").alias("alarms"), F.count_if(F.col("inventory_missing")).alias("missing"), F.count_if(F.trim("service") != F.trim("inv_servis")).alias("service_differs"))
 
 
 def host_enriched(alarms: DataFrame, inventory: DataFrame, host: str = "host", also: str = "host") -> DataFrame:
