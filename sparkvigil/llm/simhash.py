@@ -134,7 +134,7 @@ def keep_one(docs: DataFrame, most: int = 4, words_each: int = 4) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    keep = components(docs, most, words_each).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = cut(components(docs, most, words_each).select(F.col("component_id").alias("_keep")).distinct(), "keep")
+    kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     one = W.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")))).orderBy(F.col("text").isNull())
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
