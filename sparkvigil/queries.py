@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import times
-from .operators import baseline, graph, incidents, monitor, parse, segment, signals
+from .functions.generalise import generalise
+from .operators import baseline, evidence, graph, incidents, monitor, parse, segment, signals
 from .plans.pipeline import downstream
 from .sources.readers import host_enriched
 
@@ -330,6 +331,19 @@ def incident_plans(spark, sf_dir):
     return _findings(spark, sf_dir).plans
 
 
+@_query()
+def evidence_packs(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    return evidence.packs(f.incidents, f.signals, f.edges, f.roots)
+
+
+@_query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'stored block rdd_<ID>' WHEN 1 THEN 'to db.example.com:5432 at /data/subdir<ID>/x' ELSE 'phase_2 done' END AS template FROM events".replace("db.example.com:5432", "<ID>:<NUM>"))
+def structural_templates(spark, sf_dir):
+    kind, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    said = F.when(kind == 0, F.concat(F.lit("stored block rdd_"), user)).when(kind == 1, F.concat(F.lit("to db.example.com:5432 at /data/subdir"), user, F.lit("/x"))).otherwise("phase_2 done")
+    return _events(spark, sf_dir).select("event_id", generalise(said)["template"].alias("template"))
+
+
 _OWNER_TEXTS = ("sqlalchemy deadlock", "connection refused by peer", "container oomkilled", "nosuchkey in bucket", "traceback of keyerror", "nothing known")
 
 
