@@ -163,10 +163,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     _, _, drawn, pieces = plan(docs, weights, block)
     met = pieces.hint("merge").join(drawn.select("sid", "block", "epoch"), ["sid", "block"])
     ranges = met.groupBy("sid", "start", "doc_id", "tie", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"))
-    texts = docs.withColumn("_tie", row_hash(docs)).withColumn("_key", F.col("doc_id").cast("bigint"))
+    # the key is never null (tie tells null from 0), so that the join takes the window's exchange of the texts
+    texts = docs.withColumn("_tie", row_hash(docs)).withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
     copy = F.sum(F.lit(1)).over(W.partitionBy("_key", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow))
     texts = texts.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
-    chosen = texts.join(ranges.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie2"), "ranges"), F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_tie2")))
+    chosen = texts.join(ranges.select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("tie").alias("_tie"), "ranges").hint("merge"), ["_key", "_tie"])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     whole = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), ""))[0]
     chosen = chosen.withColumn("text", whole)
