@@ -68,7 +68,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame) -> DataFrame:
     drops = cut(repeated_lines(docs), "drops")
     marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    met = marked.join(drops.select(F.col("hash").alias("_of"), F.col("drops").alias("_drops")), F.col("_hash") == F.col("_of"), "left")
+    # merged at any size: no switch from broadcasting to shuffling the texts as the corpus grows
+    met = marked.join(drops.select(F.col("hash").alias("_of"), F.col("drops").alias("_drops")).hint("merge"), F.col("_hash") == F.col("_of"), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     left = _let(lines, lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("_drops")), lambda i: F.get(w, i)), "\n"))
     return met.withColumn("_left", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(left))
