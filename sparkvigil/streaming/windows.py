@@ -28,14 +28,14 @@ SEGMENTS = "stream string, event_no bigint, text string, line_count int, emissio
 _STATE = "number bigint, lines array<string>, seen boolean"
 
 
-def segments(classified: DataFrame, idle: str = "10 minutes") -> DataFrame:
+def segments(classified: DataFrame, idle: str | None = "10 minutes") -> DataFrame:
     """Events of streams of lines (stream, ordinal, line, header): a header ends what is pending; so does ``idle`` time without lines.
 
-    State is the one pending event of each stream. Lines of a batch are taken in the order of ordinal.
+    State is the one pending event of each stream. Lines of a batch are taken in the order of ordinal. Spark keeps running
+    batches while a time-out may come, so a query that should end by itself (availableNow) needs ``idle=None``.
     """
     millis = {"second": 1_000, "minute": 60_000, "hour": 3_600_000}
-    n, unit = idle.split()
-    wait = int(n) * millis[unit.rstrip("s")]
+    wait = int(idle.split()[0]) * millis[idle.split()[1].rstrip("s")] if idle else None
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
@@ -55,10 +55,11 @@ def segments(classified: DataFrame, idle: str = "10 minutes") -> DataFrame:
                     pending, number = [], number + 1
                 pending.append(line)
             state.update((number, pending, True))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["stream", "event_no", "text", "line_count", "emission_reason"])
 
-    return classified.groupBy("stream").applyInPandasWithState(each, SEGMENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return classified.groupBy("stream").applyInPandasWithState(each, SEGMENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def to_table(stream: DataFrame, path: str, query: str, checkpoint: str):
