@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, components."""
+"""Near-duplicates: SimHash fingerprints and pigeonhole blocks, or Jaccard similarity and bands; components."""
 
 from __future__ import annotations
 
@@ -14,20 +14,29 @@ from .common import cut
 from .components import connected_components
 
 SEED = 42
+#: Least values of the shingle sets, ROWS to a band: two sets of similarity 0.8 share no band with a probability of 3.2e-6.
+BANDS, ROWS = 24, 4
+_DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+_TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
-def simhash64(text: str | None, words_each: int = 4) -> int:
-    """Majority of the bits of the XXH64 of all word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, words_each: int = 4) -> np.ndarray:
+    """The XXH64 of all word shingles, in order; that of the whole of a shorter text; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
+    digest = xxhash.xxh64_intdigest
     if n <= words_each:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = [0, *ends[: n - words_each].tolist()]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def simhash64(text: str | None, words_each: int = 4) -> int:
+    """Majority of the bits of the XXH64 of all word shingles; 0 for a text without words."""
+    h = shingle_hashes(text, words_each)
     count = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -126,15 +135,88 @@ def hex16(name: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, most: int = 4, words_each: int = 4) -> DataFrame:
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each of BANDS choices of ROWS least values of the set ``h``; sets of similarity J share each with probability J^ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[at : at + 4096] * _TIMES + _PLUS).min(axis=1))
+    return [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _shingled(docs: DataFrame, words_each: int, whole: bool) -> DataFrame:
+    """(doc, text_hash, node, n, and the band keys or, if ``whole``, the set itself) of each row of (doc, text_hash, text); a text without words has neither."""
+    name = "items" if whole else "keys"
+
+    def each(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words_each)) for t in batch.column("text").to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            lists = sets if whole else [np.array(band_keys(h) if len(h) else [], np.uint64) for h in sets]
+            offsets = np.cumsum([0, *map(len, lists)])
+            values = pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64))
+            columns = [batch.column("doc"), batch.column("text_hash"), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "node", "n", name])
+
+    return docs.mapInArrow(each, f"doc bigint, text_hash bigint, node bigint, n int, {name} array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of at least ``similar``."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    return both.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similar).select("a", "b")
+
+
+def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
+    """(doc_id, component_id): one row for each row of ``docs``.
+
+    component_id is the least doc_id that links reach; texts link if the Jaccard similarity of
+    their sets of word shingles is at least ``similar``. Texts of one set are one node, those without words too.
+    Candidates share a band key; each link is verified on the whole sets. The members of a bucket
+    meet its least one first; then only pairs that no links connect yet.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = cut(_shingled(rows, words_each, whole=False), "bands")
+    keyed = marked.select("node", "n", "text_hash", F.explode("keys").alias("key"))
+    keyed = keyed.groupBy("key", "node", "n").agg(F.min("text_hash").alias("text_hash"))
+    keyed = cut(keyed, "keyed")
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.min_by("n", "node").alias("m")).where("b <> top")
+    shared = cut(keyed.join(least.select("key", "b", "m"), "key"), "buckets")
+    texts = shared.groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    held = rows.join(texts.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    sets = cut(_shingled(held.select("doc", "text_hash", "text"), words_each, whole=True).select("node", "items").dropDuplicates(["node"]), "sets")
+
+    fit = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similar
+    stars = cut(shared.where("node <> b").where(fit("n", "m")).select(F.col("node").alias("a"), "b").distinct(), "stars")
+    links = cut(_verified(stars, sets, similar), "links")
+    roots = cut(connected_components(links), "roots")
+    rooted = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = cut(rooted.join(split, "key"), "rest")
+    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
+    apart = rest.join(other, "key").where("node > b and root <> of").where(fit("n", "m")).select(F.col("node").alias("a"), "b").distinct()
+    more = _verified(cut(apart.join(stars, ["a", "b"], "left_anti"), "apart"), sets, similar)
+    links = cut(links.unionByName(more), "links")
+    roots = cut(connected_components(links), "roots")
+
+    nodes = cut(marked.groupBy("node").agg(F.min("doc").alias("rep")), "nodes")
+    lead = cut(roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("lead")), "lead")
+    known = roots.join(lead, "root").select("node", "lead")
+    whole = cut(nodes.join(known, "node", "left").select("node", F.coalesce("lead", "rep").alias("component_id")), "whole")
+    return marked.join(whole, "node").select(F.col("doc").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
     """The rows of ``docs`` that remain when one document of each near-duplicate group stays: that with the least doc_id.
 
-    Of rows that repeat one id and text, one stays; a repeated id whose texts differ and do not link keeps both.
+    Groups are those of ``similar_components``. Of rows that repeat one id and text, one stays; a repeated id whose texts differ and do not link keeps both.
     Groups that have no id at all (all null) keep one row for each text.
     """
     from pyspark.sql import Window as W
 
-    keep = cut(components(docs, most, words_each).select(F.col("component_id").alias("_keep")).distinct(), "keep")
+    keep = cut(similar_components(docs, similar, words_each).select(F.col("component_id").alias("_keep")).distinct(), "keep")
     kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     one = W.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")))).orderBy(F.col("text").isNull())
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
