@@ -91,19 +91,22 @@ def disclosing_terms(docs: DataFrame, bits: float = 3.0, share: float = 0.5, sup
     """(term, bits): terms which tell more about a protected entity than the thresholds allow.
 
     An entity is a base match's kind and value. From the whole corpus: n(t, e),
-    the different texts in which t stands near e; n(e), those that hold e; n(t), the
-    documents that hold t anywhere; N, all. t discloses log2(n(t, e) N / (n(t) n(e))) bits
+    the different texts in which t stands near e; n(e), those that hold e; n(t),
+    those that hold t anywhere; N, all. t discloses log2(n(t, e) N / (n(t) n(e))) bits
     about e. A term is returned if, for some e, n(t, e) >= support,
-    n(t, e) / n(t) >= share and the bits reach ``bits``. Copies of one text count once in n(t, e), so
-    copying alone makes no term disclosing.
+    n(t, e) / n(t) >= share and the bits reach ``bits``. Copies of one text count once in each, so
+    copying alone neither makes a term disclosing nor hides it.
     """
     near = cut(entities(docs), "near")
     of_entity = near.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support).join(of_entity, "entity"), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(counts, "term")
-    n = docs.count()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
+    words = rows.select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    # only the terms that some entity has need counts
+    held = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
+    known = pairs.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term")
+    n = rows.select("hash").distinct().count()
     known = known.withColumn("bits", F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
     return known.where((F.col("n_te") >= share * F.col("n_t")) & (F.col("bits") >= bits)).groupBy("term").agg(F.max("bits").alias("bits"))
 
