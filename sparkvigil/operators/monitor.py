@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+
 QUARANTINE, ESCALATE = 3, 3
 
 
@@ -90,13 +92,24 @@ def resolve_policy(lines: DataFrame, policies: list[tuple[str, str]], strict: bo
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.col("matched").desc(), "missed", F.col("streams").desc(), "policy_id")))
 
 
-def lineage(edges: DataFrame, root: str, most: int = 2000, depth: int = 64) -> DataFrame:
-    """(ref, depth): ``root`` and all that descends from it over (parent, child) edges, at most ``depth`` deep, the nearest ``most``."""
-    spark = edges.sparkSession
-    front = found = spark.createDataFrame([(root, 0)], "ref string, depth int")
-    for d in range(1, depth + 1):
-        front = front.join(edges, front["ref"] == edges["parent"]).select(F.col("child").alias("ref"), F.lit(d).alias("depth")).distinct().join(found.select("ref"), "ref", "left_anti")
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found.orderBy("depth", "ref").limit(most)
+def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, ref, depth): each of ``roots`` (root), all its ancestors and all its descendants over (parent, child) edges, once each.
+
+    depth counts the least steps to a descendant, and below 0 those to an ancestor; a ref on a cycle is a descendant. There is no
+    limit: each direction goes on until its front, written to the checkpoint folder at every step, is empty.
+    """
+    start = written(roots.select("root", F.col("root").alias("ref"), F.lit(0).alias("depth")).distinct(), "roots")
+    down, up = (_reached(edges.select(F.col(a).alias("of"), F.col(b).alias("to")), start, step) for a, b, step in (("parent", "child", 1), ("child", "parent", -1)))
+    return down.unionByName(up.join(down.select("root", "ref"), ["root", "ref"], "left_anti"))
+
+
+def _reached(edges: DataFrame, start: DataFrame, step: int) -> DataFrame:
+    found, front, depth = written(start, "found"), start, 0
+    path = found.inputFiles()[0].rpartition("/")[0]
+    while not front.isEmpty():
+        depth += step
+        near = front.join(edges, front["ref"] == edges["of"]).select("root", F.col("to").alias("ref"), F.lit(depth).alias("depth")).where("ref is not null").distinct()
+        front = written(near.join(found.select("root", "ref"), ["root", "ref"], "left_anti"), "front")
+        front.write.mode("append").parquet(path)
+        found = start.sparkSession.read.schema(start.schema).parquet(path)
+    return found

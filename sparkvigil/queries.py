@@ -483,7 +483,8 @@ def feedback_rules(spark, sf_dir):
 def lineage_closure(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations")
     name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
-    return monitor.lineage(c.where("turn > 0").select(name(F.col("turn") - 1).alias("parent"), name(F.col("turn")).alias("child")), "c0:0")
+    roots = spark.createDataFrame([("c0:0",)], "root string")
+    return monitor.lineage(c.where("turn > 0").select(name(F.col("turn") - 1).alias("parent"), name(F.col("turn")).alias("child")), roots).select("ref", "depth")
 
 
 @_query("SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'shop' || user_id WHEN 1 THEN 'cart-api' WHEN 2 THEN 'service_7' ELSE 'ns' || (user_id % 3) END AS workload FROM events")
