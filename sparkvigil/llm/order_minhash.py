@@ -18,8 +18,8 @@ def signature(text: Column, k: int = K) -> Column:
 
     The k-mers are of ``k`` words (fewer words: the whole sequence; none: no
     k-mer). An occurrence-numbered k-mer is the pair of a k-mer and the number
-    of times it came before; such pairs are ordered by the k-mer's hash, then
-    by that number, within the bucket which the hash names. Each bucket takes
+    of times it came before; its hash is that of the k-mer at first and of both together after that, and names
+    its bucket and its rank there. Each bucket takes
     its TAKEN least pairs, puts them back into text order and hashes the tuple.
     One hash deals the k-mers out to all buckets, so a text is hashed and sorted
     once however many buckets there are. Equal texts have equal signatures.
@@ -32,11 +32,23 @@ def _of_words(w: Column, k: int) -> Column:
     def entry(i: Column, h: Column) -> Column:
         return F.shiftleft(F.shiftrightunsigned(h, 64 - 6 - _HASH_BITS), _PLACE_BITS).bitwiseOR(i.cast("bigint"))
 
+    def numbered(e: Column) -> Column:
+        """The sorted entries, those that repeat a k-mer hashed anew with their number, sorted again if there are any."""
+        heads = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.shiftrightunsigned(F.get(e, i), _PLACE_BITS) != F.shiftrightunsigned(F.get(e, i - 1), _PLACE_BITS)))
+
+        def again(h: Column) -> Column:
+            numbers = F.flatten(F.transform(h, lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(h, j + 1), F.size(e)) - s - 1)))
+            anew = F.zip_with(e, numbers, lambda x, n: F.when(n == 0, x).otherwise(entry(_place(x), F.xxhash64(F.shiftrightunsigned(x, _PLACE_BITS), n.cast("bigint")))))
+            return F.when(F.size(h) == F.size(e), e).otherwise(F.sort_array(anew))
+
+        return F.transform(F.array(heads), again)[0]
+
     last = F.size(w) - k
     many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: entry(i, F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
     few = F.array(entry(F.lit(0), F.xxhash64(F.concat_ws(" ", w))))
     entries = F.when(F.size(w) == 0, F.expr("cast(array() as array<bigint>)")).when(last < 0, few).otherwise(many)
-    return F.transform(F.array(F.sort_array(entries)), _tuples)[0]
+    made = F.transform(F.array(F.sort_array(entries)), lambda e: F.when(F.size(e) < 2, e).otherwise(numbered(e)))[0]
+    return F.transform(F.array(made), _tuples)[0]
 
 
 def _bucket(x: Column) -> Column:
