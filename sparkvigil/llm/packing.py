@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
+from itertools import count, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
-#: What Python's split() drops and the tokenizers keep.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-#: Runs of plain letters, then of plain marks: each is one word to the tokenizer, whatever stands around it.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#%&$|]*)")
-_LONGEST, _KEPT, _RECENT = 64, 500_000, 100_000
+#: A run of plain letters, then of plain marks: each is one word to the tokenizer, whatever stands around it.
+_PLAIN = r"\A(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<marks>[.,;:!?*#%&$|]*)\z"
+_PROBES = ["The the,\tété É é ́x ΣΑΣ İ\n it's IT'S 12345 a.b@c-d\r\n...!! x ", " Word WORD word; ÿes Éa\x0b\x0cb|  日本語 😀 \x1c \xa0", "aßb ﬁ <|endoftext|> under_score", ""]
 
 
 def default_tokenizer() -> str:
@@ -29,73 +27,123 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists in one array, and their lengths."""
+    return np.fromiter((i for each in ids for i in each), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class WordTokenizer:
-    """Ids as little-endian unsigned 32-bit words, remembered for each run of characters between spaces.
+    """A tokenizer's ids of many texts at once.
 
-    Only for tokenizers that drop white space before anything else looks at
-    the text, so that a text's ids are those of its runs, one after the other.
-    What is remembered is bounded.
+    Where a text's ids are those of its runs between white space, one run after the other, without regard to
+    the case of plain letters, each different run of a call is taken once, and plain words that aren't remembered are encoded
+    together, told apart by the tokens that end a word. At most KEPT words are remembered, those met of late.
+    A check against the tokenizer itself decides that when it is loaded; other tokenizers get whole texts.
     """
 
+    KEPT = 800_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._kept: dict[str, bytes] = {}
-        self._recent: dict[str, bytes] = {}
-        self._letters: dict[str, bytes] = {}
-
-    def _own(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode(self, runs: list[str]) -> dict[str, bytes]:
-        """Runs of letters and marks are encoded as two words, and without regard to case."""
-        parts = {r: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(r)) else (r, "") for r in runs}
-        if len(self._letters) > _KEPT:
-            self._letters.clear()
-        known = self._letters
-        missing = list({w for pair in parts.values() for w in pair if w not in known})
-        known.update(zip(missing, self._own(missing), strict=True))
-        return {r: known[a] + known[b] for r, (a, b) in parts.items()}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._known, self._ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self._lengths, self._met, self._call = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+        probes = [_PROBES[0] * 2, *_PROBES]
+        ids, offsets = self._by_runs(pa.array(probes))
+        self.by_runs = all(ids[a:b].tolist() == own for (a, b), own in zip(pairwise(offsets), self._own(probes), strict=True))
+
+    def _own(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of plain words, encoded as one text; one by one should that not give them all back."""
+        ids = np.array(self._own([" ".join(words)])[0], np.uint32)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+            return _flat(self._own(words))
+        return ids, np.diff(ends, prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of different plain words."""
+        self._call += 1
+        at = pc.fill_null(pc.index_in(words, self._known), -1).to_numpy(zero_copy_only=False).copy()
+        new = words.filter(pa.array(at < 0))
+        ids, lengths = self._fresh(new.to_pylist())
+        at[at < 0] = len(self._known) + np.arange(len(new))
+        self._known, self._ids = pa.concat_arrays([self._known, new]), np.concatenate([self._ids, ids])
+        self._lengths = np.concatenate([self._lengths, lengths.astype(np.int32)])
+        self._met = np.concatenate([self._met, np.zeros(len(new), np.int32)])
+        self._met[at] = self._call
+        starts = np.cumsum(self._lengths) - self._lengths
+        out = self._ids[_ranges(starts[at], self._lengths[at])], self._lengths[at]
+        if len(self._known) > self.KEPT:
+            stay = np.sort(np.argsort(self._met, kind="stable")[-self.KEPT // 2 :])
+            self._known, self._ids = self._known.take(pa.array(stay)), self._ids[_ranges(starts[stay], self._lengths[stay])]
+            self._lengths, self._met = self._lengths[stay], self._met[stay]
+        return out
+
+    def _by_runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary
+        parts = pc.extract_regex(runs, _PLAIN)
+        plain = parts.is_valid()
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters").filter(plain)).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(plain).dictionary_encode()
+        other = runs.filter(pc.invert(plain)).to_pylist()
+        # the encoded parts: plain words, marks, other runs, and one that is empty
+        words = self._words(letters.dictionary)
+        rest = _flat([*self._own([*marks.dictionary.to_pylist(), *other]), []])
+        flat, lengths = np.concatenate([words[0], rest[0]]), np.concatenate([words[1], rest[1]]).astype(np.int32)
+        starts = np.cumsum(lengths) - lengths
+        at = plain.to_numpy(zero_copy_only=False)
+        pair = np.full((len(runs), 2), len(lengths) - 1)
+        pair[at, 0], pair[at, 1] = letters.indices.to_numpy(), len(letters.dictionary) + marks.indices.to_numpy()
+        pair[~at, 0] = len(letters.dictionary) + len(marks.dictionary) + np.arange(len(other))
+        # from parts to runs, from runs to texts
+        flat = flat[_ranges(starts[pair.ravel()], lengths[pair.ravel()])]
+        lengths = lengths[pair[:, 0]] + lengths[pair[:, 1]]
+        starts = np.cumsum(lengths) - lengths
+        index = coded.indices.to_numpy()
+        each = lengths[index]
+        until = np.concatenate([[0], np.cumsum(each)])
+        return flat[_ranges(starts[index], each)], until[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of text i are ids[offsets[i] : offsets[i + 1]]. Null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        if self.by_runs:
+            return self._by_runs(texts)
+        ids, lengths = _flat(self._own(texts.to_pylist()))
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        if len(self._recent) > _RECENT:
-            self._recent.clear()
-        get = self._kept.get
-        found = [list(map(get, runs)) for runs in split]
-        get = self._recent.get
-        for runs, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids[:] = [get(r) if x is None else x for r, x in zip(runs, ids, strict=True)]
-        missing = {r for runs, ids in zip(split, found, strict=True) if None in ids for r, x in zip(runs, ids, strict=True) if x is None}
-        fresh = self._encode(list(missing)) if missing else {}
-        out = [b"".join([fresh[r] if x is None else x for r, x in zip(runs, ids, strict=True)] if None in ids else ids) for runs, ids in zip(split, found, strict=True)]
-        (self._kept if len(self._kept) < _KEPT else self._recent).update((r, x) for r, x in fresh.items() if len(r) <= _LONGEST)
-        return out
+        """Of each text, its ids as little-endian unsigned 32-bit words."""
+        ids, offsets = self.encoded(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in pairwise(offsets.tolist())]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_at(path: str) -> WordTokenizer:
-    """One for each path and process, so that tasks find what those before have encoded."""
+    """One for each path and process."""
     return _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
 
 
-def _batches(texts: list[str], chars: int = 1 << 20):
-    """(first, texts) of about so many characters each."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: uid, doc_id, piece, start, length, ids_crc32 (and ids).
 
@@ -110,20 +158,19 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, en
 
         own = packing.tokenizer_at(path)
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at, part in _batches(texts):
-                rows: list[tuple] = []
-                for doc, data in zip(ids_of[at : at + len(part)], own.encode(part), strict=True):
-                    data += end
-                    for k, s in enumerate(range(0, len(data), 4 * length)):
-                        cutting = data[s : s + 4 * length]
-                        rows.append((doc, k, s // 4, len(cutting) // 4, zlib.crc32(cutting), cutting))
-                doc, k, s, n, crc, data = zip(*rows, strict=True)
-                cols = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in data], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+        for batch in (part for whole in batches for part in slices(whole, 1, 6 << 20)):
+            ids, offsets = own.encoded(batch.column(1))
+            rows: list[tuple] = []
+            for doc, (a, b) in zip(batch.column(0).to_pylist(), pairwise(offsets.tolist()), strict=True):
+                data = ids[a:b].tobytes() + end
+                for k, s in enumerate(range(0, len(data), 4 * length)):
+                    cutting = data[s : s + 4 * length]
+                    rows.append((doc, k, s // 4, len(cutting) // 4, zlib.crc32(cutting), cutting))
+            doc, k, s, n, crc, data = zip(*rows, strict=True)
+            cols = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+            if with_ids:
+                cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in data], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(each, schema)
@@ -187,7 +234,7 @@ def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pdf.drop(columns="part").assign(sequence_id=lead[bins], offset=offsets, fill=fill[bins], certified=used <= lower_bound(lengths, capacity))
 
 
-def pack(found: DataFrame, length: int = 4096, per_part: int = 4096, rounds: int = 3) -> DataFrame:
+def pack(found: DataFrame, length: int = 4096, per_part: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id (the uid of the sequence's first piece) and offset.
 
     Whole pieces are sequences of their own. The rest are dealt to parts of
@@ -195,7 +242,7 @@ def pack(found: DataFrame, length: int = 4096, per_part: int = 4096, rounds: int
     compares its sequences with its lower bound. Parts whose count isn't
     certified give up the pieces of their sequences with gaps, all parts those
     of sequences that are less than 63/64 full; these pieces are dealt anew, so that
-    parts exchange documents, and packed again, while that saves sequences.
+    parts exchange documents, and packed again, until a round saves no sequence.
     """
     found = cut(found, "pieces")
     names = [c for c in found.columns if c != "ids"]
@@ -212,7 +259,7 @@ def pack(found: DataFrame, length: int = 4096, per_part: int = 4096, rounds: int
 
     placed: list[DataFrame] = []
     now = run(rest, rest.count(), 0)
-    for at in range(1, rounds):
+    for at in count(1):
         loose = (~F.col("certified") & (F.col("fill") < length)) | (F.col("fill") < length - length // 64)
         pool = now.where(loose)
         before = bins(pool)

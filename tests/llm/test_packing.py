@@ -69,3 +69,26 @@ def test_ids_are_returned_when_asked(spark):
     row = packing.pieces(docs, length=2, with_ids=True).orderBy("piece").collect()
     own = Tokenizer.from_file(packing.default_tokenizer()).encode("one two three", add_special_tokens=False).ids
     assert [i for r in row for i in r.ids] == [*own, 1]
+
+
+def test_tokenizers_that_see_case_or_spaces_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, tokenizer = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    assert not tokenizer.by_runs and packing.WordTokenizer(packing.default_tokenizer()).by_runs
+    texts = ["", "The cat THE CAT", "  two  spaces\n\nlines ", "été 😀"]
+    for text, ids in zip(texts, tokenizer.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_remembered_is_bounded():
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    tokenizer.KEPT = 50
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    letters = "abcdefghij"
+    for k in range(30):
+        texts = [f"common {letters[k % 10]}word{letters[j % 10]}{letters[j // 10]}{letters[k // 10]}" for j in range(60)]
+        for text, ids in zip(texts, tokenizer.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+        assert len(tokenizer._known) <= 50
