@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import slices, unused
 from .learning import SAMPLE, held_out, labelled_sample
 
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "distinct", "stutter", "marked_ends", "repeated_lines", "line_length", "top_word", "bare_symbols", "repeated_pairs", "exclaims", "long_words", "length_spread", "capital_starts")
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, model: AdditiveModel, column: str = "score") -> Data
     at = docs.columns.index("text")
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_matrix(texts)))], names=[*batch.schema.names, column])
 
@@ -215,5 +216,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    named = "_score"
+    (named,) = unused(docs.columns, "_score")
     return scored(docs, train(docs, labels), named).where(F.col(named) >= threshold).drop(named)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices, unused
 from .components import connected_components
 
 SEED = 42
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words_each: int = 4, id_col: str = "doc_id", t
     """(doc_id, fp bigint) of whole texts; a null text counts as empty."""
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             fp = np.array([simhash64(t, words_each) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -148,7 +148,7 @@ def _shingled(docs: DataFrame, words_each: int, whole: bool) -> DataFrame:
     name = "items" if whole else "keys"
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = [np.unique(shingle_hashes(t, words_each)) for t in batch.column("text").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             lists = sets if whole else [np.array(band_keys(h) if len(h) else [], np.uint64) for h in sets]
@@ -216,7 +216,8 @@ def keep_one(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> Data
     """
     from pyspark.sql import Window as W
 
-    keep = cut(similar_components(docs, similar, words_each).select(F.col("component_id").alias("_keep")).distinct(), "keep")
-    kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    stays, number = unused(docs.columns, "_keep", "_n")
+    keep = cut(similar_components(docs, similar, words_each).select(F.col("component_id").alias(stays)).distinct(), "keep")
+    kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
     one = W.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")))).orderBy(F.col("text").isNull())
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut
+from .common import cut, slices
 from .learning import SAMPLE, held_out, labelled_sample
 from .quality import AdditiveModel, fit
 
@@ -348,7 +348,7 @@ def scored(docs: DataFrame, model: ToxicityModel, column: str = "score") -> Data
     at, finder = docs.columns.index("text"), _once(lambda: Finder(model.terms, model.benign))
 
     def each(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             scores = model.scores([t or "" for t in batch.column(at).to_pylist()], finder())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, column])
 
