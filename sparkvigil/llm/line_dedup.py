@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
 LEAD, PARTS, LEAST, LEAST_GENERAL = 4, 3, 4, 8
 EXACT_TEXTS, GENERAL_TEXTS = 2, 3
@@ -65,14 +65,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.where("hash <> first").select("hash", "line").distinct().groupBy("hash").agg(F.sort_array(F.collect_set("line")).alias("drops"))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    drops = cut(repeated_lines(docs), "drops")
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+def _marked(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the line numbers that go (null: none) and the text that is left."""
+    text_hash, of, drops, left = unused(docs.columns, "_hash", "_of", "_drops", "_left")
+    found = cut(repeated_lines(docs), "drops")
+    marked = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     # merged at any size: no switch from broadcasting to shuffling the texts as the corpus grows
-    met = marked.join(drops.select(F.col("hash").alias("_of"), F.col("drops").alias("_drops")).hint("merge"), F.col("_hash") == F.col("_of"), "left")
+    met = marked.join(found.select(F.col("hash").alias(of), F.col("drops").alias(drops)).hint("merge"), F.col(text_hash) == F.col(of), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    left = _let(lines, lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("_drops")), lambda i: F.get(w, i)), "\n"))
-    return met.withColumn("_left", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(left))
+    rest = _let(lines, lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col(drops)), lambda i: F.get(w, i)), "\n"))
+    return met.withColumn(left, F.when(F.col(drops).isNull(), F.col("text")).otherwise(rest)), drops, left
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -81,22 +83,23 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     n_chars, where there is one, follows the text. Null and empty texts, repeated rows, null ids and
     documents that lose nothing stay as they are.
     """
-    met = _marked(docs).where(F.col("_drops").isNull() | F.col("_left").rlike(WORD))
-    out = met.withColumn("text", F.col("_left"))
+    met, drops, left = _marked(docs)
+    met = met.where(F.col(drops).isNull() | F.col(left).rlike(WORD))
+    out = met.withColumn("text", F.col(left))
     if "n_chars" in docs.columns:
-        count = F.length("_left").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_drops").isNull(), F.col("n_chars")).otherwise(count))
+        count = F.length(left).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(drops).isNull(), F.col("n_chars")).otherwise(count))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, n_lines, n_dropped, dropped (line numbers, comma-joined) and kept_sha256, of the text that is left."""
-    met = _marked(docs.select("doc_id", "text"))
+    met, drops, left = _marked(docs.select("doc_id", "text"))
     return met.select(
         "doc_id", F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.coalesce(F.array_join(F.transform("_drops", lambda i: i.cast("string")), ","), F.lit("")).alias("dropped"),
-        F.sha2(F.coalesce("_left", F.lit("")), 256).alias("kept_sha256"),
+        F.coalesce(F.size(drops), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.transform(drops, lambda i: i.cast("string")), ","), F.lit("")).alias("dropped"),
+        F.sha2(F.coalesce(left, F.lit("")), 256).alias("kept_sha256"),
     )
 
 

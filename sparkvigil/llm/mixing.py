@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
 WEIGHTS = (1, 2, 3)
 BLOCK, SHARD, SEED, MOST = 128, 8192, 20240607, 3
@@ -105,7 +105,7 @@ def draw(sources: DataFrame, slots: int) -> DataFrame:
     late = late.withColumn("short", F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))).withColumn("over", F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)))
     before = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
     late = cut(late.select(*known, "drawn", "short", F.coalesce(F.sum("short").over(before), F.lit(0)).alias("short_first"), F.coalesce(F.sum("over").over(before), F.lit(0)).alias("over_first")), "late")
-    numbered = cut(numbered.drop("within", "before"), "numbered")
+    numbered = numbered.drop("within", "before")
     kept = numbered.where("k < quota").select("shard", "slot", *known, "k")
     moved = numbered.where("k >= quota").join(late.select("sid", "over_first"), "sid").select("shard", "slot", (F.col("over_first") + F.col("k") - F.col("quota")).alias("o")).withColumn("cell", F.expr(f"o div {_CELL}"))
     gaps = late.where("short > 0").select(*known, "drawn", "short", "short_first", F.explode(F.expr(f"sequence(short_first div {_CELL}, (short_first + short - 1) div {_CELL})")).alias("cell"))
@@ -124,15 +124,20 @@ def _pieces(placed: DataFrame, block: int) -> DataFrame:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sized documents, sources, the slots drawn, pieces of documents that lie in blocks)."""
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("bigint")
+    size = word_count(F.coalesce(F.col("text"), F.lit("")))
     sized = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size"), row_hash(docs).alias("tie")), "sizes")
     sources = cut(targets(sized, weights, block), "sources")
     total = sources.agg(F.sum("quota").alias("slots"), F.sum("documents").alias("documents")).first()
-    drawn = cut(draw(sources, total.slots or 0), "drawn")
-    placed = cut(layout(sized, sources, total.documents or 0), "placed")
+    drawn, placed = draw(sources, total.slots or 0), layout(sized, sources, total.documents or 0)
     return sized, sources, drawn, _pieces(placed, block)
 
 
+def word_count(text: Column) -> Column:
+    """The number of words, without an array of them: each word, with the white space around it, becomes one character."""
+    blank = r"[\x20\x09-\x0D]*"
+    return F.when(text.rlike(WORD), F.length(F.regexp_replace(text, blank + WORD + blank, "w"))).otherwise(0).cast("bigint")
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns whose types have one."""
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
@@ -164,12 +169,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     met = pieces.hint("merge").join(drawn.select("sid", "block", "epoch"), ["sid", "block"])
     ranges = met.groupBy("sid", "start", "doc_id", "tie", "epoch").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"))
     # the key is never null (tie tells null from 0), so that the join takes the window's exchange of the texts
-    texts = docs.withColumn("_tie", row_hash(docs)).withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
-    copy = F.sum(F.lit(1)).over(W.partitionBy("_key", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow))
-    texts = texts.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
-    chosen = texts.join(ranges.select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("tie").alias("_tie"), "ranges").hint("merge"), ["_key", "_tie"])
+    key, tie, number, spans = unused(docs.columns, "_key", "_tie", "_copy", "_ranges")
+    texts = docs.withColumn(tie, row_hash(docs)).withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
+    copy = F.sum(F.lit(1)).over(W.partitionBy(key, tie).rowsBetween(W.unboundedPreceding, W.currentRow))
+    texts = texts.withColumn(number, copy).where(F.col(number) == 1).drop(number)
+    chosen = texts.join(ranges.select(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("tie").alias(tie), F.col("ranges").alias(spans)).hint("merge"), [key, tie])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    whole = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), ""))[0]
+    whole = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(spans, lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), ""))[0]
     chosen = chosen.withColumn("text", whole)
     if "n_chars" in docs.columns:
         chosen = chosen.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
