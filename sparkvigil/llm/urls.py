@@ -51,38 +51,75 @@ def _masked(path: Column) -> Column:
 
 
 def templates(counts: DataFrame) -> DataFrame:
-    """(host, masked, parent, child): for each host's masked path, its template parent/child in the host's tree.
+    """``counts`` (host, masked, n, ...), one row a masked path, with ``segments``: its template in the host's tree.
 
-    ``counts`` holds host, masked, n. Level by level, to DEPTH segments, the children of
-    a node become `*` if they are many (DISTINCT at least) and as good as
-    each different (half as many as the URLs); children with a share of SHARE keep their name. What lies deeper is `**`.
+    Level by level, to DEPTH segments, the children of a node become `*` if they are variable: at least DISTINCT,
+    with at most half as many different paths below them as there are children. Children with a share of SHARE of
+    the node's URLs keep their name. What lies deeper is `**`. How many rows a path has changes nothing but that share.
     """
-    rows = counts.select("host", "masked", "n", F.split("masked", "/").alias("segments"), F.lit("").alias("parent"), F.lit("").alias("child"))
-    for level in range(1, DEPTH + 1):
-        here = F.get("segments", F.lit(level))
-        rows = rows.withColumn("parent", F.when(here.isNotNull(), F.concat_ws("/", F.when(F.lit(level) > 1, F.col("parent")), F.col("child"))).otherwise(F.col("parent")))
-        each = rows.where(here.isNotNull()).groupBy("host", "parent", here.alias("segment")).agg(F.sum("n").alias("n"))
-        each = cut(each, "segments")
-        nodes = each.groupBy("host", "parent").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"))
-        wide = nodes.where((F.col("distinct") >= DISTINCT) & (2 * F.col("distinct") >= F.col("total")))
-        wild = cut(each.join(wide, ["host", "parent"]).where(F.col("n") < SHARE * F.col("total")).select("host", "parent", F.col("segment").alias("_segment"), F.lit(True).alias("_wild")), "wild")
-        rows = rows.withColumn("_here", here).join(wild.withColumnRenamed("host", "_host").withColumnRenamed("parent", "_parent"), (F.col("host") == F.col("_host")) & (F.col("parent") == F.col("_parent")) & (F.col("_here") == F.col("_segment")), "left")
-        named = F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_here"))
-        rows = cut(rows.withColumn("child", F.when(F.col("_here").isNotNull(), named).otherwise(F.col("child"))).select("host", "masked", "n", "segments", "parent", "child"), "level")
-    deeper = F.size("segments") > DEPTH + 1
-    parent = F.when(deeper, F.concat_ws("/", "parent", "child")).otherwise(F.col("parent"))
-    return rows.select("host", "masked", parent.alias("parent"), F.when(deeper, F.lit("**")).otherwise(F.col("child")).alias("child"))
+    rows = counts.withColumn("left", F.slice(F.split("masked", "/"), 2, 1 << 30)).withColumn("segments", F.expr("cast(array() as array<string>)"))
+    for _ in range(DEPTH):
+        here = F.get("left", F.lit(0))
+        rest = F.xxhash64(F.array_join(F.slice("left", 2, 1 << 30), "/"))
+        each = rows.where("size(left) > 0").groupBy("host", "segments", here.alias("child")).agg(F.sum("n").alias("n"))
+        below = rows.where("size(left) > 0").groupBy("host", "segments").agg(F.count_distinct(here).alias("children"), F.count_distinct(rest).alias("rests"), F.sum("n").alias("total"))
+        variable = below.where((F.col("children") >= DISTINCT) & (2 * F.col("rests") <= F.col("children")))
+        wild = each.join(variable, ["host", "segments"]).where(F.col("n") < SHARE * F.col("total")).select("host", "segments", "child", F.lit(True).alias("wild"))
+        met = rows.withColumn("child", here).join(cut(wild, "wild"), ["host", "segments", "child"], "left")
+        named = F.when(F.col("wild"), F.lit("*")).otherwise(F.col("child"))
+        segments = F.when(F.size("left") > 0, F.concat("segments", F.array(named))).otherwise(F.col("segments"))
+        rows = cut(met.withColumn("segments", segments).withColumn("left", F.slice("left", 2, 1 << 30)).select(rows.columns), "level")
+    deeper = F.when(F.size("left") > 0, F.concat("segments", F.array(F.lit("**")))).otherwise(F.col("segments"))
+    return rows.withColumn("segments", deeper).drop("left")
+
+
+def branches(placed: DataFrame, rate: float, purity: float = 0.8, least: int = 5, weight: float = 4.0) -> DataFrame:
+    """(host, masked, template, block_share, rejected) of each row of ``placed`` (host, masked, segments, known, blocked, n).
+
+    From the root down, the children of a branch that have the same commonest child of their own (leaves: none) are
+    compared: those with labels, by rising block share, are one branch while neighbours don't differ at the 5% level, and
+    those without labels join it where there is only one, else they are a branch of their own. Merged branches pool what lies
+    below them. A branch's share is that of its labelled URLs, with ``weight`` more at its parent's share; the root's at ``rate``.
+    The deepest branch below the root with at least ``least`` labelled URLs decides: it rejects from a share of ``purity`` on.
+    """
+    root = placed.groupBy("host").agg(((F.sum("blocked") + weight * rate) / (F.sum("known") + weight)).alias("share"))
+    none = F.lit(None).cast("double")
+    rows = placed.join(root, "host").select("host", "masked", "segments", "known", "blocked", "n", F.lit("").alias("template"), "share", none.alias("block_share"), F.lit(False).alias("rejected"))
+    for level in range(1, DEPTH + 2):
+        here, after = F.get("segments", F.lit(level - 1)), F.get("segments", F.lit(level))
+        each = rows.where(here.isNotNull()).groupBy("host", "template", "share", here.alias("child"), after.alias("after")).agg(*[F.sum(c).alias(c) for c in ("known", "blocked", "n")])
+        nodes = each.groupBy("host", "template", "share", "child").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.coalesce(F.max_by("after", F.when(F.col("after").isNotNull(), F.struct("n", "after"))), F.lit("/")).alias("kind"))
+        own = (F.col("blocked") + weight * F.col("share")) / (F.col("known") + weight)
+        nodes = nodes.withColumn("own", own).withColumn("var", F.greatest(own * (1 - own), F.lit(1e-9)) / (F.col("known") + weight)).withColumn("labelled", F.col("known") > 0)
+        alike = W.partitionBy("host", "template", "kind", "labelled").orderBy("own", "child")
+        apart = F.abs(F.col("own") - F.lag("own").over(alike)) > 1.96 * F.sqrt(F.col("var") + F.lag("var").over(alike))
+        nodes = nodes.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+        nodes = nodes.withColumn("branch", F.sum("apart").over(alike.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        nodes = cut(nodes, "nodes")
+        parts = nodes.where("labelled").groupBy("host", "template", "kind").agg(F.max("branch").alias("parts"))
+        joined = nodes.join(parts, ["host", "template", "kind"], "left")
+        joined = joined.withColumn("branch", F.when(F.col("labelled"), F.col("branch")).when(F.col("parts") == 0, 0).otherwise(-1))
+        key = ["host", "template", "kind", "branch"]
+        merged = joined.groupBy(*key, "share").agg(F.sum("known").alias("seen"), F.sum("blocked").alias("bad"), F.min("child").alias("first"))
+        merged = merged.withColumn("next_share", (F.col("bad") + weight * F.col("share")) / (F.col("seen") + weight)).drop("share", "bad")
+        named = joined.select(*key, "child").join(merged, key).select("host", "template", "child", "seen", "next_share", F.concat_ws("/", "template", "first").alias("below"))
+        met = rows.withColumn("child", here).join(cut(named, "branches"), ["host", "template", "child"], "left")
+        decides = F.col("seen") >= least
+        rows = met.select(
+            "host", "masked", "segments", "known", "blocked", "n", F.coalesce("below", "template").alias("template"), F.coalesce("next_share", "share").alias("share"),
+            F.when(decides, F.col("next_share")).otherwise(F.col("block_share")).alias("block_share"), F.when(decides, F.col("next_share") >= purity).otherwise(F.col("rejected")).alias("rejected"),
+        )
+        rows = cut(rows, "down")
+    return rows.select("host", "masked", "template", "block_share", "rejected")
 
 
 def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, least: int = 5, weight: float = 4.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template and block_share of every row of ``pages``.
 
-    The rule's verdict holds where one fits. URLs with a rule are also the labelled
-    ones: a template's block share is that of its labelled URLs, with ``weight`` more
-    at the overall rate. Sibling templates, by rising share, are merged while neighbours
-    don't differ at the 5% level. Merged templates of at least ``least`` labelled URLs and a
-    share of ``purity`` are rejected: their other URLs get block; all else allow. Null
-    urls and urls without :// have empty host and path and are allowed; rows that repeat count each.
+    The rule's verdict holds where one fits. URLs with a rule are also the labelled ones, from which ``branches`` of the
+    host's template tree are judged: URLs without a rule get block where theirs rejects; all else allow. block_share is
+    that of the branch that decides (null: none has enough labels). Null urls and urls without :// have empty host and path and
+    are allowed; rows that repeat count each. Template names hold the least child of each merged branch.
     """
     host, path = host_of(F.coalesce("url", F.lit(""))), path_of(F.coalesce("url", F.lit("")))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -92,26 +129,15 @@ def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, least: int = 5, we
     counts = cut(rows.groupBy("host", "masked").agg(F.count("*").alias("n"), F.count(blocked).alias("known"), F.coalesce(F.sum(blocked), F.lit(0)).alias("blocked")), "paths")
     total = counts.agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked")).first()
     rate = (total.blocked or 0) / total.known if total.known else 0.5
-    placed = cut(templates(counts.select("host", "masked", "n")), "templates")
-    sums = counts.join(placed, ["host", "masked"]).groupBy("host", "parent", "child").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"))
-    share = (F.col("blocked") + weight * rate) / (F.col("known") + weight)
-    sums = sums.withColumn("share", share).withColumn("var", F.greatest(share * (1 - share), F.lit(1e-9)) / (F.col("known") + weight))
-    siblings = W.partitionBy("host", "parent").orderBy("share", "child")
-    apart = F.abs(F.col("share") - F.lag("share").over(siblings)) > 1.96 * F.sqrt(F.col("var") + F.lag("var").over(siblings))
-    sums = sums.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0)))
-    sums = cut(sums.withColumn("branch", F.sum("apart").over(siblings.rowsBetween(W.unboundedPreceding, W.currentRow))), "branches")
-    merged = sums.groupBy("host", "parent", "branch").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.array_join(F.sort_array(F.collect_set("child")), "|").alias("children"))
-    merged = merged.withColumn("block_share", (F.col("blocked") + weight * rate) / (F.col("known") + weight))
-    merged = merged.withColumn("rejected", (F.col("known") >= least) & (F.col("block_share") >= purity))
-    named = sums.select("host", "parent", "child", "branch").join(merged, ["host", "parent", "branch"]).join(placed, ["host", "parent", "child"])
-    named = cut(named.select(F.col("host").alias("_host"), F.col("masked").alias("_masked"), F.concat_ws("/", "parent", "children").alias("template"), "block_share", "rejected"), "verdicts")
+    judged = branches(templates(counts), rate, purity, least, weight)
+    named = judged.select(F.col("host").alias("_host"), F.col("masked").alias("_masked"), "template", "block_share", "rejected")
     met = rows.join(named, (F.col("host") == F.col("_host")) & (F.col("masked") == F.col("_masked")), "left")
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return met.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "block_share")
 
 
 def z(a: tuple[int, int], b: tuple[int, int], rate: float, weight: float = 4.0) -> float:
-    """The distance of two (blocked, known) branches in standard errors, as ``judge`` takes it."""
+    """The distance of two (blocked, known) branches in standard errors, as ``branches`` takes it."""
     shares = [(x + weight * rate) / (n + weight) for x, n in (a, b)]
     var = [max(s * (1 - s), 1e-9) / (n + weight) for s, (_, n) in zip(shares, (a, b), strict=True)]
     return abs(shares[0] - shares[1]) / math.sqrt(sum(var))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 from sparkvigil.llm import urls
 
@@ -65,5 +66,108 @@ def test_templates_are_rejected_by_purity(spark):
     assert urls.z((20, 20), (0, 20), 0.5) > 1.96 > urls.z((10, 20), (11, 20), 0.5)
 
 
+def brute_verdicts(urls_, rules=None, purity=0.8, least=5, weight=4.0):
+    """The verdict of each url, by the definition, over one tree of Python objects a host."""
+    rows = [(*brute_parts(u), brute_rule(*brute_parts(u))) for u in urls_]
+    label = {"block": 1, "allow": 0}
+    known = [label[r[2][0]] for r in rows if r[2]]
+    rate = sum(known) / len(known) if known else 0.5
+    paths = defaultdict(lambda: [0, 0, 0])
+    for host, path, rule in rows:
+        c = paths[host, re.sub(r"[^/.]*[0-9][^/.]*", "*", path)]
+        c[0] += 1
+        if rule:
+            c[1] += 1
+            c[2] += label[rule[0]]
+    segs = {k: ([], k[1].split("/")[1:]) for k in paths}
+    for _ in range(urls.DEPTH):
+        groups = defaultdict(list)
+        for k, (done, left) in segs.items():
+            if left:
+                groups[k[0], tuple(done)].append(k)
+        for ks in groups.values():
+            n = Counter()
+            for k in ks:
+                n[segs[k][1][0]] += paths[k][0]
+            rests = {tuple(segs[k][1][1:]) for k in ks}
+            variable = len(n) >= urls.DISTINCT and 2 * len(rests) <= len(n)
+            for k in ks:
+                done, left = segs[k]
+                wild = variable and n[left[0]] < urls.SHARE * sum(n.values())
+                segs[k] = ([*done, "*" if wild else left[0]], left[1:])
+    tree = {k: tuple([*done, "**"] if left else done) for k, (done, left) in segs.items()}
+    out = {}
+
+    def walk(ks, level, share):
+        children = defaultdict(list)
+        for k in ks:
+            if level < len(tree[k]):
+                children[tree[k][level]].append(k)
+        kinds = defaultdict(list)
+        for child, of in children.items():
+            after = Counter()
+            for k in of:
+                if level + 1 < len(tree[k]):
+                    after[tree[k][level + 1]] += paths[k][0]
+            kind = max(after, key=lambda a: (after[a], a)) if after else "/"
+            seen, bad = (sum(paths[k][i] for k in of) for i in (1, 2))
+            own = (bad + weight * share) / (seen + weight)
+            kinds[kind].append((own, child, max(own * (1 - own), 1e-9) / (seen + weight), seen, of))
+        for nodes in kinds.values():
+            labelled, rest = sorted(x for x in nodes if x[3]), [x for x in nodes if not x[3]]
+            groups = []
+            for at, x in enumerate(labelled):
+                y = labelled[at - 1]
+                if at and abs(x[0] - y[0]) <= 1.96 * (x[2] + y[2]) ** 0.5:
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            if len(groups) == 1:
+                groups[0] += rest
+            elif rest:
+                groups.append(rest)
+            for g in groups:
+                of = [k for x in g for k in x[4]]
+                seen, bad = (sum(paths[k][i] for k in of) for i in (1, 2))
+                own = (bad + weight * share) / (seen + weight)
+                if seen >= least:
+                    out.update((k, own) for k in of)
+                walk(of, level + 1, own)
+
+    for host in {k[0] for k in paths}:
+        ks = [k for k in paths if k[0] == host]
+        walk(ks, 0, (sum(paths[k][2] for k in ks) + weight * rate) / (sum(paths[k][1] for k in ks) + weight))
+    found = []
+    for host, path, rule in rows:
+        share = out.get((host, re.sub(r"[^/.]*[0-9][^/.]*", "*", path)))
+        found.append((rule[0] if rule else "block" if share is not None and share >= purity else "allow", share))
+    return found
+
+
+def test_verdicts_against_a_plain_tree(spark):
+    rng, data = random.Random(5), [(i, u) for i, u, *_ in pages() if i is not None and i < 5000]
+    for host in ("a.site.example.com", "b.site.example.net", "c.site.example.org", "d.example.com"):
+        for i in range(150):
+            lang = rng.choice(["en", "de", "es", "fr", "about"])
+            tail = "me" if lang == "about" else rng.choice(["{}", "{}/", "{}.html", "x/{}/y"]).format(rng.randrange(1, 10000))
+            data.append((10000 + len(data), f"https://{host}/{lang}/{tail}"))
+    want = brute_verdicts([u for _, u in data])
+    got = urls.judge(spark.createDataFrame([(k, u, "", "", 0) for k, (_, u) in enumerate(data)], SCHEMA).repartition(3)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        verdict, share = want[r.page_id]
+        assert r.verdict == verdict, data[r.page_id]
+        assert (share is None) == (r.block_share is None) and (share is None or abs(share - r.block_share) < 1e-9)
+    decided = [r for r in got if r.rule is None]
+    assert {r.verdict for r in decided} == {"allow", "block"}
+
+
+def test_repeated_rows_change_no_template(spark):
+    data = [(i, f"http://h.example/user/name{chr(97 + i % 26)}{chr(97 + i // 26)}/{what}", "", "", 0) for i in range(60) for what in ("posts", "likes")]
+    once = urls.judge(spark.createDataFrame(data, SCHEMA)).select("path", "template").distinct().collect()
+    thrice = urls.judge(spark.createDataFrame(data * 3, SCHEMA)).select("path", "template").distinct().collect()
+    assert sorted(once) == sorted(thrice) and len({r.template for r in once}) == 1
+
+
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], SCHEMA)).count() == 0
