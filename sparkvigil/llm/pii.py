@@ -23,21 +23,24 @@ _NEEDS = {"email": "@", "phone": "+"}
 _TERM = r"[\p{L}\p{N}_]{4,}"
 
 
+_SPANS = "array<struct<s: int, e: int, m: string>>"
+
+
+def running_sums(x: Column) -> Column:
+    """array<int>: the sums of an array's values up to each, in as many passes as its size has bits."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(2)))).cast("int") - 1)
+    doubled = lambda acc, k: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return F.aggregate(passes, x, doubled)
+
+
 def _located(text: Column, pattern: Column) -> Column:
     """array<struct<s, e, m>>: the matches with their places, in code points, end exclusive."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
 
     def placed(m: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))
-        both = F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("g"), x.alias("m")))
-        none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["g"]
-            e = s + F.length(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-
-        return F.aggregate(both, none, step, lambda acc: acc["out"])
+        ends = F.transform(F.array(running_sums(F.zip_with(gaps, m, lambda g, x: F.length(g) + F.length(x)))), lambda e: F.zip_with(e, m, lambda e, x: F.struct((e - F.length(x)).alias("s"), e.alias("e"), x.alias("m"))))[0]
+        return F.when(F.size(m) == 0, F.expr(f"cast(array() as {_SPANS})")).otherwise(ends)
 
     return F.transform(F.array(found), placed)[0]
 
@@ -71,11 +74,11 @@ def base_spans(text: Column, kind: str) -> Column:
     """array<struct<s, e, m>> of one base kind in ``text``, which is not null."""
     needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
     found = F.filter(_located(text, F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["m"]))
-    return F.when(needed, found).otherwise(F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)"))
+    return F.when(needed, found).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def entities(docs: DataFrame, around: int = 120) -> DataFrame:
-    """(hash, entity, term), once each: the terms up to ``around`` characters from a base match, by hash of the text."""
+    """(hash, entity, term), once each: the terms whole within ``around`` characters of a base match, by hash of the text."""
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).where("text rlike '[0-9@]'")
 
     def named(kind: str) -> Column:
@@ -83,7 +86,12 @@ def entities(docs: DataFrame, around: int = 120) -> DataFrame:
 
     each = [named(k) for k in KINDS]
     spans = rows.select(F.xxhash64("text").alias("hash"), "text", F.explode(F.concat(*each)).alias("x")).select("hash", "text", "x.*")
-    near = F.concat_ws("\n", F.expr(f"substring(text, greatest(1, s + 1 - {around}), least(s, {around}))"), F.expr(f"substring(text, e + 1, {around})"))
+    # a character more on either side: a word that reaches it is cut, and doesn't count
+    before = F.expr(f"substring(text, greatest(1, s - {around}), least(s, {around + 1}))")
+    before = F.when(F.col("s") > around, F.regexp_replace(before, r"^[\p{L}\p{N}_]+", "")).otherwise(before)
+    after = F.expr(f"substring(text, e + 1, {around + 1})")
+    after = F.when(F.length(after) > around, F.regexp_replace(after, r"[\p{L}\p{N}_]+\z", "")).otherwise(after)
+    near = F.concat_ws("\n", before, after)
     return spans.select("hash", "entity", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(_TERM), F.lit(0)))).alias("term")).distinct()
 
 
@@ -122,11 +130,11 @@ def find(docs: DataFrame, bits: float = 3.0, share: float = 0.5, support: int =
     words = rows.select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
     held = words.join(terms, "term").select("hash", "term").distinct().groupBy("hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     met = rows.join(cut(held, "held"), "hash", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    none = F.expr("cast(array() as array<struct<s: int, e: int, m: string>>)")
+    named = F.filter(_located(F.col("text"), F.lit(_TERM)), lambda x: F.array_contains("terms", F.lower(x["m"])))
+    none = F.expr(f"cast(array() as {_SPANS})")
     return met.select(
         "doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS],
-        F.when(F.col("terms").isNotNull(), _located(F.col("text"), pattern)).otherwise(none).alias("term"),
+        F.when(F.col("terms").isNotNull(), named).otherwise(none).alias("term"),
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -72,3 +73,56 @@ def test_disclosing_terms(spark):
     assert clean[2000] == " alone" and clean[1003] == "copied rareword once [EMAIL]"
     assert "Zaphodia" not in clean[1] and "zb@" not in clean[1] and " writes [EMAIL] " in clean[1]
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
+
+
+def brute_terms(rows, around=120, bits=3.0, share=0.5, support=2):
+    """The disclosing terms by the definition, over the different texts."""
+    texts = {t or "" for _, t in rows}
+    near, held, entities = {}, {}, {}
+    for t in texts:
+        for w in set(re.findall(r"\w{4,}", t.lower())):
+            held.setdefault(w, set()).add(t)
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t)]
+        for k, s, e in brute(t):
+            entity = f"{k}:{t[s:e]}".lower()
+            entities.setdefault(entity, set()).add(t)
+            for a, b, w in words:
+                if len(w) >= 4 and (max(0, s - around) <= a and b <= s or e <= a and b <= e + around):
+                    near.setdefault((w, entity), set()).add(t)
+    out = {}
+    for (w, entity), of in near.items():
+        n = math.log2(len(of) * len(texts) / (len(held[w]) * len(entities[entity])))
+        if len(of) >= support and len(of) >= share * len(held[w]) and n >= bits:
+            out[w] = max(n, out.get(w, 0))
+    return out
+
+
+def test_terms_against_the_definition(spark):
+    rng = random.Random(12)
+    people = [(f"person{i}x", f"{i}p@mail.example") for i in range(12)]
+    rows = []
+    for i in range(500):
+        words = [f"filler{rng.randrange(80)}" for _ in range(rng.randrange(3, 60))]
+        for name, mail in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words)), mail)
+            if rng.random() < 0.7:
+                words.insert(rng.randrange(len(words)), name)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)
+    want = brute_terms(rows)
+    got = {r.term: r.bits for r in pii.disclosing_terms(docs).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    spans = {r.doc_id: [(x.s, x.e) for x in r.term] for r in pii.find(docs).collect()}
+    for i, t in rows:
+        assert spans[i] == [m.span() for m in re.finditer(r"\w{4,}", t) if m[0].lower() in want]
+
+
+def test_many_matches_in_one_text_and_words_at_the_edge(spark):
+    text = "".join(f"a{i}@b.co " for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "", 0)], SCHEMA)
+    got = pii.digest(pii.find(docs)).collect()[0]
+    assert got.n_email == 20_000 and got.base_sha256 == hashlib.sha256(",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)).encode()).hexdigest()
+    edge = "abcdefghijklm " * 9 + "x@y.zz " + "nopqrstuvwxyz " * 9
+    terms = {r.term for r in pii.entities(spark.createDataFrame([(1, edge, "", 0)], SCHEMA)).collect()}
+    assert terms == {"abcdefghijklm", "nopqrstuvwxyz"}
