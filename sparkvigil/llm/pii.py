@@ -21,6 +21,8 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "phone": "+"}
 _TERM = r"[\p{L}\p{N}_]{4,}"
+#: Keys of 16 bytes that are broadcast at most.
+SENT = 500_000
 
 
 _SPANS = "array<struct<s: int, e: int, m: string>>"
@@ -126,16 +128,23 @@ def find(docs: DataFrame, bits: float = 3.0, share: float = 0.5, support: int =
     spans may overlap base spans; base spans never change.
     """
     terms = cut(disclosing_terms(docs, bits, share, support), "terms")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    words = rows.select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    held = words.join(terms, "term").select("hash", "term").distinct().groupBy("hash").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    met = rows.join(cut(held, "held"), "hash", "left")
-    named = F.filter(_located(F.col("text"), F.lit(_TERM)), lambda x: F.array_contains("terms", F.lower(x["m"])))
-    none = F.expr(f"cast(array() as {_SPANS})")
-    return met.select(
-        "doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS],
-        F.when(F.col("terms").isNotNull(), named).otherwise(none).alias("term"),
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    based = rows.select("doc_id", "text", "key", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
+    # without the text, where the caller doesn't need it, this exchanges ids and spans alone
+    met = based.join(_term_spans(rows, terms).hint("merge"), "key", "left")
+    return met.select("doc_id", "text", *KINDS, F.coalesce("term", F.expr(f"cast(array() as {_SPANS})")).alias("term"))
+
+
+def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, term): the spans of ``terms`` in each different text that holds some. Only such texts are exchanged while their keys are few enough to be sent to all."""
+    words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    held = cut(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "held")
+    few = held.count() <= SENT
+    texts = rows.select("key", "text").join(F.broadcast(held.select("key")) if few else held.select("key").hint("merge"), "key", "left_semi")
+    met = texts.groupBy("key").agg(F.first("text").alias("text")).join(held.hint("merge"), "key")
+    spans = F.filter(_located(F.col("text"), F.lit(_TERM)), lambda x: F.array_contains("terms", F.lower(x["m"])))
+    return met.select("key", spans.alias("term"))
 
 
 def _named(kind: str) -> Column:
