@@ -18,7 +18,9 @@ from .common import cut, slices
 from .learning import SAMPLE, held_out, labelled_sample
 from .quality import AdditiveModel, fit
 
-TERMS, CONTEXTS, WINDOW = 2000, 500, 4
+#: Words on either side that weigh a match; documents that a word around matches must have; parts of the sample for cross-fitting.
+WINDOW, LEAST_AROUND, FOLDS = 4, 3, 3
+_WIDTH = 9
 #: Prefixes of these lengths are candidate stems; whole words of any length are candidates.
 _STEMS = range(4, 11)
 _FUZZY_FROM = 5
@@ -125,6 +127,7 @@ class LexiconAutomaton:
 @dataclass
 class Match:
     key: str
+    token: str
     quoted: bool
     around: set[str]
 
@@ -156,7 +159,7 @@ class Finder:
         for i, t in enumerate(tokens):
             if t in keys:
                 around = {w for w in tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW] if w not in keys}
-                out.append(Match(keys[t], any(a < spans[i] < b for a, b in quoted), around))
+                out.append(Match(keys[t], t, any(a < spans[i] < b for a, b in quoted), around))
         return out
 
 
@@ -189,44 +192,46 @@ class ToxicityModel:
     shape: AdditiveModel | None = None
 
     def features(self, text: str, matches: list[Match]) -> list[float]:
-        """Each term counts once, at its most damning place; the window's words and quotation marks shift it."""
+        """Each term counts once, at its most damning place; the window's words and quotation marks shift it. Beside that, how many tokens match outside quotation marks: all, different ones, and those of one term."""
         best: dict[str, float] = {}
+        open_ = [m for m in matches if not m.quoted]
+        per = Counter(m.key.partition("~")[0] for m in open_)
         for m in matches:
             around = max(-3.0, min(3.0, sum(self.contexts.get(w, 0.0) for w in m.around)))
             value = self.weights.get(m.key, 0.0) + around + self.quoted[m.quoted]
             best[m.key] = max(value, best.get(m.key, -99.0))
         top = sorted(best.values(), reverse=True)
         words = math.log1p(text.count(" ") + text.count("\n"))
-        return [top[0] if top else self.unmatched, sum(x for x in top if x > 0), float(len(top)), sum(top) / (1 + words), words, sum(top[:2])]
+        return [top[0] if top else self.unmatched, sum(x for x in top if x > 0), float(len(top)), sum(top) / (1 + words), words, sum(top[:2]), float(len(open_)), float(len({m.token for m in open_})), float(max(per.values(), default=0))]
 
     def scores(self, texts: list[str], finder: Finder) -> np.ndarray:
         """From the evidence of the terms, in a text of its length, by shapes fitted on the sample."""
         if self.shape is None:
             return np.full(len(texts), 1 / (1 + math.exp(-self.prior)))
-        x = np.array([self.features(t, finder.matches(t)) for t in texts], np.float64).reshape(len(texts), 6)
+        x = np.array([self.features(t, finder.matches(t)) for t in texts], np.float64).reshape(len(texts), _WIDTH)
         return self.shape.score(x)
 
 
-def _sums(sample: DataFrame, count) -> DataFrame:
-    """(kind, key, toxic, clean): how many documents of either label have a key, by ``count`` of a text."""
+def _sums(sample: DataFrame, count, *by: str) -> DataFrame:
+    """(kind, key, toxic, clean), and ``by``: how many documents of either label have a key, by ``count`` of a text."""
 
     def each(frames):
         sums: Counter = Counter()
         for pdf in frames:
-            for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                sums.update((*x, int(y)) for x in count(text))
+            for text, y, fold in zip(pdf["text"], pdf["y"], pdf["fold"], strict=True):
+                sums.update((int(fold), *x, int(y)) for x in count(text))
                 if len(sums) > 1_000_000:
                     yield _frame(sums)
                     sums.clear()
         yield _frame(sums)
 
-    found = sample.mapInPandas(each, "kind string, key string, toxic bigint, clean bigint")
-    return found.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.mapInPandas(each, "fold int, kind string, key string, toxic bigint, clean bigint")
+    return found.groupBy(*by, "kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _frame(sums: Counter) -> pd.DataFrame:
-    rows = [(kind, key, n if y else 0, 0 if y else n) for (kind, key, y), n in sums.items()]
-    return pd.DataFrame(rows, columns=["kind", "key", "toxic", "clean"])
+    rows = [(fold, kind, key, n if y else 0, 0 if y else n) for (fold, kind, key, y), n in sums.items()]
+    return pd.DataFrame(rows, columns=["fold", "kind", "key", "toxic", "clean"])
 
 
 def _words(text: str) -> set[tuple[str, str]]:
@@ -241,14 +246,10 @@ def _candidates(benign: frozenset[str]):
     return count
 
 
-def _covers(stem: str, term: str) -> bool:
-    return stem.endswith("*") and term.rstrip("*").startswith(stem[:-1])
+def benign_words(sample: DataFrame, least: int = 3) -> frozenset[str]:
+    """Words of at least ``least`` clean documents which toxic ones hold hardly more often.
 
-
-def benign_words(sample: DataFrame, least: int = 3, most: int = 100_000) -> frozenset[str]:
-    """Words of at least ``least`` clean documents which toxic ones hold hardly more often; the ``most`` commonest.
-
-    They match no stem and nothing by error, whatever they look like.
+    They match no stem and nothing by error, whatever they look like. The sample's size bounds their number.
     """
     counts = cut(_sums(sample, _words), "words")
     base = counts.where("kind = 'all'").first()
@@ -256,15 +257,15 @@ def benign_words(sample: DataFrame, least: int = 3, most: int = 100_000) -> froz
         return frozenset()
     share = max(0.3, 2 * base.toxic / (base.toxic + base.clean))
     usual = counts.where((F.col("kind") == "word") & (F.col("clean") >= least) & (F.col("toxic") <= share * (F.col("toxic") + F.col("clean"))))
-    return frozenset(r.key for r in usual.orderBy(F.col("clean").desc(), "key").limit(most).select("key").collect())
+    return frozenset(r.key for r in usual.select("key").collect())
 
 
 def learn_lexicon(sample: DataFrame, benign: frozenset[str] = frozenset(), precision: float = 0.5, evidence: float = 22.0) -> list[str]:
     """Terms that mark toxic documents: words, and stems as ``stem*``, of words that aren't benign.
 
     A candidate needs a toxic share of ``precision`` among the documents that
-    hold it and a log-likelihood ratio of ``evidence`` against the base rate; at most TERMS, the
-    strongest, come to the driver. Of a stem and the longer stems and words that begin with it, the
+    hold it and a log-likelihood ratio of ``evidence`` against the base rate; the sample's size bounds how many
+    there are. Of a stem and the longer stems and words that begin with it, the
     strongest stays; of equals, the word, then the longest stem.
     """
     counts = cut(_sums(sample, _candidates(benign)), "terms")
@@ -276,9 +277,15 @@ def learn_lexicon(sample: DataFrame, benign: frozenset[str] = frozenset(), preci
     ratio = 2 * (F.col("toxic") * F.log(p / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - share))).otherwise(0.0))
     strong = counts.where((F.col("kind") == "term") & (F.col("toxic") >= precision * n)).withColumn("ratio", ratio).where(F.col("ratio") >= evidence)
     chosen: list[str] = []
-    for r in sorted(strong.orderBy(F.col("ratio").desc(), "key").limit(TERMS).collect(), key=lambda r: (-r.ratio, r.key.endswith("*"), -len(r.key), r.key)):
-        if not any(_covers(t, r.key) or _covers(r.key, t) for t in chosen):
+    stems, begun = set(), set()  # the chosen stems, and whatever a chosen term begins with
+    for r in sorted(strong.select("key", "ratio").collect(), key=lambda r: (-r.ratio, r.key.endswith("*"), -len(r.key), r.key)):
+        plain = r.key.rstrip("*")
+        starts = {plain[:i] for i in range(len(plain) + 1)}
+        if not starts & stems and not (r.key.endswith("*") and plain in begun):
             chosen.append(r.key)
+            begun |= starts
+            if r.key.endswith("*"):
+                stems.add(plain)
     return chosen
 
 
@@ -305,14 +312,8 @@ def _once(make):
     return get
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE, smooth: float = 20.0) -> ToxicityModel:
-    """Fits on at most ``limit`` labelled documents. Only counts of terms, and of the commonest words around them, come to the driver."""
-    sample = cut(labelled_sample(docs, labels, column, limit).dropDuplicates(["doc_id"]), "sample")
-    benign = benign_words(sample)
-    terms = learn_lexicon(sample, benign)
-    counts = cut(_sums(sample, _evidence(_once(lambda: Finder(terms, benign)))), "evidence")
-    known = {(r.kind, r.key): (r.toxic, r.clean) for r in counts.where("kind <> 'around'").collect()}
-    around = counts.where("kind = 'around'").orderBy((F.col("toxic") + F.col("clean")).desc(), "key").limit(CONTEXTS).collect()
+def _weighed(terms: list[str], benign: frozenset[str], known: dict[tuple[str, str], tuple[int, int]], smooth: float) -> ToxicityModel:
+    """The model but for its shapes, from the counts (toxic, clean) of (kind, key)."""
     toxic, clean = known.get(("all", ""), (0, 0))
     model = ToxicityModel(terms, benign, prior=math.log((toxic + 1) / (clean + 1)))
 
@@ -327,17 +328,42 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
         usual = smooth * (t + c + 1) / (hit + missed + 1)
         return math.log((t + usual) / (hit + smooth)) - math.log((c + usual) / (missed + smooth))
 
-    model.contexts = {r.key: within(r.toxic, r.clean) for r in around}
+    model.contexts = {key: within(*n) for (kind, key), n in known.items() if kind == "around" and sum(n) >= LEAST_AROUND}
     model.quoted = tuple(within(*known.get(("quoted", str(q)), (0, 0))) for q in (False, True))
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE, smooth: float = 20.0) -> ToxicityModel:
+    """Fits on at most ``limit`` labelled documents, which bounds what comes to the driver: counts of terms and of the words around them, and a row of evidence a document.
+
+    The shapes are fitted on evidence weighed without the document's own fold, so that they don't trust weights that have seen their document.
+    """
+    sample = labelled_sample(docs, labels, column, limit).dropDuplicates(["doc_id"])
+    sample = cut(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "sample")
+    benign = benign_words(sample)
+    terms = learn_lexicon(sample, benign)
+    finder = _once(lambda: Finder(terms, benign))
+    counts = _sums(sample, _evidence(finder), "fold").collect()
+
+    def known(without: int) -> dict[tuple[str, str], tuple[int, int]]:
+        out: dict[tuple[str, str], tuple[int, int]] = {}
+        for r in counts:
+            if r.fold != without:
+                t, c = out.get((r.kind, r.key), (0, 0))
+                out[r.kind, r.key] = t + r.toxic, c + r.clean
+        return out
+
+    model = _weighed(terms, benign, known(-1), smooth)
+    toxic, clean = (sum(r[y] for r in counts if r.kind == "all") for y in ("toxic", "clean"))
     if toxic and clean:
-        finder = _once(lambda: Finder(model.terms, model.benign))
+        parts = [_weighed(terms, benign, known(fold), smooth) for fold in range(FOLDS)]
+        names = [f"f{i}" for i in range(_WIDTH)]
 
         def each(frames):
             for pdf in frames:
-                x = [model.features(t, finder().matches(t)) for t in pdf["text"]]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"]} | {f"f{i}": [r[i] for r in x] for i in range(6)})
+                x = [parts[fold].features(t, finder().matches(t)) for t, fold in zip(pdf["text"], pdf["fold"], strict=True)]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"]} | {n: [r[i] for r in x] for i, n in enumerate(names)})
 
-        names = [f"f{i}" for i in range(6)]
         rows = sample.mapInPandas(each, "doc_id bigint, y int, " + ", ".join(f"{n} double" for n in names)).toPandas().sort_values("doc_id", ignore_index=True)
         model.shape = fit(rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64), cycles=60, pair_cycles=20, pairs=3)
     return model
