@@ -21,7 +21,7 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "phone": "+"}
 _TERM = r"[\p{L}\p{N}_]{4,}"
-#: Keys of 16 bytes that are broadcast at most.
+#: Terms, or keys of 16 bytes, that are broadcast at most; more of them are joined by exchange.
 SENT = 500_000
 
 
@@ -103,24 +103,46 @@ def disclosing_terms(docs: DataFrame, bits: float = 3.0, share: float = 0.5, sup
     An entity is a base match's kind and value. From the whole corpus: n(t, e),
     the different texts in which t stands near e; n(e), those that hold e; n(t),
     those that hold t anywhere; N, all. t discloses log2(n(t, e) N / (n(t) n(e))) bits
-    about e. A term is returned if, for some e, n(t, e) >= support,
+    about e. Entities and texts near them are told apart by 64-bit hashes. A term is returned if, for some e, n(t, e) >= support,
     n(t, e) / n(t) >= share and the bits reach ``bits``. Copies of one text count once in each, so
     copying alone neither makes a term disclosing nor hides it.
     """
     near = cut(entities(docs), "near")
     of_entity = near.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support).join(of_entity, "entity"), "pairs")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("hash"), text.alias("text"))
-    words = rows.select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    # only the terms that some entity has need counts
-    held = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
-    known = pairs.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term")
-    n = rows.select("hash").distinct().count()
+    n_t, n = _texts_of_terms(docs)
+    known = pairs.join(n_t, "term")
     known = known.withColumn("bits", F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))))
     return known.where((F.col("n_te") >= share * F.col("n_t")) & (F.col("bits") >= bits)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 
+def _words(rows: DataFrame, *names: str) -> DataFrame:
+    """``names`` and term: the different terms of each row's text."""
+    return rows.select(*names, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """A table that is broadcast if it has up to SENT rows, else merged."""
+    return F.broadcast(few) if few.count() <= SENT else few.hint("merge")
+
+
+def _texts_of_terms(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n_t): how many different texts hold each term; and the number of different texts.
+
+    Rows are counted by term before anything is exchanged; from that goes what further copies of a text have added.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    again = cut(copies.where("copies > 1"), "copies")
+    n = docs.count() - (again.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    held = rows.join(_sent(again.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), (F.count("*") - 1).alias("more"))
+    over = _words(held, "more").groupBy("term").agg(F.sum("more").alias("over"))
+    every = _words(rows).groupBy("term").agg(F.count("*").alias("rows"))
+    counted = every.join(over, "term", "left")
+    return counted.select("term", (F.col("rows") - F.coalesce("over", F.lit(0))).alias("n_t")), n
+
+
 def find(docs: DataFrame, bits: float = 3.0, share: float = 0.5, support: int = 2) -> DataFrame:
     """doc_id, text and an array of spans for each kind (email, ip, card, phone, term) of each row of ``docs``.
 
@@ -138,13 +160,11 @@ def find(docs: DataFrame, bits: float = 3.0, share: float = 0.5, support: int =
 
 def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, term): the spans of ``terms`` in each different text that holds some. Only such texts are exchanged while their keys are few enough to be sent to all."""
-    words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    held = cut(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "held")
-    few = held.count() <= SENT
-    texts = rows.select("key", "text").join(F.broadcast(held.select("key")) if few else held.select("key").hint("merge"), "key", "left_semi")
+    held = cut(_words(rows, "key").join(_sent(terms), "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "held")
+    texts = rows.select("key", "text").join(_sent(held.select("key")), "key", "left_semi")
     met = texts.groupBy("key").agg(F.first("text").alias("text")).join(held.hint("merge"), "key")
     spans = F.filter(_located(F.col("text"), F.lit(_TERM)), lambda x: F.array_contains("terms", F.lower(x["m"])))
-    return met.select("key", spans.alias("term"))
+    return cut(met.select("key", spans.alias("term")), "spans")
 
 
 def _named(kind: str) -> Column:
