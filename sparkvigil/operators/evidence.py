@@ -6,7 +6,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,12 +14,6 @@ from ..functions import text as T
 from .graph import written
 
 GROUPS, EDGES, ROOTS, CHARS, PACK_CHARS, PACK_BYTES = 8, 10, 3, 240, 12_000, 24_000
-#: Groups that may still be chosen are ranked before; so many a case reach the greedy choice.
-CONSIDERED = 500
-#: Fixed values of an interpretation: text lengths, list lengths (items, characters each) and verdicts.
-TEXTS = {"summary": 400, "hypothesis": 400}
-LISTS = {"incidents": (5, 16), "evidence": (5, 16), "reasons": (3, 160), "alternatives": (2, 160), "next_checks": (4, 160), "missing": (4, 160)}
-VERDICTS = ("supported", "unclear", "insufficient")
 MOST_OUTPUT = 6_000
 
 
@@ -40,97 +34,159 @@ def groups(incidents: DataFrame, signals: DataFrame, edges: DataFrame, roots: Da
         F.sum("count").alias("occurrences"), F.count("*").alias("windows"), F.min("severity_min").alias("severity"), F.max("qualification_score").alias("score"), F.min("first_seen_ms").alias("first_ms"),
         F.max("last_seen_ms").alias("last_ms"), F.sum(F.coalesce("degree", F.lit(0))).alias("degree"), F.min("root_rank").alias("root_rank"), F.max("root_score").alias("root_score"),
         F.min_by("signal_id", order).alias("representative"), F.max((F.col("signal_id") == F.col("root_signal_id")).cast("int")).alias("is_root"),
-        T.evidence_line(F.min_by("template", order), CHARS).alias("pattern"), F.slice(F.array_sort(F.collect_list("signal_id")), 1, 50).alias("members"),
+        T.evidence_line(F.min_by("template", order), CHARS).alias("pattern"),
     )
 
 
-def choose(rows: list[dict], most: int = GROUPS) -> list[dict]:
-    """Root groups first, by rank; then, one after the other, what is root, new in component, new in template, severe, linked, certain, early."""
-    ranked = sorted((r for r in rows if not math.isnan(r["root_rank"])), key=lambda r: (r["root_rank"], r["representative"]))
-    chosen = ranked[: min(ROOTS, most)]
-    left = [r for r in rows if all(r is not c for c in chosen)]
-    while left and len(chosen) < most:
-        components, templates = {(c["service"], c["component"]) for c in chosen}, {c["template_id"] for c in chosen}
-        best = min(left, key=lambda r: (-r["is_root"], (r["service"], r["component"]) in components, r["template_id"] in templates, r["severity"], -r["degree"], -r["score"], math.inf if math.isnan(r["first_ms"]) else r["first_ms"], r["representative"]))
-        chosen.append(best)
-        left = [r for r in left if r is not best]
-    return chosen
+def chosen(found: DataFrame, most: int = GROUPS) -> DataFrame:
+    """The groups of each incident's pack, numbered by ``place`` from 1.
+
+    First come up to ROOTS groups that hold a ranked root; then, place by place, the best of the rest: the incident's root, a service and
+    component that the pack lacks, a template that it lacks, then ``base``: severity, degree, score, time, representative. A pick looks past
+    at most ``most`` components and as many templates, so a group outside the first most + 1 of its component or template, and
+    then outside the first 2 * most * (most + 1) + 1, is never picked: what is compared in one row is bounded, and nothing is lost.
+    """
+    base = [F.col("severity"), F.col("degree").desc(), F.col("score").desc(), F.col("first_ms").asc_nulls_last(), F.col("representative")]
+    order = [F.col("is_root").desc(), *base]
+    rank = lambda *by: F.row_number().over(W.partitionBy("incident_id", *by).orderBy(*order))
+    roots = F.row_number().over(W.partitionBy("incident_id").orderBy(F.col("root_rank").asc_nulls_last(), "representative"))
+    rows = found.withColumn("root_place", F.when(F.col("root_rank").isNotNull(), roots)).withColumn("base", rank())
+    near = (rank("service", "component") <= most + 1) & (rank("template_id") <= most + 1)
+    rows = rows.withColumn("near", near).withColumn("nth", F.row_number().over(W.partitionBy("incident_id", "near").orderBy(*order)))
+    rows = rows.where((F.col("root_place") <= ROOTS) | (F.col("base") <= most + 1) | (F.col("near") & (F.col("nth") <= 2 * most * (most + 1) + 1)))
+    place = F.concat(F.col("service"), F.lit("\x00"), F.col("component"))
+    one = F.struct(F.coalesce("root_place", F.lit(1 << 30)).alias("root"), (1 - F.col("is_root")).alias("other"), F.col("base"), place.alias("at"), F.col("template_id").alias("of"))
+    cases = rows.groupBy("incident_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    first = F.slice(F.filter("all", lambda g: g["root"] <= ROOTS), 1, min(ROOTS, most))
+
+    def pick(acc: Column, _: Column) -> Column:
+        left = F.filter("all", lambda g: ~F.exists(acc, lambda c: c["base"] == g["base"]))
+        seen = lambda g, name: F.exists(acc, lambda c: c[name] == g[name])
+        best = F.array_min(F.transform(left, lambda g: F.struct(g["other"].alias("a"), seen(g, "at").alias("b"), seen(g, "of").alias("c"), g["base"].alias("d"), g.alias("g"))))
+        return F.when((F.size(left) == 0) | (F.size(acc) >= most), acc).otherwise(F.concat(acc, F.array(best["g"])))
+
+    picked = cases.select("incident_id", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, pick)).alias("place", "g"))
+    return rows.drop("near", "nth", "root_place").join(picked.select("incident_id", "place", F.col("g.base").alias("base")), ["incident_id", "base"]).withColumn("place", F.col("place") + 1).drop("base")
 
 
 def pack_case(rows: list[dict], edges: list[dict]) -> str:
-    """The case as JSON within PACK_CHARS and PACK_BYTES: over that, patterns are clipped, the weakest edges go, then the last groups."""
-    chosen = choose(rows)
-    alias = {m: f"S{i}" for i, r in enumerate(chosen, 1) for m in r["members"]}
-    links = sorted((e for e in edges if e["source"] in alias and e["target"] in alias), key=lambda e: (-e["score"], e["source"], e["target"]))[:EDGES]
-    clip = CHARS
-    while True:
-        signals = [{"ref": f"S{i}", "pattern": r["pattern"][:clip], "service": r["service"], "severity": int(r["severity"]), "occurrences": int(r["occurrences"]), "windows": int(r["windows"])} for i, r in enumerate(chosen, 1)]
-        known = {s["ref"] for s in signals}
-        body = {"signals": signals, "edges": [{"from": alias[e["source"]], "to": alias[e["target"]], "score": e["score"]} for e in links if {alias[e["source"]], alias[e["target"]]} <= known], "roots": [alias[r["representative"]] for r in chosen if not math.isnan(r["root_rank"])][:ROOTS]}
-        text = json.dumps(body, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-        if len(text) <= PACK_CHARS and len(text.encode()) <= PACK_BYTES:
-            return text
+    """The case as JSON within PACK_CHARS and PACK_BYTES; ``rows`` are chosen groups by place, ``edges`` join places, best first.
+
+    Over the budget go, in turn, the weakest edges but one, groups without a root, all but 80 characters of patterns, the weaker roots, the last edge.
+    """
+    rows, links, clip = list(rows), list(edges), CHARS
+    is_root = lambda r: r["root_rank"] is not None and not math.isnan(r["root_rank"])
+
+    def drop() -> bool:
+        nonlocal clip
+        plain = [r for r in rows if not is_root(r)]
         if len(links) > 1:
             links.pop()
+        elif plain and len(rows) > 1:
+            rows.remove(plain[-1])
         elif clip > 80:
             clip = 80
-        elif len(chosen) > 1:
-            chosen.pop()
+        elif len(rows) > 1:
+            rows.pop()
+        elif links:
+            links.pop()
         else:
+            return False
+        return True
+
+    while True:
+        known = {r["place"] for r in rows}
+        signals = [{"ref": f"S{r['place']}", "pattern": r["pattern"][:clip], "service": r["service"], "severity": int(r["severity"]), "occurrences": int(r["occurrences"]), "windows": int(r["windows"])} for r in rows]
+        body = {"signals": signals, "edges": [{"from": f"S{e['source']}", "to": f"S{e['target']}", "score": e["score"]} for e in links if {e["source"], e["target"]} <= known], "roots": [f"S{r['place']}" for r in rows if is_root(r)][:ROOTS]}
+        text = json.dumps(body, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        if len(text) <= PACK_CHARS and len(text.encode()) <= PACK_BYTES:
+            return text
+        if not drop():
             raise ValueError("a single group exceeds the budget")
 
 
 def packs(incidents: DataFrame, signals: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(incident_id, pack, chars, bytes) of every incident."""
-    found = groups(incidents, signals, edges, roots)
-    order = W.partitionBy("incident_id").orderBy(F.col("root_rank").asc_nulls_last(), F.col("is_root").desc(), "severity", F.col("degree").desc(), F.col("score").desc(), "representative")
-    near = written(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CONSIDERED).drop("_n"), "groups")
-    inner = edges.join(incidents.select("incident_id", F.explode("signal_ids").alias("source")), "source").select("incident_id", "source", "target", "score")
+    """(incident_id, pack, chars, bytes) of every incident. Edges meet their groups by signal, in joins; a pack sees its chosen groups and best edges alone."""
+    picked = written(chosen(groups(incidents, signals, edges, roots)), "groups")
+    each = incidents.select("incident_id", F.explode("signal_ids").alias("signal_id")).join(signals.select("signal_id", "template_id", F.coalesce("service", F.lit("")).alias("service"), F.coalesce("component", F.lit("")).alias("component")), "signal_id")
+    member = written(each.join(picked.select("incident_id", "template_id", "service", "component", "place"), ["incident_id", "template_id", "service", "component"]).select("incident_id", "signal_id", "place"), "members")
+    ends = [member.select("incident_id", F.col("signal_id").alias(c), F.col("place").alias(c + "_place")) for c in ("source", "target")]
     best = W.partitionBy("incident_id").orderBy(F.col("score").desc(), "source", "target")
-    inner = written(inner.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 20 * CONSIDERED).drop("_n"), "inner")
+    inner = edges.select("source", "target", "score").join(ends[0], "source").join(ends[1], ["incident_id", "target"]).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= EDGES)
+    inner = inner.select("incident_id", F.col("source_place").alias("source"), F.col("target_place").alias("target"), "score", "nth")
 
-    def each(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.astype({"root_rank": "float64", "first_ms": "float64"}).to_dict("records")
-        text = pack_case([r | {"members": list(r["members"])} for r in rows], right.to_dict("records")) if rows else "{}"
+    def each_case(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        text = pack_case(left.astype({"root_rank": "float64"}).sort_values("place").to_dict("records"), right.sort_values("nth").to_dict("records")) if len(left) else "{}"
         return pd.DataFrame([(key[0], text, len(text), len(text.encode()))], columns=["incident_id", "pack", "chars", "bytes"])
 
-    return near.groupBy("incident_id").cogroup(inner.groupBy("incident_id")).applyInPandas(each, "incident_id string, pack string, chars int, bytes int")
+    return picked.groupBy("incident_id").cogroup(inner.groupBy("incident_id")).applyInPandas(each_case, "incident_id string, pack string, chars int, bytes int")
 
 
-def admitted(reply: str, finish: str, incidents: dict[str, str], members: dict[str, list[str]]) -> dict:
-    """An interpretation that passes the gate, its references resolved; else ValueError with the reason.
+def _text(most: int):
+    return lambda x: isinstance(x, str) and bool(x.strip()) and len(x) <= most
+
+
+def _texts(count: int, most: int):
+    return lambda x: isinstance(x, list) and len(x) <= count and all(map(_text(most), x))
+
+
+#: An interpretation's fields: the fault's code, and what a value must be.
+SCHEMA = {
+    "verdict": ("invalid_verdict", lambda x: x in ("supported", "unclear", "insufficient")),
+    "confidence": ("invalid_confidence", lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= 1),
+    **{name: ("invalid_text", _text(400)) for name in ("summary", "hypothesis")},
+    **{name: ("invalid_list", _texts(*size)) for name, size in {"incidents": (5, 16), "evidence": (5, 16), "reasons": (3, 160), "alternatives": (2, 160), "next_checks": (4, 160), "missing": (4, 160)}.items()},
+}
+
+
+def _object(reply: str) -> dict | None:
+    """The reply's JSON object; None if it isn't one, repeats a key or has a number that JSON lacks."""
+    class Bad(ValueError):
+        pass
+
+    def pairs(found):
+        if len(dict(found)) != len(found):
+            raise Bad
+        return dict(found)
+
+    def number(_):
+        raise Bad
 
-    ``incidents`` and ``members`` map the pack's references to an incident and to signals. Exactly the fixed fields, each once,
-    within their lengths; confidence between 0 and 1; references known and not repeated.
-    """
-    def unique(pairs):
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("invalid_json")
-        return dict(pairs)
-
-    def constant(name):
-        raise ValueError("invalid_json")
-
-    if finish != "stop":
-        raise ValueError("incomplete_response")
-    if not isinstance(reply, str) or not reply.strip() or len(reply) > MOST_OUTPUT:
-        raise ValueError("invalid_output_size")
     try:
-        value = json.loads(reply, object_pairs_hook=unique, parse_constant=constant)
+        value = json.loads(reply, object_pairs_hook=pairs, parse_constant=number)
     except (ValueError, RecursionError):
-        raise ValueError("invalid_json") from None
-    if not isinstance(value, dict) or set(value) != {*TEXTS, *LISTS, "confidence", "verdict"}:
-        raise ValueError("invalid_fields")
-    said = lambda x, n: isinstance(x, str) and 0 < len(x.strip()) and len(x) <= n
-    if not all(said(value[k], n) for k, n in TEXTS.items()):
-        raise ValueError("invalid_text")
-    if type(value["confidence"]) not in (int, float) or not 0 <= value["confidence"] <= 1:
-        raise ValueError("invalid_confidence")
-    if value["verdict"] not in VERDICTS:
-        raise ValueError("invalid_verdict")
-    if not all(isinstance(value[k], list) and len(value[k]) <= n and all(said(x, size) for x in value[k]) for k, (n, size) in LISTS.items()):
-        raise ValueError("invalid_list")
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def faults(reply: str, finish: str, incidents: dict[str, str], members: dict[str, list[str]], belongs: dict[str, set[str]] | None = None) -> list[str]:
+    """Every fault of an interpretation, sorted; none if it may be shown.
+
+    ``belongs`` maps each evidence reference to the incident references that it is part of: evidence of none of the incidents named is a fault.
+    """
+    out = {"incomplete_response"} if finish != "stop" else set()
+    if not _text(MOST_OUTPUT)(reply):
+        return sorted(out | {"invalid_output_size"})
+    value = _object(reply)
+    if value is None:
+        return sorted(out | {"invalid_json"})
+    if value.keys() != SCHEMA.keys():
+        out.add("invalid_fields")
+    bad = {name for name, (_, fits) in SCHEMA.items() if name in value and not fits(value[name])}
+    out |= {SCHEMA[name][0] for name in bad}
     for name, known in (("incidents", incidents), ("evidence", members)):
-        if not value[name] or len(set(value[name])) < len(value[name]) or not set(value[name]) <= set(known):
-            raise ValueError(f"invalid_{name}_reference")
-    return value | {"incidents": [incidents[r] for r in value["incidents"]], "evidence": list(dict.fromkeys(s for r in value["evidence"] for s in members[r]))}
+        refs = value.get(name)
+        if name not in bad and isinstance(refs, list) and (not refs or len({*refs}) < len(refs) or {*refs} - known.keys()):
+            out.add(f"invalid_{name}_reference")
+    if belongs is not None and not out and any(belongs.get(r, set()).isdisjoint(value["incidents"]) for r in value["evidence"]):
+        out.add("invalid_evidence_reference")
+    return sorted(out)
+
+
+def admitted(reply: str, finish: str, incidents: dict[str, str], members: dict[str, list[str]], belongs: dict[str, set[str]] | None = None) -> dict:
+    """An interpretation without ``faults``, its references resolved to ids; else ValueError with all of them."""
+    if found := faults(reply, finish, incidents, members, belongs):
+        raise ValueError(";".join(found))
+    value = json.loads(reply)
+    signals = {s: None for r in value["evidence"] for s in members[r]}
+    return value | {"incidents": [incidents[r] for r in value["incidents"]], "evidence": list(signals)}

@@ -16,6 +16,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="sparkvigil-"))
         root = _own[0]

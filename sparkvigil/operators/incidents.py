@@ -121,7 +121,7 @@ def incidents(signals: DataFrame, edges: DataFrame, known: DataFrame | None = No
         F.sum("count").alias("event_count"), F.count("*").alias("signal_count"), F.min("severity_min").alias("severity_min"),
         F.round(F.max("qualification_score"), 3).alias("qualification_score"), F.when(timed, F.min("first_seen_ms")).alias("start_ms"), F.when(timed, F.max("last_seen_ms")).alias("end_ms"),
         strings(F.when(F.col("workload") != "unknown", F.col("workload"))).alias("services"), strings(F.coalesce("component", F.lit("unknown"))).alias("components"),
-        strings("template_id").alias("template_ids"), strings("signal_id").alias("signal_ids"), F.min_by(F.struct("signal_id", "workload", "template"), rank).alias("root"),
+        strings("template_id").alias("template_ids"), strings("signal_id").alias("signal_ids"), F.min_by(F.struct("signal_id", "workload", "template", (F.col("alarm_type") if "alarm_type" in signals.columns else F.lit(None).cast("string")).alias("alarm_type")), rank).alias("root"),
     ).where((F.col("told") == 1) & ((F.col("signal_count") > 1) | (F.col("pods") > 1) | (F.col("event_count") >= 5)))
     ends = members.select(F.col("signal_id").alias("source"), F.col("cluster").alias("sc")), members.select(F.col("signal_id").alias("target"), F.col("cluster").alias("tc"))
     inner = edges.join(ends[0], "source").join(ends[1], "target").where("sc = tc").groupBy(F.col("sc").alias("cluster")).agg(F.count("*").alias("correlation_count"))
@@ -133,11 +133,11 @@ def incidents(signals: DataFrame, edges: DataFrame, known: DataFrame | None = No
         got = got.join(seen, "problem_key", "left").withColumn("active", F.col("known_id").isNotNull() & (F.coalesce("end_ms", "seen_ms") - F.col("seen_ms") <= ttl_ms))
     else:
         got = got.withColumn("active", F.lit(False)).withColumn("known_id", F.lit(None).cast("string"))
-    fresh = F.concat(F.lit("inc:"), F.substring(F.sha2("problem_key", 256), 1, 8))
+    fresh = F.concat(F.lit("inc:"), F.substring(F.sha2("problem_key", 256), 1, 32))
     return got.select(
         F.when(F.col("active"), F.col("known_id")).otherwise(fresh).alias("incident_id"), "cluster", "problem_key", F.when(F.col("active"), "active").otherwise("open").alias("status"), (~F.col("active")).alias("is_new"),
         "start_ms", "end_ms", "event_count", "signal_count", (F.col("correlation_count") > 0).alias("correlated"), "correlation_count", "severity_min", "qualification_score", F.lit(0.88).alias("confidence"),
-        "services", "components", "template_ids", "signal_ids", F.col("root.template").alias("root_cause_template"), F.col("root.signal_id").alias("root_signal_id"), F.col("root.workload").alias("root_entity"), F.col("domain").alias("root_domain"),
+        "services", "components", "template_ids", "signal_ids", F.col("root.template").alias("root_cause_template"), F.col("root.signal_id").alias("root_signal_id"), F.col("root.workload").alias("root_entity"), F.col("domain").alias("root_domain"), F.col("root.alarm_type").alias("root_alarm_type"),
     )
 
 
@@ -215,7 +215,7 @@ def owner_of(template: Column, alarm_type: Column, entity: Column) -> Column:
 def plan(found: DataFrame, roots: DataFrame) -> DataFrame:
     """One plan an incident: who looks at what next. Nothing is ever executed without a human."""
     candidates = roots.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("rank", "signal_id", "score", "evidence"))).alias("root_cause_candidates"))
-    who = owner_of(F.col("root_cause_template"), F.lit(None).cast("string"), F.col("root_entity"))
+    who = owner_of(F.col("root_cause_template"), F.col("root_alarm_type"), F.col("root_entity"))
     return found.withColumn("who", who).join(candidates, "incident_id", "left").select(
         "incident_id", F.col("who.step").alias("recommended_next_step"), F.col("who.owner").alias("owner"), "status", F.coalesce("start_ms", "end_ms").alias("opened_at_ms"),
         F.lit(False).alias("execution_allowed"), F.lit(True).alias("requires_human_approval"), F.col("signal_count").alias("evidence_count"), "confidence", "root_cause_candidates",

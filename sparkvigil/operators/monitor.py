@@ -83,11 +83,11 @@ def resolve_policy(lines: DataFrame, policies: list[tuple[str, str]], strict: bo
 
     ``lines`` is a bounded sample (stream, line); the policies, at most a hundred or so, are part of the plan. ``strict`` leaves out those without a match.
     """
-    out = None
-    for name, pattern in policies:
-        hit = F.col("line").rlike("^(?:" + pattern + ")")
-        row = lines.agg(F.lit(name).alias("policy_id"), F.sum(hit.cast("long")).alias("matched"), F.sum((~hit).cast("long")).alias("missed"), F.count_distinct(F.when(hit, F.col("stream"))).alias("streams"))
-        out = row if out is None else out.unionByName(row)
+    hits = [F.col("line").rlike("^(?:" + pattern + ")") for _, pattern in policies]
+    # one scan: each stream's counts first, then those of all streams
+    each = lines.groupBy("stream").agg(*[F.count_if(h).alias(f"m{i}") for i, h in enumerate(hits)], *[F.count_if(~h).alias(f"x{i}") for i, h in enumerate(hits)])
+    row = lambda i, name: F.struct(F.lit(name).alias("policy_id"), F.sum(f"m{i}").alias("matched"), F.sum(f"x{i}").alias("missed"), F.count_if(F.col(f"m{i}") > 0).alias("streams"))
+    out = each.agg(F.array(*[row(i, name) for i, (name, _) in enumerate(policies)]).alias("rows")).select(F.inline("rows"))
     out = out.where("matched > 0") if strict else out
     return out.withColumn("rank", F.row_number().over(W.orderBy(F.col("matched").desc(), "missed", F.col("streams").desc(), "policy_id")))
 

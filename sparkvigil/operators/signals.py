@@ -48,7 +48,7 @@ def aggregate(events: DataFrame, window_ms: int = 60_000) -> DataFrame:
     )
     identity = F.concat_ws("|", "group_type", "template_id", "identity", F.coalesce(F.col("window_start_ms").cast("string"), F.lit("untimed")))
     scope = F.coalesce(F.nullif(F.concat_ws("/", T.known(F.col("namespace")), T.known(F.col("service"))), F.lit("")), T.known(F.col("component")), T.known(F.col("host")), F.lit("general"))
-    return out.withColumn("signal_id", F.concat(F.lit("sig:"), F.substring(F.sha2(identity, 256), 1, 12))).withColumn("window_end_ms", F.col("window_start_ms") + window_ms).withColumn(
+    return out.withColumn("signal_id", F.concat(F.lit("sig:"), F.substring(F.sha2(identity, 256), 1, 32))).withColumn("window_end_ms", F.col("window_start_ms") + window_ms).withColumn(
         "burst_score", F.round(F.least(F.lit(1.0), F.col("count") / 10), 4)
     ).withColumn("scope", scope)
 

@@ -12,40 +12,43 @@ CATCH_ALL = (r"^.*$", r"^.+$", r"^.*", r"^.+", r"^\S+", r"^\s*\S+", r"^")
 
 
 def alternatives(pattern: str) -> int:
-    """Alternatives outside any group or class."""
-    depth, cls, escaped, n = 0, False, False, 1
-    for c in pattern:
-        if escaped:
-            escaped = False
-        elif c == "\\":
-            escaped = True
-        elif cls:
-            cls = c != "]"
-        elif c == "[":
-            cls = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            n += 1
-    return n
+    """Alternatives outside any group or class: what is left of the bars when escapes, classes and groups, innermost first, are erased."""
+    left = re.sub(r"\[\^?\]?[^\]]*\]", "", re.sub(r"\\.", "", pattern, flags=re.S))
+    while (less := re.sub(r"\([^()]*\)", "", left)) != left:
+        left = less
+    return left.count("|") + 1
 
 
-def unsafe(pattern: str) -> str | None:
-    """Why a pattern may not decide boundaries, or None: empty, unanchored, too long, matching anything, too many alternatives, not compiling."""
-    if not pattern or not pattern.strip():
-        return "empty"
-    if not pattern.startswith("^"):
-        return "unanchored"
-    if len(pattern) > LONGEST:
-        return "too_long"
-    if pattern in CATCH_ALL:
-        return "catch_all"
-    if alternatives(pattern) > ALTERNATIVES:
-        return "too_many_alternatives"
+def _matches_anything(pattern: str) -> bool:
+    return pattern in CATCH_ALL or all(re.match(pattern, text) for text in ("zz qq", "{1}"))
+
+
+def _compiles(pattern: str) -> bool:
     try:
-        return "catch_all" if re.compile(pattern).match("zz qq") and re.compile(pattern).match("{1}") else None
+        return re.compile(pattern) is not None
     except re.error:
-        return "does_not_compile"
+        return False
+
+
+#: What a pattern must not be, by code, most telling first.
+FAULTS = {
+    "empty": lambda p: not p.strip(),
+    "does_not_compile": lambda p: not _compiles(p),
+    "unanchored": lambda p: p[:1] != "^",
+    "too_many_alternatives": lambda p: alternatives(p) > ALTERNATIVES,
+    "catch_all": lambda p: _compiles(p) and _matches_anything(p),
+    "too_long": lambda p: len(p) > LONGEST,
+}
+
+
+def faults(pattern: str) -> list[str]:
+    """All that speaks against a pattern deciding boundaries."""
+    return [code for code, holds in FAULTS.items() if holds(pattern or "")]
+
+
+def unsafe(pattern: str) -> str | None:
+    """The most telling fault of a pattern, or None."""
+    return next(iter(faults(pattern)), None)
 
 
 def shape(token: Column) -> Column:

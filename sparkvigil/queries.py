@@ -289,7 +289,7 @@ def dependency_paths(spark, sf_dir):
 
 
 def _event_signals(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_type in ('error', 'purchase')")
+    e = _events(spark, sf_dir)
     return e.select(
         F.concat(F.lit("s"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("signal_id"), F.col("ts_ms").alias("first_seen_ms"), F.col("ts_ms").alias("last_seen_ms"), "template_id", "template",
         F.lit(None).cast("string").alias("alarm_type"), T.severity_number(F.col("severity")).alias("severity_min"), F.concat(F.lit("user"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("service"),
@@ -297,9 +297,9 @@ def _event_signals(spark, sf_dir):
 
 
 @_query(
-    """WITH s AS (SELECT 's' || lpad(event_id::VARCHAR, 10, '0') AS id, (epoch_us(ts) // 1000) AS t, event_type AS k, user_id AS u FROM events WHERE event_type IN ('error', 'purchase'))
+    """WITH s AS (SELECT 's' || lpad(event_id::VARCHAR, 10, '0') AS id, (epoch_us(ts) // 1000) AS t, event_type AS k, user_id AS u FROM events)
 SELECT CASE WHEN a.k = 'error' THEN a.id ELSE b.id END AS source, CASE WHEN a.k = 'error' THEN b.id ELSE a.id END AS target, 0.75::DOUBLE AS score, 'root_class_first,cascade_follows' AS evidence, abs(b.t - a.t) AS time_gap_ms
-FROM s a JOIN s b ON a.u = b.u AND a.k <> b.k AND (b.t > a.t OR b.t = a.t AND b.id > a.id) AND b.t - a.t <= 180000"""
+FROM s a JOIN s b ON a.u = b.u AND a.k IN ('error', 'purchase') AND b.k IN ('error', 'purchase') AND a.k <> b.k AND (b.t > a.t OR b.t = a.t AND b.id > a.id) AND b.t - a.t <= 180000"""
 )
 def correlate_interval(spark, sf_dir):
     return incidents.correlate(_event_signals(spark, sf_dir)).select("source", "target", "score", F.array_join("evidence", ",").alias("evidence"), "time_gap_ms")
@@ -436,12 +436,12 @@ def count_reconciliation(spark, sf_dir):
 
 
 @_query(
-    "WITH a AS (SELECT event_type AS m, user_id % 50 AS w, CASE event_id % 3 WHEN 0 THEN 'WINDOW_LOCAL' WHEN 1 THEN 'UNKNOWN' ELSE 'TRANSIENT' END AS c, user_id % 2 AS s FROM events WHERE event_id % 17 = 0), "
+    "WITH a AS (SELECT event_type AS m, user_id % 50 AS w, CASE event_id % 3 WHEN 0 THEN 'WINDOW_LOCAL' WHEN 1 THEN 'UNKNOWN' ELSE 'TRANSIENT' END AS c, user_id % 2 AS s FROM events), "
     "u AS (SELECT m, w, max(n) AS same FROM (SELECT m, w, s, count(*) AS n FROM a WHERE c = 'UNKNOWN' GROUP BY ALL) GROUP BY ALL) SELECT a.m AS monitor_id, a.w AS \"window\", count(*) AS attempts, count(*) FILTER (c = 'WINDOW_LOCAL') AS local, "
     "CASE WHEN count(*) FILTER (c = 'WINDOW_LOCAL') >= 3 THEN 'QUARANTINED' WHEN any_value(same) >= 3 THEN 'ESCALATED' ELSE 'RETRY' END AS status FROM a LEFT JOIN u USING (m, w) GROUP BY ALL"
 )
 def failure_quarantine(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id % 17 = 0")
+    e = _events(spark, sf_dir)
     kind = F.when(F.col("event_id") % 3 == 0, "WINDOW_LOCAL").when(F.col("event_id") % 3 == 1, "UNKNOWN").otherwise("TRANSIENT")
     return monitor.failure_state(e.select(F.col("event_type").alias("monitor_id"), (F.col("user_id") % 50).alias("window"), kind.alias("classification"), (F.col("user_id") % 2).alias("signature")))
 

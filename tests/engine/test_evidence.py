@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,20 +19,44 @@ def test_generalised_templates(spark):
     assert {r.t: (r.g.template, r.g.rules) for r in df.collect()} == cases
 
 
+GROUP = "incident_id string, template_id string, service string, component string, occurrences long, windows long, severity int, score double, first_ms long, last_ms long, degree long, root_rank int, root_score double, representative string, is_root int, pattern string"
+
+
 def group(i, **over):
-    return {"template_id": f"t{i}", "service": f"s{i % 3}", "component": "c", "occurrences": 5, "windows": 1, "severity": 3, "score": 0.9, "first_ms": float(i), "last_ms": 9.0, "degree": 0, "root_rank": float("nan"), "root_score": None, "representative": f"sig{i:02d}", "is_root": 0, "pattern": "p" * 240, "members": [f"sig{i:02d}"]} | over
+    row = {"incident_id": "i", "template_id": f"t{i}", "service": f"s{i % 3}", "component": "c", "occurrences": 5, "windows": 1, "severity": 3, "score": 0.9, "first_ms": i, "last_ms": 9, "degree": 0, "root_rank": None, "root_score": None, "representative": f"sig{i:02d}", "is_root": 0, "pattern": "p" * 240}
+    return row | over
+
+
+def brute_choice(rows, most=8):
+    out = sorted((r for r in rows if r["root_rank"] is not None), key=lambda r: (r["root_rank"], r["representative"]))[:3]
+    while len(out) < min(most, len(rows)):
+        places, templates = {(r["service"], r["component"]) for r in out}, {r["template_id"] for r in out}
+        left = [r for r in rows if r not in out]
+        out.append(min(left, key=lambda r: (-r["is_root"], (r["service"], r["component"]) in places, r["template_id"] in templates, r["severity"], -r["degree"], -r["score"], r["first_ms"], r["representative"])))
+    return [r["representative"] for r in out]
+
+
+def test_choice_is_bounded_diverse_and_stable(spark):
+    rng, rows = random.Random(3), [group(i) for i in range(12)] + [group(20, root_rank=0, is_root=1), group(21, root_rank=1, severity=4)]
+    for case in range(6):
+        pairs = rng.sample([(t, s) for t in range(40) for s in range(30)], 400)
+        rows += [group(k, incident_id=f"c{case}", template_id=f"t{t % (3 + 8 * case)}-{t}", service=f"s{s % (2 + 5 * case)}-{s}", severity=rng.randrange(1, 8), degree=rng.randrange(3), root_rank=k if k < case else None, is_root=int(k == 0), representative=f"r{k:03d}") for k, (t, s) in enumerate(pairs)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], GROUP).repartition(5)
+    got = {}
+    for r in evidence.chosen(df).orderBy("place").collect():
+        got.setdefault(r.incident_id, []).append(r.representative)
+    assert got == {i: brute_choice([r for r in rows if r["incident_id"] == i]) for i in {r["incident_id"] for r in rows}}
+    assert len(got["i"]) == 8 and got["i"][:2] == ["sig20", "sig21"]
 
 
-def test_choice_is_bounded_diverse_and_stable():
-    rows = [group(i) for i in range(12)] + [group(20, root_rank=0.0, is_root=1), group(21, root_rank=1.0, severity=4)]
-    got = [r["representative"] for r in evidence.choose(rows)]
-    assert len(got) == 8 and got[:2] == ["sig20", "sig21"] and got == [r["representative"] for r in evidence.choose(rows[::-1])]
-    edges = [{"source": "sig20", "target": f"sig{i:02d}", "score": 0.5 + i / 100} for i in range(12)]
+def test_packs_stay_within_the_budget():
+    rows = [group(i, place=i + 1, root_rank=float(i) if i < 2 else float("nan")) for i in range(8)]
+    edges = [{"source": 1, "target": i, "score": 0.9 - i / 100} for i in range(2, 9)]
     text = evidence.pack_case(rows, edges)
     body = json.loads(text)
-    assert len(body["edges"]) <= 10 and body["roots"] == ["S1", "S2"] and "sig20" not in text and len(text) <= 12_000
-    wide = [r | {"pattern": "é" * 5000} for r in rows]
-    assert len(evidence.pack_case(wide, edges).encode()) <= 24_000
+    assert len(body["edges"]) == 7 and body["roots"] == ["S1", "S2"] and "sig0" not in text and len(text) <= 12_000
+    wide = json.loads(evidence.pack_case([r | {"service": "é" * 4000} for r in rows], edges))
+    assert len(wide["edges"]) <= 1 and {"S1"} <= {s["ref"] for s in wide["signals"]} and len(wide["signals"]) < 8
 
 
 def test_gate_of_interpretations():
@@ -44,6 +69,10 @@ def test_gate_of_interpretations():
             evidence.admitted(json.dumps(good | change), "stop", *known)
     with pytest.raises(ValueError, match="invalid_json"):
         evidence.admitted('{"a": 1, "a": 2}', "stop", *known)
+    both = json.dumps(good | {"confidence": -1, "verdict": "no"})
+    assert evidence.faults(both, "length", *known) == ["incomplete_response", "invalid_confidence", "invalid_verdict"]
+    assert evidence.faults(json.dumps(good), "stop", *known, {"S1": {"I1"}}) == []
+    assert evidence.faults(json.dumps(good), "stop", *known, {"S1": {"I2"}}) == ["invalid_evidence_reference"]
     with pytest.raises(ValueError, match="incomplete_response"):
         evidence.admitted(json.dumps(good), "length", *known)
 
