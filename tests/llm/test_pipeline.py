@@ -65,3 +65,15 @@ def test_run_packs_the_mix(spark, sf_dir):
     again = corpus_pipeline.run(spark, sf_dir).collect()
     key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     assert key(got) == key(again)
+
+
+def test_extra_columns_keep_their_names_and_values(spark, sf_dir):
+    names = ["_score", "_hash", "_of", "_drops", "_left", "_keep", "_n", "_tie", "_key", "_copy", "_ranges", "ranges", "hash"]
+    docs = spark.read.parquet(sf_dir + "/documents.parquet").where("doc_id < 60")
+    for n in names:
+        docs = docs.withColumn(n, corpus_pipeline.mixing.F.lit("own"))
+    want = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf_dir), name)
+        assert docs.columns == want
+        assert {tuple(r[n] for n in names) for r in docs.collect()} == {("own",) * len(names)}, name
