@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .components import connected_components
 SEED = 42
 #: Least values of the shingle sets, ROWS to a band: two sets of similarity 0.8 share no band with a probability of 3.2e-6.
 BANDS, ROWS = 24, 4
+#: Counts that order shingles by how common they are; more than 2^20 shingles share slots, which blurs the order of those rarer than their share.
+SLOTS = 1 << 20
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES, _PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -168,13 +171,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.where(F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similar).select("a", "b")
 
 
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How many items of all sets fall on each of SLOTS slots; an item's slot is its low bits. Of a fixed size, whatever the table's."""
+    items = sets.select(F.explode("items").alias("item"))
+    found = items.groupBy(F.col("item").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count().toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["count"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """(node, n, item, i): the rarest items of each set with their places, as many as a set must share one of with any similar set.
+
+    All sets are ordered alike, by commonness and then by value, so results are exact whatever the commonness says.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+
+    def each(batches):
+        for batch in batches:
+            rare = []
+            for items in batch.column("items"):
+                h = items.values.to_numpy()
+                rare.append(h[np.lexsort((h, common.value[h & (SLOTS - 1)]))][: len(h) - _at_least(similar * len(h)) + 1])
+            if rare:
+                many = [len(h) for h in rare]
+                n = pc.list_value_length(batch.column("items")).to_numpy()
+                columns = [np.repeat(batch.column("node").to_numpy(), many), np.repeat(n, many), np.concatenate(rare), np.concatenate([np.arange(k, dtype=np.int32) for k in many])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "item", "i"])
+
+    return sets.select("node", "items").mapInArrow(each, "node bigint, n int, item bigint, i int")
+
+
+def _at_least(x: float) -> int:
+    return int(np.ceil(x - 1e-9))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _fits(similar: float) -> Column:
+    """Whether sets of ``xn`` and ``yn`` items, whose first common item lies at ``xi`` and ``yi``, can be similar; y is the smaller or of equal size."""
+    enough = F.ceil(F.lit(similar / (1 + similar)) * (F.col("xn") + F.col("yn")) - 1e-9)
+    sizes = (F.col("yn") <= F.col("xn")) & (F.col("yn") >= F.lit(similar) * F.col("xn") - 1e-9)
+    return sizes & (F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= enough)
+
+
+def _central(prefixes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b): each set with the most central one of an item, that with the fewest items rarer than it."""
+    hub = F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j")), F.struct("i", "node")).alias("hub")
+    hubs = prefixes.groupBy("item").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("item", "hub.*")
+    met = prefixes.join(hubs, "item").where("node <> b")
+    x = F.col("n") > F.col("m")
+    sizes = met.select("node", "b", F.greatest("n", "m").alias("xn"), F.least("n", "m").alias("yn"), F.when(x, F.col("i")).otherwise(F.col("j")).alias("xi"), F.when(x, F.col("j")).otherwise(F.col("i")).alias("yi"))
+    return sizes.where(_fits(similar)).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def _unlinked(prefixes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of different roots that can be similar: every similar pair that no links connect is among them.
+
+    Sizes and places are compared by class, (n, i) of an item, and only classes that fit give pairs, so a frequent item costs no comparison of all its sets.
+    """
+    both = prefixes.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("item")
+    rows = cut(prefixes.join(both, "item"), "split")
+    short = rows.where(F.col("i") <= F.col("n") - F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("n") - 1e-9))
+    of = lambda t, k: t.groupBy("item", F.col("n").alias(k + "n"), F.col("i").alias(k + "i")).agg(F.min("root").alias(k + "low"), F.max("root").alias(k + "high"))
+    same = (F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow"))
+    classes = cut(of(rows, "x").join(of(short, "y"), "item").where(_fits(similar) & ~same).select("item", "xn", "xi", "yn", "yi"), "classes")
+    x = rows.select("item", F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("node").alias("x"), F.col("root").alias("xroot"))
+    y = short.select("item", F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("node").alias("y"), F.col("root").alias("yroot"))
+    some = x.join(classes, ["item", "xn", "xi"]).join(y, ["item", "yn", "yi"]).where("xroot <> yroot")
+    return some.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
     """(doc_id, component_id): one row for each row of ``docs``.
 
     component_id is the least doc_id that links reach; texts link if the Jaccard similarity of
     their sets of word shingles is at least ``similar``. Texts of one set are one node, those without words too.
     Candidates share a band key; each link is verified on the whole sets. The members of a bucket
-    meet its least one first; then only pairs that no links connect yet.
+    meet its least one first, then the most central set that holds a rare shingle of theirs. What no links
+    connect by then meets by rare shingles: similar sets share one among their rarest, at places that leave enough to share.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -188,18 +265,19 @@ def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int =
     held = rows.join(texts.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
     sets = cut(_shingled(held.select("doc", "text_hash", "text"), words_each, whole=True).select("node", "items").dropDuplicates(["node"]), "sets")
 
-    fit = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similar
-    stars = cut(shared.where("node <> b").where(fit("n", "m")).select(F.col("node").alias("a"), "b").distinct(), "stars")
-    links = cut(_verified(stars, sets, similar), "links")
+    fit = F.least("n", "m") / F.greatest("n", "m") >= similar
+    done = cut(shared.where("node <> b").where(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "stars")
+    links = cut(_verified(done, sets, similar), "links")
     roots = cut(connected_components(links), "roots")
-    rooted = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = _rooted(shared.select("key", "node"), roots)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = cut(rooted.join(split, "key"), "rest")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-    apart = rest.join(other, "key").where("node > b and root <> of").where(fit("n", "m")).select(F.col("node").alias("a"), "b").distinct()
-    more = _verified(cut(apart.join(stars, ["a", "b"], "left_anti"), "apart"), sets, similar)
-    links = cut(links.unionByName(more), "links")
-    roots = cut(connected_components(links), "roots")
+    rest = cut(rooted.join(split, "key").select("node").distinct().join(sets, "node"), "rest")
+    prefixes = cut(_prefixes(rest, similar), "prefixes")
+    for step in (_central, _unlinked):
+        pairs = cut(step(_rooted(prefixes, roots), similar).join(done, ["a", "b"], "left_anti"), "pairs")
+        done = done.unionByName(pairs)
+        links = links.unionByName(cut(_verified(pairs, rest, similar), "links"))
+        roots = cut(connected_components(links), "roots")
 
     nodes = cut(marked.groupBy("node").agg(F.min("doc").alias("rep")), "nodes")
     lead = cut(roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("lead")), "lead")

@@ -31,3 +31,27 @@ def test_one_of_each_group_of_similarity_08_stays(spark):
             comp[i] = comp[j] = min(comp[i], comp[j])
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(5)
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(comp)
+
+
+def test_rare_shingles_find_every_similar_pair(spark):
+    rng = random.Random(6)
+    centre = list(range(1000, 1100))
+    sets, fresh = {}, iter(range(10**6, 10**7))
+    for node in range(120):
+        drop, add = rng.randrange(0, 30), rng.randrange(0, 30)
+        sets[node] = rng.sample(centre, 100 - drop) + [next(fresh) for _ in range(add)]
+    roots = {node: node // 2 * 2 for node in range(40)}  # some are linked already
+    rows = spark.createDataFrame([(k, v) for k, v in sets.items()], "node bigint, items array<bigint>").repartition(3)
+    linked = spark.createDataFrame(list(roots.items()), "node bigint, root bigint")
+    prefixes = simhash._rooted(simhash._prefixes(rows, 0.8), linked)
+    found = {(r.a, r.b) for r in simhash._unlinked(prefixes, 0.8).collect()}
+    near = set()
+    for a in sets:
+        for b in range(a):
+            shared = len(set(sets[a]) & set(sets[b]))
+            if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8 and roots.get(a, a) != roots.get(b, b):
+                near.add((a, b))
+    assert near and near <= found
+    assert len(found) < 120 * 119 / 4
+    central = {(r.a, r.b) for r in simhash._central(prefixes, 0.8).collect()}
+    assert central and central <= {(a, b) for a in sets for b in range(a)}
