@@ -272,7 +272,9 @@ def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int =
     rooted = _rooted(shared.select("key", "node"), roots)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rest = cut(rooted.join(split, "key").select("node").distinct().join(sets, "node"), "rest")
-    prefixes = cut(_prefixes(rest, similar), "prefixes")
+    rarest = cut(_prefixes(rest, similar), "rarest")
+    held_twice = rarest.groupBy("item").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("item")
+    prefixes = cut(rarest.join(held_twice, "item"), "prefixes")
     for step in (_central, _unlinked):
         pairs = cut(step(_rooted(prefixes, roots), similar).join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(pairs)
