@@ -52,11 +52,17 @@ def patterns(counts: DataFrame, windows: int = LEAST) -> DataFrame:
     ``counts`` holds window (consecutive numbers), template_id, n. pattern_frequency is a spike; new_pattern is one
     that none of the earlier windows has; pattern_disappearance one that all have, with a median of at least 5, and this one hasn't.
     """
+    counts = counts.where("window is not null and template_id is not null").select("template_id", F.col("window").cast("bigint").alias("window"), F.coalesce("n", F.lit(0)).alias("n"))
     span = counts.agg(F.min("window").alias("lo"), F.max("window").alias("hi"))
-    first = counts.groupBy("template_id").agg(F.min("window").alias("since"))
-    grid = first.crossJoin(F.broadcast(span)).select("template_id", "lo", F.explode(F.sequence("lo", "hi")).alias("window"))
-    full = grid.join(counts, ["template_id", "window"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rows = change(history(full, ["template_id"], "window", "n", windows), "n")
+    # only a window with the pattern, or right after one, can have a kind; the others are never made
+    after = counts.where("n > 0").select("template_id", (F.col("window") + 1).alias("window"), F.lit(0).cast(counts.schema["n"].dataType).alias("n"))
+    rows = counts.unionByName(after).groupBy("template_id", "window").agg(F.sum("n").alias("n"))
+    before = W.partitionBy("template_id").orderBy("window").rangeBetween(-windows, -1)
+    rows = rows.withColumn("had", F.map_from_entries(F.collect_list(F.struct("window", F.col("n").cast("double"))).over(before)))
+    rows = rows.crossJoin(F.broadcast(span)).where("window <= hi")
+    gone = F.transform(F.sequence(F.greatest("lo", F.col("window") - windows), F.col("window") - 1), lambda w: F.coalesce(F.try_element_at("had", w), F.lit(0.0)))
+    rows = rows.withColumn("past", F.when(F.col("window") > F.col("lo"), gone).otherwise(F.expr("cast(array() as array<double>)")))
+    rows = change(rows, "n")
     seen = F.size(F.filter("past", lambda x: x > 0))
     kind = (
         F.when((F.col("n") > 0) & (F.col("direction") == "spike") & (seen > 0), "pattern_frequency")

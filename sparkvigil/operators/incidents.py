@@ -12,6 +12,46 @@ from .graph import components
 
 GAP_MS, SAME_SERVICE_MS, TOPOLOGY_MS = 300_000, 180_000, 60_000
 ROOTS, CONTEXT_TEMPLATES = 5, 20
+#: Sizes of the buckets of time: gap_ms times a power of eight, up to some twenty years for five minutes.
+LEVELS = 8
+
+
+def _mentions(rows: DataFrame) -> DataFrame:
+    """(text, names): the services, of three characters or more, that each different text holds. They meet by the name's first three."""
+    names = rows.where(F.length("svc") >= 3).select("svc").distinct().select("svc", F.lower("svc").alias("low"), F.left(F.lower("svc"), F.lit(3)).alias("gram"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, 3)))
+    texts = rows.where(F.length("text") >= 3).select("text").distinct().select("text", F.explode(grams).alias("gram"))
+    return texts.join(names, "gram").where(F.contains("text", F.col("low"))).groupBy("text").agg(F.collect_set("svc").alias("names"))
+
+
+def _meetings(rows: DataFrame, paths: DataFrame | None, gap_ms: int) -> DataFrame:
+    """Pairs (a_..., b_...) of ``rows`` that time and one of the rules of ``correlate`` may link; a pair may come more than once.
+
+    Both sides carry keys: a root or cascade class within a service (s), the own service against those that the
+    other's text names or its topology reaches (m), and the reverse (n). b starts in the time that a covers, in buckets of
+    ``gap_ms`` times a power of eight: a long signal takes wider ones, so it is in about eight of them, however long it is.
+    """
+    found = rows.join(_mentions(rows), "text", "left").withColumn("names", F.coalesce("names", F.expr("cast(array() as array<string>)")))
+    if paths is not None:
+        hops = paths.where("hops between 1 and 2").select("src", "dst")
+        around = hops.unionByName(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy(F.col("src").alias("svc")).agg(F.collect_set("dst").alias("around"))
+        found = found.join(around, "svc", "left").withColumn("around", F.coalesce("around", F.expr("cast(array() as array<string>)")))
+    else:
+        found = found.withColumn("around", F.expr("cast(array() as array<string>)"))
+    tagged = lambda tag, names: F.transform(names, lambda x: F.concat(F.lit(tag), x))
+    own = F.when(F.col("svc") != "", F.array("svc")).otherwise(F.expr("cast(array() as array<string>)"))
+    classed = F.when(F.col("kind").isin(*P.ROOT_CLASSES, *P.CASCADE_CLASSES), own).otherwise(F.expr("cast(array() as array<string>)"))
+    a_keys = F.concat(tagged("s:", classed), tagged("m:", own), tagged("n:", F.col("names")))
+    b_keys = F.concat(tagged("s:", classed), tagged("m:", F.array_union("names", "around")), tagged("n:", own))
+
+    low, high = F.expr(f"first div {gap_ms}"), F.expr(f"greatest(last, first) div {gap_ms} + 1")
+    level = F.least(F.lit(LEVELS - 1), F.floor(F.log2(high - low + 1) / 3).cast("int"))
+    a = found.withColumn("level", level).withColumn("low", low).withColumn("high", high)
+    a = a.withColumn("bucket", F.explode(F.expr("sequence(shiftright(low, 3 * level), shiftright(high, 3 * level))"))).withColumn("key", F.explode(a_keys))
+    b = found.withColumn("low", low).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    b = b.withColumn("bucket", F.expr("shiftright(low, 3 * level)")).withColumn("key", F.explode(b_keys))
+    at = ["key", "level", "bucket"]
+    return a.select(*at, *[F.col(c).alias("a_" + c) for c in rows.columns]).hint("merge").join(b.select(*at, *[F.col(c).alias("b_" + c) for c in rows.columns]), at).drop(*at)
 
 
 def correlate(signals: DataFrame, paths: DataFrame | None = None, gap_ms: int = GAP_MS) -> DataFrame:
@@ -21,22 +61,17 @@ def correlate(signals: DataFrame, paths: DataFrame | None = None, gap_ms: int =
     service; untimed ones take no part. A pair (a before b, at most ``gap_ms`` from a's end to b's start) is
     linked by, in this order: a text that names the other's service (.78); within a service and three minutes,
     a root class and its cascade (.75) or two root classes (.65); then topology, ``paths`` (src depends on dst), of one hop (.82)
-    or two (.72) where that scores more. Pairs meet by buckets of time, so no signal meets all others.
+    or two (.72) where that scores more. Pairs meet by what links them and by time, see ``_meetings``.
     """
     rows = signals.where("first_seen_ms is not null and last_seen_ms is not null").select(
         "signal_id", F.col("first_seen_ms").alias("first"), F.col("last_seen_ms").alias("last"), "template_id",
         F.lower(F.coalesce("template", F.lit(""))).alias("text"), F.coalesce(T.known(F.col("service")), F.lit("")).alias("svc"),
         T.failure_class(F.col("template"), F.col("alarm_type"), F.col("severity_min")).alias("kind"),
     )
-    a = rows.select([F.col(c).alias("a_" + c) for c in rows.columns])
-    b = rows.select([F.col(c).alias("b_" + c) for c in rows.columns])
-    # b starts at or after a does and at most gap_ms after a ends: it lies in one of the buckets that a covers
-    a = a.withColumn("bucket", F.explode(F.expr(f"sequence(a_first div {gap_ms}, greatest(a_last, a_first) div {gap_ms} + 1)")))
-    b = b.withColumn("bucket", F.expr(f"b_first div {gap_ms}"))
     later = (F.col("b_first") > F.col("a_first")) | ((F.col("b_first") == F.col("a_first")) & (F.col("b_signal_id") > F.col("a_signal_id")))
     gap = F.greatest(F.lit(0), F.col("b_first") - F.col("a_last"))
     same = (F.col("a_svc") != "") & (F.col("a_svc") == F.col("b_svc"))
-    pairs = a.hint("merge").join(b, "bucket").where(later & (gap <= gap_ms)).where(~(same & F.coalesce(F.col("a_template_id") == F.col("b_template_id"), F.lit(False))))
+    pairs = _meetings(rows, paths, gap_ms).where(later & (gap <= gap_ms)).where(~(same & F.coalesce(F.col("a_template_id") == F.col("b_template_id"), F.lit(False))))
     root = lambda c: F.col(c).isin(*P.ROOT_CLASSES)
     cascade = lambda c: F.col(c).isin(*P.CASCADE_CLASSES)
     names = lambda x, y: (F.length(x) >= 3) & F.contains(F.col(y), F.lower(F.col(x)))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: A signal names so many of its events.
+IDS = 8
+
 #: The sets of a signal, and the column of an event that each collects.
 SETS = {
     "pod_names": "pod_name", "pod_template_hashes": "pod_template_hash", "service_ids": "service_id", "hosts": "host_name", "data_centers": "data_center", "racks": "rack",
@@ -44,8 +48,15 @@ def aggregate(events: DataFrame, window_ms: int = 60_000) -> DataFrame:
         first("component").alias("component"), first("host").alias("host"), first(pick("alarm_type")).alias("alarm_type"), first(pick("namespace")).alias("namespace"),
         F.round(F.avg(F.col("template_reliable").cast("int")), 4).alias("reliable_ratio"),
         F.round(F.avg(pick("process_time_ms").try_cast("double")), 2).alias("avg_latency"),
-        F.transform(F.slice(F.array_sort(F.collect_list("order_key")), 1, 8), lambda x: x["id"]).alias("event_ids"), *sets,
+        *sets,
     )
+    # the first ids are limited on each side of the exchange, so that no group's ids meet in one row
+    keys = ["group_type", "template_id", "identity", "window_start_ms"]
+    early = rows.select(*keys, "order_key", F.row_number().over(W.partitionBy(*keys).orderBy("order_key")).alias("nth")).where(F.col("nth") <= IDS)
+    ids = early.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("order_key")), lambda x: x["id"]).alias("event_ids"))
+    ids = ids.select(*[F.col(k).alias("of_" + k) for k in keys], "event_ids")
+    same = [F.col(k).eqNullSafe(F.col("of_" + k)) for k in keys]
+    out = out.join(ids, same).drop(*["of_" + k for k in keys])
     identity = F.concat_ws("|", "group_type", "template_id", "identity", F.coalesce(F.col("window_start_ms").cast("string"), F.lit("untimed")))
     scope = F.coalesce(F.nullif(F.concat_ws("/", T.known(F.col("namespace")), T.known(F.col("service"))), F.lit("")), T.known(F.col("component")), T.known(F.col("host")), F.lit("general"))
     return out.withColumn("signal_id", F.concat(F.lit("sig:"), F.substring(F.sha2(identity, 256), 1, 32))).withColumn("window_end_ms", F.col("window_start_ms") + window_ms).withColumn(
