@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+
 LEAST, HORIZON, MULTIPLIER, SPIKE, COLLAPSE = 5, 30, 6, 3.0, 0.25
 
 
@@ -53,15 +55,14 @@ def patterns(counts: DataFrame, windows: int = LEAST) -> DataFrame:
     that none of the earlier windows has; pattern_disappearance one that all have, with a median of at least 5, and this one hasn't.
     """
     counts = counts.where("window is not null and template_id is not null").select("template_id", F.col("window").cast("bigint").alias("window"), F.coalesce("n", F.lit(0)).alias("n"))
+    counts = written(counts, "counts")  # read three times
     span = counts.agg(F.min("window").alias("lo"), F.max("window").alias("hi"))
-    # only a window with the pattern, or right after one, can have a kind; the others are never made
-    after = counts.where("n > 0").select("template_id", (F.col("window") + 1).alias("window"), F.lit(0).cast(counts.schema["n"].dataType).alias("n"))
-    rows = counts.unionByName(after).groupBy("template_id", "window").agg(F.sum("n").alias("n"))
-    before = W.partitionBy("template_id").orderBy("window").rangeBetween(-windows, -1)
-    rows = rows.withColumn("had", F.map_from_entries(F.collect_list(F.struct("window", F.col("n").cast("double"))).over(before)))
-    rows = rows.crossJoin(F.broadcast(span)).where("window <= hi")
-    gone = F.transform(F.sequence(F.greatest("lo", F.col("window") - windows), F.col("window") - 1), lambda w: F.coalesce(F.try_element_at("had", w), F.lit(0.0)))
-    rows = rows.withColumn("past", F.when(F.col("window") > F.col("lo"), gone).otherwise(F.expr("cast(array() as array<double>)")))
+    # a count goes to its own window and to those whose past it is; no other window can have a kind
+    each = counts.where("n > 0").crossJoin(F.broadcast(span)).withColumn("ago", F.explode(F.sequence(F.lit(0), F.lit(windows)))).withColumn("window", F.col("window") + F.col("ago")).where("window <= hi")
+    at = lambda k: F.coalesce(F.sum(F.when(F.col("ago") == k, F.col("n"))), F.lit(0))
+    length = F.least(F.lit(windows), F.max(F.col("window") - F.col("lo"))).cast("int")
+    past = F.slice(F.array(*[at(k).cast("double") for k in range(windows, 0, -1)]), F.lit(windows + 1) - length, length)
+    rows = each.groupBy("template_id", "window").agg(at(0).alias("n"), past.alias("past"))
     rows = change(rows, "n")
     seen = F.size(F.filter("past", lambda x: x > 0))
     kind = (

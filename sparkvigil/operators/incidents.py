@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .graph import components
+from .graph import components, written
 
 GAP_MS, SAME_SERVICE_MS, TOPOLOGY_MS = 300_000, 180_000, 60_000
 ROOTS, CONTEXT_TEMPLATES = 5, 20
@@ -48,7 +48,8 @@ def _meetings(rows: DataFrame, paths: DataFrame | None, gap_ms: int) -> DataFram
     level = F.least(F.lit(LEVELS - 1), F.floor(F.log2(high - low + 1) / 3).cast("int"))
     a = found.withColumn("level", level).withColumn("low", low).withColumn("high", high)
     a = a.withColumn("bucket", F.explode(F.expr("sequence(shiftright(low, 3 * level), shiftright(high, 3 * level))"))).withColumn("key", F.explode(a_keys))
-    b = found.withColumn("low", low).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    used = F.broadcast(rows.select(level.alias("level")).distinct())  # LEVELS rows at most
+    b = found.withColumn("low", low).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).join(used, "level", "left_semi")
     b = b.withColumn("bucket", F.expr("shiftright(low, 3 * level)")).withColumn("key", F.explode(b_keys))
     at = ["key", "level", "bucket"]
     return a.select(*at, *[F.col(c).alias("a_" + c) for c in rows.columns]).hint("merge").join(b.select(*at, *[F.col(c).alias("b_" + c) for c in rows.columns]), at).drop(*at)
@@ -68,6 +69,7 @@ def correlate(signals: DataFrame, paths: DataFrame | None = None, gap_ms: int =
         F.lower(F.coalesce("template", F.lit(""))).alias("text"), F.coalesce(T.known(F.col("service")), F.lit("")).alias("svc"),
         T.failure_class(F.col("template"), F.col("alarm_type"), F.col("severity_min")).alias("kind"),
     )
+    rows = written(rows, "timed")  # read six times
     later = (F.col("b_first") > F.col("a_first")) | ((F.col("b_first") == F.col("a_first")) & (F.col("b_signal_id") > F.col("a_signal_id")))
     gap = F.greatest(F.lit(0), F.col("b_first") - F.col("a_last"))
     same = (F.col("a_svc") != "") & (F.col("a_svc") == F.col("b_svc"))
