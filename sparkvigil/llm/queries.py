@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, order_minhash, packing, pii, quality, simhash, topk, toxicity, urls
+from . import filter_audit, line_dedup, mixing, order_minhash, packing, pii, quality, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _TOPK = """
@@ -73,4 +78,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": _TOPK, "op10_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_topk": _TOPK, "op10_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
