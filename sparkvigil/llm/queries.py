@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, line_dedup, mixing, order_minhash, packing, pii, quality, simhash, token_counts, topk, toxicity, urls
+from . import filter_audit, lexical, line_dedup, mixing, order_minhash, packing, pii, quality, simhash, token_counts, topk, toxicity, urls
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_counts": op12_token_counts,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _TOPK = """
@@ -83,4 +88,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": _TOPK, "op10_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_topk": _TOPK, "op10_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_lexical_search": lexical.ORACLE}
