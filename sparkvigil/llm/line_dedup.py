@@ -43,6 +43,11 @@ def template_keys(line: Column) -> Column:
     return _let(F.regexp_extract_all(masked, F.lit(WORD), F.lit(0)), keys)
 
 
+def text_hash(text: str = "text") -> Column:
+    """128 bits that stand for a text (null: empty): its lines go by them, so two texts must not be taken for one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(hash, drops): for the texts that lose lines, by hash, the numbers (from 0) of those lines.
 
@@ -52,7 +57,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     are one text, so they keep and lose the same lines.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lines = rows.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    lines = rows.select("doc", text_hash().alias("hash"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
     paths = cut(lines.select("doc", "hash", "line", template_keys(F.col("value")).alias("keys")).where("size(keys) > 0"), "lines")
     each = paths.select("doc", "hash", "line", F.posexplode("keys").alias("kind", "key"))
     own = F.struct("doc", "hash")
@@ -67,11 +72,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: the line numbers that go (null: none) and the text that is left."""
-    text_hash, of, drops, left = unused(docs.columns, "_hash", "_of", "_drops", "_left")
+    own, of, drops, left = unused(docs.columns, "_hash", "_of", "_drops", "_left")
     found = cut(repeated_lines(docs), "drops")
-    marked = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    marked = docs.withColumn(own, text_hash())
     # merged at any size: no switch from broadcasting to shuffling the texts as the corpus grows
-    met = marked.join(found.select(F.col("hash").alias(of), F.col("drops").alias(drops)).hint("merge"), F.col(text_hash) == F.col(of), "left")
+    met = marked.join(found.select(F.col("hash").alias(of), F.col("drops").alias(drops)).hint("merge"), F.col(own) == F.col(of), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     rest = _let(lines, lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col(drops)), lambda i: F.get(w, i)), "\n"))
     return met.withColumn(left, F.when(F.col(drops).isNull(), F.col("text")).otherwise(rest)), drops, left

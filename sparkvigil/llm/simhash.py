@@ -147,20 +147,25 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def _shingled(docs: DataFrame, words_each: int, whole: bool) -> DataFrame:
-    """(doc, text_hash, node, n, and the band keys or, if ``whole``, the set itself) of each row of (doc, text_hash, text); a text without words has neither."""
+    """(doc, text_hash, set_hash, n, and the band keys or, if ``whole``, the set itself) of each row of (doc, text_hash, text); a text without words has neither."""
     name = "items" if whole else "keys"
 
     def each(batches):
         for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = [np.unique(shingle_hashes(t, words_each)) for t in batch.column("text").to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             lists = sets if whole else [np.array(band_keys(h) if len(h) else [], np.uint64) for h in sets]
             offsets = np.cumsum([0, *map(len, lists)])
             values = pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64))
-            columns = [batch.column("doc"), batch.column("text_hash"), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "node", "n", name])
+            named = pa.array([xxhash.xxh3_128_digest(h.tobytes(), SEED) for h in sets], pa.binary())
+            columns = [batch.column("doc"), batch.column("text_hash"), named, pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "set_hash", "n", name])
 
-    return docs.mapInArrow(each, f"doc bigint, text_hash bigint, node bigint, n int, {name} array<bigint>")
+    return docs.mapInArrow(each, f"doc bigint, text_hash binary, set_hash binary, n int, {name} array<bigint>")
+
+
+def _text_hash() -> Column:
+    """128 bits that stand for a text (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -240,30 +245,27 @@ def _unlinked(prefixes: DataFrame, similar: float) -> DataFrame:
     classes = cut(of(rows, "x").join(of(short, "y"), "item").where(_fits(similar) & ~same).select("item", "xn", "xi", "yn", "yi"), "classes")
     x = rows.select("item", F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("node").alias("x"), F.col("root").alias("xroot"))
     y = short.select("item", F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("node").alias("y"), F.col("root").alias("yroot"))
-    some = x.join(classes, ["item", "xn", "xi"]).join(y, ["item", "yn", "yi"]).where("xroot <> yroot")
+    # roots pair first, so that the sets of one large component are not compared with each other only to be thrown away
+    apart = x.drop("x").distinct().join(classes, ["item", "xn", "xi"]).join(y.drop("y").distinct(), ["item", "yn", "yi"]).where("xroot <> yroot")
+    some = apart.join(x, ["item", "xn", "xi", "xroot"]).join(y, ["item", "yn", "yi", "yroot"])
     return some.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
-    """(doc_id, component_id): one row for each row of ``docs``.
-
-    component_id is the least doc_id that links reach; texts link if the Jaccard similarity of
-    their sets of word shingles is at least ``similar``. Texts of one set are one node, those without words too.
-    Candidates share a band key; each link is verified on the whole sets. The members of a bucket
-    meet its least one first, then the most central set that holds a rare shingle of theirs. What no links
-    connect by then meets by rare shingles: similar sets share one among their rarest, at places that leave enough to share.
-    """
+def _grouped(docs: DataFrame, similar: float, words_each: int) -> DataFrame:
+    """(doc, text_hash, root) of each row of ``docs``: rows of one root are near duplicates, over links at least; see ``similar_components``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), _text_hash().alias("text_hash"), text.alias("text"))
     marked = cut(_shingled(rows, words_each, whole=False), "bands")
-    keyed = marked.select("node", "n", "text_hash", F.explode("keys").alias("key"))
-    keyed = keyed.groupBy("key", "node", "n").agg(F.min("text_hash").alias("text_hash"))
-    keyed = cut(keyed, "keyed")
+    # a node for each different set; its number, unlike a hash of 64 bits, can stand for no other
+    alike = marked.groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = cut(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keyed = cut(nodes.select("node", "n", "text_hash", F.explode("keys").alias("key")), "keyed")
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.min_by("n", "node").alias("m")).where("b <> top")
     shared = cut(keyed.join(least.select("key", "b", "m"), "key"), "buckets")
-    texts = shared.groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    texts = shared.select("text_hash").distinct()
     held = rows.join(texts.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
-    sets = cut(_shingled(held.select("doc", "text_hash", "text"), words_each, whole=True).select("node", "items").dropDuplicates(["node"]), "sets")
+    found = _shingled(held.select("doc", "text_hash", "text"), words_each, whole=True).select("set_hash", "items")
+    sets = cut(found.join(nodes.select("set_hash", "node"), "set_hash").select("node", "items"), "sets")
 
     fit = F.least("n", "m") / F.greatest("n", "m") >= similar
     done = cut(shared.where("node <> b").where(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "stars")
@@ -280,24 +282,38 @@ def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int =
         done = done.unionByName(pairs)
         links = links.unionByName(cut(_verified(pairs, rest, similar), "links"))
         roots = cut(connected_components(links), "roots")
+    named = cut(_rooted(nodes.select("node", "set_hash"), roots).select("set_hash", "root"), "named")
+    return marked.select("doc", "text_hash", "set_hash").join(named, "set_hash").select("doc", "text_hash", "root")
 
-    nodes = cut(marked.groupBy("node").agg(F.min("doc").alias("rep")), "nodes")
-    lead = cut(roots.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("lead")), "lead")
-    known = roots.join(lead, "root").select("node", "lead")
-    whole = cut(nodes.join(known, "node", "left").select("node", F.coalesce("lead", "rep").alias("component_id")), "whole")
-    return marked.join(whole, "node").select(F.col("doc").alias("doc_id"), "component_id")
+
+def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
+    """(doc_id, component_id): one row for each row of ``docs``.
+
+    component_id is the least doc_id that links reach, null where all are; texts link if the Jaccard similarity of
+    their sets of word shingles is at least ``similar``. Texts of one set are one node, those without words (null, empty) too.
+    Rows of one id are told apart by their texts: each is in the component of its own text.
+    Candidates share a band key; each link is verified on the whole sets. The members of a bucket
+    meet its least one first, then the most central set that holds a rare shingle of theirs. What no links
+    connect by then meets by rare shingles: similar sets share one among their rarest, at places that leave enough to share.
+    """
+    rows = cut(_grouped(docs, similar, words_each), "grouped")
+    lead = rows.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return rows.join(lead, "root").select(F.col("doc").alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, similar: float = 0.8, words_each: int = 5) -> DataFrame:
-    """The rows of ``docs`` that remain when one document of each near-duplicate group stays: that with the least doc_id.
+    """The rows of ``docs`` that remain when one row of each near-duplicate group stays.
 
-    Groups are those of ``similar_components``. Of rows that repeat one id and text, one stays; a repeated id whose texts differ and do not link keeps both.
-    Groups that have no id at all (all null) keep one row for each text.
+    Groups are those of ``similar_components``, taken by row: whatever ids repeat or are null, one row of each group stays,
+    that with the least doc_id (null last), of those the one whose text has the least hash.
     """
     from pyspark.sql import Window as W
 
-    stays, number = unused(docs.columns, "_keep", "_n")
-    keep = cut(similar_components(docs, similar, words_each).select(F.col("component_id").alias(stays)).distinct(), "keep")
-    kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
-    one = W.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")))).orderBy(F.col("text").isNull())
+    doc, text_hash, number = unused(docs.columns, "_doc", "_hash", "_n")
+    first = F.struct(F.col("doc").isNull(), "doc", "text_hash")
+    leads = _grouped(docs, similar, words_each).groupBy("root").agg(F.min(first).alias("x"))
+    keep = cut(leads.select(F.col("x.doc").alias(doc), F.col("x.text_hash").alias(text_hash)).distinct(), "keep")
+    marked = docs.withColumn(number, _text_hash())
+    kept = marked.join(keep.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.col(number) == F.col(text_hash)), "left_semi")
+    one = W.partitionBy("doc_id", number).orderBy(F.col("text").isNull())
     return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)

@@ -33,6 +33,71 @@ def test_one_of_each_group_of_similarity_08_stays(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(comp)
 
 
+def brute_groups(texts, similar=0.8):
+    """The group of each text, by all pairs of different sets."""
+    sets = [frozenset(shingles(t or "")) if (t or "").split() else frozenset() for t in texts]
+    different = list(dict.fromkeys(sets))
+    comp = {x: i for i, x in enumerate(different)}
+    near = [(x, y) for i, x in enumerate(different) for y in different[:i] if x and y and len(x & y) / len(x | y) >= similar]
+    while any(comp[x] != comp[y] for x, y in near):
+        for x, y in near:
+            comp[x] = comp[y] = min(comp[x], comp[y])
+    return [comp[x] for x in sets]
+
+
+def stays(rows, similar=0.8):
+    """How many rows of each least id stay, one a group."""
+    groups = {}
+    for (i, _), g in zip(rows, brute_groups([t for _, t in rows], similar), strict=True):
+        groups.setdefault(g, []).append((i is None, i or 0))
+    return sorted(min(ids) for ids in groups.values())
+
+
+SCHEMA = "doc_id bigint, text string, root string, node int, set_hash string"
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, t, "r", 1, "s") for i, t in rows], SCHEMA).repartition(3)
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    return [(r.doc_id, r.text) for r in out.collect()]
+
+
+def test_rows_of_repeated_and_null_ids_go_with_their_own_group(spark):
+    text, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, text), (5, other), (5, text + " more")]
+    assert sorted(kept(spark, rows)) == [(3, text), (5, other)]
+    rows = [(None, text), (None, text + " more"), (None, other), (7, other), (None, None), (None, ""), (2, " ")]
+    got = kept(spark, rows)
+    assert sorted((i is None, i or 0) for i, _ in got) == stays(rows) == [(False, 2), (False, 7), (True, 0)]
+    assert kept(spark, []) == []
+    # the id of one group's first row is also a row of another group, which has a smaller id
+    rows = [(1, other), (4, text), (4, other + " more"), (9, text + " end")]
+    assert sorted(kept(spark, rows)) == [(1, other), (4, text)]
+
+
+def test_a_hot_group_of_near_copies_and_copies(spark):
+    rng = random.Random(8)
+    centre = [f"c{i}" for i in range(80)]
+    rows = []
+    for i in range(260):  # near copies on either side of 0.8 to each other, and copies
+        t = list(centre)
+        for at in rng.sample(range(80), rng.randrange(0, 7)):
+            t[at] = rng.choice(["x", "y", f"n{i}"])
+        rows.append((rng.choice([i, i, None]), " ".join(t)))
+    rows += [(1000 + i, " ".join(centre)) for i in range(150)] + [(5000 + i, f"text {i} of its own " * 3) for i in range(30)] + [(6000, "word " * 60_000)]
+    rng.shuffle(rows)
+    got = kept(spark, rows)
+    assert sorted((i is None, i or 0) for i, _ in got) == stays(rows)
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    groups = brute_groups([t for _, t in rows])
+    least = {}
+    for (i, _), g in zip(rows, groups, strict=True):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    key = lambda r: str(tuple(r))
+    assert sorted(found.collect(), key=key) == sorted([(i, least[g]) for (i, _), g in zip(rows, groups, strict=True)], key=key)
+
+
 def test_rare_shingles_find_every_similar_pair(spark):
     rng = random.Random(6)
     centre = list(range(1000, 1100))
