@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .graph import written
 
 QUARANTINE, ESCALATE = 3, 3
+# How many findings a run shows, and the kinds and rules that may be shown.
+FINDINGS = 10
+KINDS = ("total_volume", "log_rate", "pod_volume", "container_volume", "pattern_frequency", "new_pattern", "pattern_disappearance", "error_severity", "pod_error_concentration", "container_error_concentration")
+RULES = ("median_mad_and_ratio", "new_template_and_absent_from_recent_history", "at_least_90_percent_of_parsed_errors")
 
 
 def lane(ts_ms: Column, start: Column, end: Column) -> Column:
@@ -57,6 +61,27 @@ def failure_state(attempts: DataFrame) -> DataFrame:
     return rows.select("monitor_id", "window", "attempts", "local", status.alias("status"))
 
 
+def findings(incidents: DataFrame, anomalies: DataFrame, most: int = FINDINGS) -> DataFrame:
+    """(run_id, nth, kind, ref, title, rule, severity, count, first_seen_ms, last_seen_ms, finding_id): the ``most`` findings that each run shows.
+
+    ``incidents`` holds run_id and incident_id, ``anomalies`` run_id, signal_id, kind and qualified; both may have severity, count, first_seen_ms, last_seen_ms, and anomalies
+    rule. Incidents come first, then qualified anomalies; within each by ref, a hash of the id, so that nothing of a source's
+    names shows. Titles and rules are those allowed, whatever a row says; a count that is missing is 1.
+    """
+    def side(rows: DataFrame, kind: str, name: str, title: Column, rule: Column) -> DataFrame:
+        pick = lambda c, t: (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
+        ref = F.left(F.sha2(F.coalesce(F.col(name).cast("string"), F.lit("")), 256), F.lit(32))
+        return rows.select("run_id", F.lit(kind).alias("kind"), ref.alias("ref"), title.alias("title"), rule.alias("rule"), pick("severity", "string"), F.coalesce(pick("count", "bigint"), F.lit(1)).alias("count"), pick("first_seen_ms", "bigint"), pick("last_seen_ms", "bigint"))
+
+    said = F.col("rule") if "rule" in anomalies.columns else F.lit(None).cast("string")
+    shown = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("Anomaly")
+    rows = side(incidents, "incident", "incident_id", F.lit("Incident"), F.lit(None).cast("string")).unionByName(
+        side(anomalies.where("qualified"), "anomaly", "signal_id", shown, F.when(said.isin(*RULES), said)))
+    order = W.partitionBy("run_id").orderBy(F.col("kind") == "anomaly", "ref", "title", "count", "first_seen_ms")
+    rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    return rows.withColumn("finding_id", F.sha2(F.concat_ws(":", F.col("run_id").cast("string"), "kind", "ref"), 256))
+
+
 def newest(rows: DataFrame, key: str, at: str, keep: int) -> DataFrame:
     """The ``keep`` newest of each key, one for each time: rings of baselines, findings and registries."""
     once = rows.withColumn("_d", F.row_number().over(W.partitionBy(key, at).orderBy(*[F.col(c) for c in rows.columns if c not in (key, at)]))).where("_d = 1").drop("_d")

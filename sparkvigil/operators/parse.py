@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import times
+from . import policies as line_policies
 
 _FIELDS = "struct<severity: string, message: string, stamp: string, service: string, host: string, component: string, attributes: map<string, string>>"
 
@@ -114,16 +115,27 @@ PARSERS = {
 }
 
 
-def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None) -> DataFrame:
+def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None, assignments: DataFrame | None = None, policies: DataFrame | None = None, stream: str = "stream") -> DataFrame:
     """Adds the canonical columns to raw events: format, delivery, severity, message, service, host, component, trace_id,
     span_id, attributes, ts_ms, basis and event_id.
 
+    Plain text of a stream that ``assignments`` (stream, policy_id) gives one of ``policies`` (``policies.compiled``) is read by that policy; it adds
+    policy_id, null where no policy was used.
+
     A format's parser that finds nothing falls back to plain text (FALLBACK); blank events are IGNORED. ``zone`` (a column, null where
     unknown) localises clocks without offset; ``source_timestamp``, where there is one, is the record's own time.
     """
     log = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    given = raw.columns
+    if policies is not None:
+        held = line_policies.assigned(raw.select(F.col(stream)).distinct(), assignments, policies, stream)
+        held = held.select(F.col(stream).alias("_stream"), F.col("policy_id").alias("_policy"), F.col("pattern").alias("_pattern"), F.col("groups").alias("_groups"))
+        raw = raw.join(held, F.col(stream) == F.col("_stream"), "left").drop("_stream")
     rows = raw.withColumn("_log", log).withColumn("format", T.detect_format(F.col("_log")))
     parsed = None
+    if policies is not None:
+        by_policy = line_policies.fields(F.col("_log"), F.col("_pattern"), F.col("_groups"))
+        parsed = F.when((F.col("format") == "plain_text") & F.col("_pattern").isNotNull(), _with_traces(by_policy).cast(_FIELDS))
     for name, parser in PARSERS.items():
         parsed = (F if parsed is None else parsed).when(F.col("format") == name, parser(F.col("_log")).cast(_FIELDS))
     rows = rows.withColumn("_own", parsed).withColumn("_f", F.coalesce("_own", F.when(F.col("format").isNotNull(), plain_fields(F.col("_log")).cast(_FIELDS))))
@@ -138,7 +150,18 @@ def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None) -> Dat
     out = out.withColumn("trace_id", first(None, "trace_id", "traceId")).withColumn("span_id", first(None, "span_id", "spanId"))
     moved = ("service", "service_name", "app", "application", "host", "hostname", "component", "logger", "trace_id", "traceId", "span_id", "spanId")
     out = out.withColumn("attributes", _without(a, *moved)).withColumn("ts_ms", F.floor(at / 1000).cast("bigint")).withColumn("basis", basis).withColumn("time_status", times.status(F.col("_f.stamp"), z))
-    return out.withColumn("event_id", F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in raw.columns if c != text and not c.startswith("attr")], text), 256), 1, 13)).drop("_log", "_own", "_f")
+    if policies is not None:
+        out = out.withColumn("policy_id", F.when((F.col("format") == "plain_text") & F.col("_own").isNotNull(), F.col("_policy")))
+    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in given if c != text and not c.startswith("attr")], text)
+    return out.withColumn("event_id", F.substring(F.sha2(identity, 256), 1, 32)).drop("_log", "_own", "_f", "_policy", "_pattern", "_groups")
+
+
+def _with_traces(own: Column) -> Column:
+    """A policy's fields as those of the other parsers, whose trace and span stand among the attributes."""
+    none = F.expr("cast(map() as map<string,string>)")
+    named = lambda k: F.when(own[k].isNotNull(), F.create_map(F.lit(k), own[k])).otherwise(none)
+    rest = F.map_filter(own["attributes"], lambda k, v: ~k.isin("trace_id", "span_id"))
+    return F.when(own.isNotNull(), _fields(own["severity"], own["message"], own["stamp"], F.map_concat(rest, named("trace_id"), named("span_id")), own["service"], own["host"], own["component"]))
 
 
 def templated(events: DataFrame) -> DataFrame:

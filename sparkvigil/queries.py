@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import times
 from .functions.generalise import generalise
-from .operators import baseline, evidence, graph, incidents, monitor, parse, segment, signals
+from .operators import baseline, evidence, graph, incidents, liveness, monitor, parse, segment, signals
+from .operators import policies as line_policies
 from .plans.pipeline import downstream
 from .sources.readers import host_enriched
 
@@ -502,3 +503,134 @@ def stream_context(spark, sf_dir):
     w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(-20, 20)
     e = _events(spark, sf_dir)
     return e.select("event_id", (F.col("event_id") - F.min("event_id").over(w)).alias("back"), (F.max("event_id").over(w) - F.col("event_id")).alias("ahead"))
+
+
+# -- policies as rows
+
+POLICIES = [
+    ("numbered", r"^#(?P<pid>\d+) <(?P<host>\w+)> (?P<unit>[a-z]+): (?P<text>.*)$", {"attr:pid": "pid", "host": "host", "component": "unit", "message": "text"}),
+    ("tilde", r"^~(\d+)~ ([EWI]) ~ (\w+) ~ (.*)$", {"attr:pid": "1", "severity": "2", "component": "3", "message": "4"}),
+    ("capital", r"^(?P<first>[A-Z][a-z]+)[ ,](?P<body>.+)", {"component": "first", "message": "body"}),
+    ("worded", r"^([^\W\d_]+) (\w+.*)", {"component": "1", "message": "2"}), ("any", r"^.+", {"message": "1"}),
+]
+
+
+def _policies(spark: SparkSession) -> DataFrame:
+    return line_policies.compiled(spark.createDataFrame(POLICIES, "policy_id string, regex string, groups map<string,string>"))
+
+
+_LINES_SQL = r"l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS ordinal, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents))"
+_SAMPLES_SQL = _LINES_SQL + r", s AS (SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS nth, line AS sample FROM l WHERE regexp_matches(line, '\S')) WHERE nth < 150)"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_policies.sampled(segment.lines(_read(spark, sf_dir, "documents"), "doc_id"))
+
+
+@_query(
+    """WITH e AS (SELECT event_id, user_id % 3 AS s, user_id % 7 AS h, event_type AS k, (round(value * 100))::BIGINT AS v FROM events),
+r AS (SELECT *, CASE WHEN s = 0 AND k <> 'view' THEN 'numbered' WHEN s = 1 AND k <> 'view' THEN 'tilde' END AS policy_id,
+  CASE WHEN k = 'view' THEN 'rendered ' || k || ' of ' || v || ' parts' WHEN s = 1 THEN 'amount ' || v || ' was seen' ELSE 'amount ' || v || ' of unit' || h || ' came' END AS body FROM e)
+SELECT event_id, policy_id, CASE WHEN s < 2 AND k = 'view' THEN 'FALLBACK' ELSE 'PARSED' END AS delivery, CASE WHEN s = 2 AND k <> 'view' THEN '#' || event_id || ' <host' || h || '> ' || k || ': ' || body ELSE body END AS message,
+  CASE WHEN policy_id = 'numbered' THEN 'host' || h END AS host, CASE WHEN policy_id IS NOT NULL THEN k END AS component, CASE WHEN policy_id IS NOT NULL THEN event_id::VARCHAR END AS pid,
+  CASE WHEN policy_id = 'tilde' THEN CASE WHEN k = 'error' THEN 'ERROR' WHEN k = 'purchase' THEN 'WARNING' ELSE 'INFO' END END AS severity FROM r"""
+)
+def policy_canonical(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    value, said = F.round(F.col("value") * 100).cast("bigint"), F.col("event_type")
+    body = F.when(said == "view", F.concat(F.lit("rendered view of "), value, F.lit(" parts"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("amount "), value, F.lit(" was seen"))).otherwise(F.concat(F.lit("amount "), value, F.lit(" of unit"), F.col("user_id") % 7, F.lit(" came")))
+    level = F.when(said == "error", "E").when(said == "purchase", "W").otherwise("I")
+    line = (
+        F.when(said == "view", body)
+        .when(F.col("user_id") % 3 == 1, F.concat(F.lit("~"), "event_id", F.lit("~ "), level, F.lit(" ~ "), said, F.lit(" ~ "), body))
+        .otherwise(F.concat(F.lit("#"), "event_id", F.lit(" <host"), F.col("user_id") % 7, F.lit("> "), said, F.lit(": "), body))
+    )
+    raw = e.select(F.col("event_id").alias("source_id"), (F.col("user_id") % 3).cast("string").alias("stream"), line.alias("raw"))
+    streams = spark.createDataFrame([("0", "numbered"), ("1", "tilde")], "stream string, policy_id string")
+    got = parse.canonical(raw, assignments=streams, policies=_policies(spark))
+    return got.select(F.col("source_id").alias("event_id"), "policy_id", "delivery", "message", "host", "component", F.try_element_at("attributes", F.lit("pid")).alias("pid"), F.when(F.col("policy_id") == "tilde", F.col("severity")).alias("severity"))
+
+
+@_query(
+    "WITH " + _SAMPLES_SQL + r""", p AS (SELECT * FROM (VALUES ('numbered', '^#(\d+) <(\w+)> ([a-z]+): (.*)$', 4, NULL), ('tilde', '^~(\d+)~ ([EWI]) ~ (\w+) ~ (.*)$', 4, NULL), ('capital', '^([A-Z][a-z]+)[ ,](.+)', 2, NULL), ('worded', '^([\p{L}]+) ([\p{L}\p{N}_]+.*)', 2, NULL), ('any', '^.+', 0, 'catch_all')) AS t(policy_id, pattern, n, fault)),
+g AS (SELECT policy_id, fault, regexp_matches(sample, pattern) AND (n < 2 OR regexp_extract(sample, pattern, 2) <> '') AND (n < 4 OR regexp_extract(sample, pattern, 4) <> '') AND fault IS NULL AS ok FROM s, p)
+SELECT policy_id, count(*) AS samples, count(*) FILTER (ok) AS passed, count(*) FILTER (ok) / count(*) AS ratio, count(*) FILTER (ok) / count(*) >= 0.9 AS admitted, fault FROM g GROUP BY policy_id, fault"""
+)
+def policy_admission(spark, sf_dir):
+    each = F.explode(F.array(*[F.lit(p[0]) for p in POLICIES])).alias("policy_id")
+    return line_policies.admitted(_samples(spark, sf_dir).select(each, "sample"), _policies(spark))
+
+
+@_query("WITH " + _SAMPLES_SQL + r""" SELECT doc_id, left(sha256(string_agg(regexp_replace(regexp_replace(left(sample, 500), '\d+', '#', 'g'), '[0-9a-fA-F]{8,}', '<HEX>', 'g'), chr(10) ORDER BY nth)), 24) AS signature FROM s GROUP BY doc_id""")
+def sample_signatures(spark, sf_dir):
+    return line_policies.signatures(_samples(spark, sf_dir)).select(F.col("stream").alias("doc_id"), "signature")
+
+
+_SHAPE_SQL = "left(sample, 500)"
+for _pattern, _by in line_policies.SHAPES:
+    _SHAPE_SQL = f"regexp_replace({_SHAPE_SQL}, '{_pattern}', '{_by}', 'g')"
+
+
+@_query(
+    "WITH " + _SAMPLES_SQL + rf""", h AS (SELECT *, left(trim({_SHAPE_SQL}), 220) AS shape, count(*) OVER (PARTITION BY doc_id) AS size FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, shape ORDER BY nth) = 1 AS first, least(12, size) AS most FROM h),
+t AS (SELECT *, CASE WHEN first THEN 0 WHEN list_contains(CASE WHEN most = 1 THEN [0] ELSE list_transform(range(most), lambda i: round_even(i * (size - 1) / (most - 1), 0)::INT) END, nth) THEN 1 ELSE 2 END AS turn FROM f)
+SELECT doc_id, pick::INTEGER AS pick, nth::INTEGER AS nth, sha256(sample) AS sample_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, nth) AS pick FROM t) WHERE pick <= 12"""
+)
+def representative_samples(spark, sf_dir):
+    return line_policies.representative(_samples(spark, sf_dir), 12).select(F.col("stream").alias("doc_id"), "pick", "nth", F.sha2("sample", 256).alias("sample_sha256"))
+
+
+@_query(
+    "WITH " + _LINES_SQL + r""", s AS (SELECT doc_id, ordinal AS nth, line AS sample, regexp_matches(line, '^(?:Th|De|La|Ein|An)') AS matched FROM l WHERE regexp_matches(line, '\S')),
+k AS (SELECT *, list_filter(string_split_regex(sample, '\s+'), lambda t: t <> '')[1:4] AS tokens, trim(regexp_replace(regexp_replace(left(sample, 200), '\d+', '<N>', 'g'), '\s+', ' ', 'g')) AS alike FROM s),
+c AS (SELECT *, list_transform(tokens, lambda t: string_split(regexp_replace(regexp_replace(left(t, 48), '\p{L}', 'A', 'g'), '\d', 'D', 'g'), '')) AS kinds FROM k),
+f AS (SELECT *, array_to_string(list_transform(list_zip(kinds, tokens), lambda z: array_to_string(list_filter(z[1], lambda c, i: i = 1 OR z[1][i - 1] <> c), '') || ':' || least(length(z[2]) // 4, 8)), '|') AS family FROM c),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, matched, family, alike ORDER BY nth) AS once FROM f) WHERE once = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, matched, family ORDER BY nth) AS turn, min(nth) OVER (PARTITION BY doc_id, matched, family) AS lead FROM o)
+SELECT doc_id, matched, pick::INTEGER AS pick, nth::INTEGER AS nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, matched ORDER BY turn, lead) AS pick FROM t) WHERE pick <= CASE WHEN matched THEN 8 ELSE 24 END"""
+)
+def contrasted_samples(spark, sf_dir):
+    lines = segment.lines(_read(spark, sf_dir, "documents"), "doc_id").where(F.col("line").rlike(r"(?U)\S"))
+    rows = lines.select("stream", F.col("ordinal").alias("nth"), F.col("line").alias("sample"))
+    return line_policies.contrasted(rows, F.lit("(?:Th|De|La|Ein|An)")).select(F.col("stream").alias("doc_id"), "matched", "pick", "nth")
+
+
+# -- incidents over windows, findings, and what a window may hold
+
+
+@_query(
+    """WITH e AS (SELECT event_id, 'user' || user_id || ':' || event_type AS problem_key, epoch_us(ts) // 1000 AS t FROM events WHERE event_type IN ('error', 'purchase')),
+g AS (SELECT *, lag(t) OVER w AS before FROM e WINDOW w AS (PARTITION BY problem_key ORDER BY t)), n AS (SELECT *, before IS NULL OR t - before > 86400000 AS is_new FROM g),
+l AS (SELECT *, sum(is_new::INT) OVER (PARTITION BY problem_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS life FROM n)
+SELECT event_id, problem_key, 'inc:' || left(sha256(problem_key), 32) AS incident_id, CASE WHEN is_new THEN 'open' ELSE 'active' END AS status, is_new, min(t) OVER v AS first_seen_ms, t AS last_seen_ms, row_number() OVER v AS times_seen
+FROM l WINDOW v AS (PARTITION BY problem_key, life ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+)
+def incident_lifelines(spark, sf_dir):
+    e = _events(spark, sf_dir).where("event_type in ('error', 'purchase')")
+    seen = e.select("event_id", F.concat(F.lit("user"), "user_id", F.lit(":"), "event_type").alias("problem_key"), F.col("ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"))
+    return liveness.lifelines(seen).select("event_id", "problem_key", "incident_id", "status", "is_new", "first_seen_ms", "last_seen_ms", "times_seen")
+
+
+@_query(
+    f"""WITH e AS (SELECT (epoch_us(ts) // 1000) // {DAY} AS run_id, user_id, event_type AS k, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT run_id, CASE WHEN k = 'error' THEN 'incident' ELSE 'anomaly' END AS kind, left(sha256(k || user_id), 32) AS ref, CASE k WHEN 'error' THEN 'Incident' WHEN 'view' THEN 'pod_volume' WHEN 'click' THEN 'new_pattern' ELSE 'Anomaly' END AS title, n AS count FROM e WHERE k <> 'signup'),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY kind = 'anomaly', ref) AS nth FROM c) SELECT run_id, nth::INTEGER AS nth, kind, ref, title, count, sha256(run_id || ':' || kind || ':' || ref) AS finding_id FROM r WHERE nth <= 10"""
+)
+def findings(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy(F.expr(f"ts_ms div {DAY}").alias("run_id"), "user_id", "event_type").agg(F.count("*").alias("count"))
+    name = F.concat("event_type", F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "view", "pod_volume").when(F.col("event_type") == "click", "new_pattern").otherwise("made up")
+    anomalies = e.where("event_type <> 'error'").select("run_id", name.alias("signal_id"), kind.alias("kind"), "count", (F.col("event_type") != "signup").alias("qualified"))
+    return monitor.findings(e.where("event_type = 'error'").select("run_id", name.alias("incident_id"), "count"), anomalies).select("run_id", "nth", "kind", "ref", "title", "count", "finding_id")
+
+
+@_query(
+    "SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'streams' AS kind, user_id::VARCHAR AS k FROM events UNION ALL SELECT DISTINCT 'patterns', event_type FROM events "
+    f"UNION ALL SELECT DISTINCT 'groups', event_type || '|' || (user_id % 5) || '|' || ((epoch_us(ts) // 1000) // {DAY}) FROM events) GROUP BY kind"
+)
+def cardinality_keys(spark, sf_dir):
+    from .streaming import guards
+
+    e = _events(spark, sf_dir).select(F.col("pod_name").alias("stream"), "template_id", F.col("template_id").alias("group_type"), F.col("service").alias("identity"), F.expr(f"ts_ms div {DAY}").alias("window_start_ms"))
+    return guards.keys_of(e).groupBy("kind").agg(F.count("*").alias("n"))
