@@ -14,7 +14,8 @@ from ..functions import text as T
 from .graph import written
 
 GROUPS, EDGES, ROOTS, CHARS, PACK_CHARS, PACK_BYTES = 8, 10, 3, 240, 12_000, 24_000
-MOST_OUTPUT = 6_000
+#: The longest interpretation and note that are read, in characters.
+MOST_OUTPUT, NOTE = 4_096, 500
 
 
 def groups(incidents: DataFrame, signals: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -122,71 +123,71 @@ def packs(incidents: DataFrame, signals: DataFrame, edges: DataFrame, roots: Dat
     return picked.groupBy("incident_id").cogroup(inner.groupBy("incident_id")).applyInPandas(each_case, "incident_id string, pack string, chars int, bytes int")
 
 
-def _text(most: int):
-    return lambda x: isinstance(x, str) and bool(x.strip()) and len(x) <= most
+def _no_number(name: str):
+    raise ValueError(f"{name} is no number of JSON")
 
 
-def _texts(count: int, most: int):
-    return lambda x: isinstance(x, list) and len(x) <= count and all(map(_text(most), x))
-
-
-#: An interpretation's fields: the fault's code, and what a value must be.
-SCHEMA = {
-    "verdict": ("invalid_verdict", lambda x: x in ("supported", "unclear", "insufficient")),
-    "confidence": ("invalid_confidence", lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= 1),
-    **{name: ("invalid_text", _text(400)) for name in ("summary", "hypothesis")},
-    **{name: ("invalid_list", _texts(*size)) for name, size in {"incidents": (5, 16), "evidence": (5, 16), "reasons": (3, 160), "alternatives": (2, 160), "next_checks": (4, 160), "missing": (4, 160)}.items()},
-}
-
-
-def _object(reply: str) -> dict | None:
-    """The reply's JSON object; None if it isn't one, repeats a key or has a number that JSON lacks."""
-    class Bad(ValueError):
-        pass
-
-    def pairs(found):
-        if len(dict(found)) != len(found):
-            raise Bad
-        return dict(found)
-
-    def number(_):
-        raise Bad
-
+def _claims(reply: str | None) -> dict | None:
+    """The reply's JSON object; None if it isn't one or has a number that JSON lacks."""
     try:
-        value = json.loads(reply, object_pairs_hook=pairs, parse_constant=number)
+        value = json.loads(reply or "", parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
-def faults(reply: str, finish: str, incidents: dict[str, str], members: dict[str, list[str]], belongs: dict[str, set[str]] | None = None) -> list[str]:
-    """Every fault of an interpretation, sorted; none if it may be shown.
+def faults(reply: str | None, pack: str) -> list[str]:
+    """All that speaks against showing an interpretation of ``pack``, sorted; none if it may be shown.
 
-    ``belongs`` maps each evidence reference to the incident references that it is part of: evidence of none of the incidents named is a fault.
+    An interpretation blames signals of its pack: {"blame": [{"signal": "S1", "share": 0.7, "edges": ["S1>S2"]}, ...], "note": "..."}. Each
+    signal is blamed once, by a share above 0, all shares being 1 at most. Its edges are the pack's, touch the signal, and there is one
+    at least if the pack has any that does. The note, which may be left out, is text of at most NOTE characters.
     """
-    out = {"incomplete_response"} if finish != "stop" else set()
-    if not _text(MOST_OUTPUT)(reply):
-        return sorted(out | {"invalid_output_size"})
-    value = _object(reply)
-    if value is None:
-        return sorted(out | {"invalid_json"})
-    if value.keys() != SCHEMA.keys():
-        out.add("invalid_fields")
-    bad = {name for name, (_, fits) in SCHEMA.items() if name in value and not fits(value[name])}
-    out |= {SCHEMA[name][0] for name in bad}
-    for name, known in (("incidents", incidents), ("evidence", members)):
-        refs = value.get(name)
-        if name not in bad and isinstance(refs, list) and (not refs or len({*refs}) < len(refs) or {*refs} - known.keys()):
-            out.add(f"invalid_{name}_reference")
-    if belongs is not None and not out and any(belongs.get(r, set()).isdisjoint(value["incidents"]) for r in value["evidence"]):
-        out.add("invalid_evidence_reference")
+    if len(reply or "") > MOST_OUTPUT:
+        return ["too_long"]
+    said, held = _claims(reply), json.loads(pack)
+    if said is None:
+        return ["not_an_object"]
+    blame, note, out = said.get("blame"), said.get("note", ""), set()
+    if set(said) - {"blame", "note"}:
+        out.add("unknown_field")
+    if not isinstance(note, str) or len(note) > NOTE:
+        out.add("bad_note")
+    if not isinstance(blame, list) or not blame or not all(isinstance(b, dict) and set(b) == {"signal", "share", "edges"} for b in blame):
+        return sorted(out | {"bad_blame"})
+    known = {s["ref"] for s in held.get("signals", [])}
+    links = {f"{e['from']}>{e['to']}": {e["from"], e["to"]} for e in held.get("edges", [])}
+    names = [b["signal"] for b in blame if isinstance(b["signal"], str)]
+    if len(names) < len(blame) or set(names) - known:
+        return sorted(out | {"unknown_signal"})
+    if len(set(names)) < len(names):
+        out.add("blamed_twice")
+    shares = [b["share"] for b in blame]
+    if not all(isinstance(x, (int, float)) and not isinstance(x, bool) and 0 < x <= 1 for x in shares) or sum(shares) > 1 + 1e-9:
+        out.add("bad_share")
+    for b in blame:
+        given = b["edges"] if isinstance(b["edges"], list) else [None]
+        if not all(isinstance(e, str) and b["signal"] in links.get(e, ()) for e in given):
+            out.add("foreign_edge")
+        elif not given and any(b["signal"] in ends for ends in links.values()):
+            out.add("no_edge_given")
     return sorted(out)
 
 
-def admitted(reply: str, finish: str, incidents: dict[str, str], members: dict[str, list[str]], belongs: dict[str, set[str]] | None = None) -> dict:
-    """An interpretation without ``faults``, its references resolved to ids; else ValueError with all of them."""
-    if found := faults(reply, finish, incidents, members, belongs):
-        raise ValueError(";".join(found))
-    value = json.loads(reply)
-    signals = {s: None for r in value["evidence"] for s in members[r]}
-    return value | {"incidents": [incidents[r] for r in value["incidents"]], "evidence": list(signals)}
+_INTERPRETED = "incident_id string, faults array<string>, blame array<struct<place: int, share: double>>, note string"
+
+
+def interpreted(packed: DataFrame, replies: DataFrame) -> DataFrame:
+    """(incident_id, faults, blame, note) of every pack (incident_id, pack) with its reply (incident_id, reply): who is blamed, by the group's place in
+    the pack, and by how much. Where there are faults, or no reply ("no_reply"), nothing of the reply is handed on. An incident has one reply at most.
+    """
+    def each(frames):
+        for frame in frames:
+            out = []
+            for incident, pack, reply in zip(frame["incident_id"], frame["pack"], frame["reply"], strict=True):
+                wrong = faults(reply, pack) if isinstance(reply, str) else ["no_reply"]
+                said = {} if wrong else json.loads(reply)
+                out.append((incident, wrong, None if wrong else [{"place": int(b["signal"][1:]), "share": float(b["share"])} for b in said["blame"]], said.get("note")))
+            yield pd.DataFrame(out, columns=["incident_id", "faults", "blame", "note"])
+
+    return packed.select("incident_id", "pack").join(replies.select("incident_id", "reply"), "incident_id", "left").mapInPandas(each, _INTERPRETED)

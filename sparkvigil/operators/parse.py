@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import times
+from ..functions.generalise import generalise
 from . import policies as line_policies
 
 _FIELDS = "struct<severity: string, message: string, stamp: string, service: string, host: string, component: string, attributes: map<string, string>>"
@@ -50,14 +51,59 @@ def kv_pairs(log: Column) -> Column:
     return F.map_from_entries(first)
 
 
+# The names of an event's own time, in the order in which they count.
+STAMP_KEYS = ("timestamp", "time", "@timestamp")
+_STAMP = r"""^(timestamp|time|@timestamp)=("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\s,\]\})]+)"""
+
+
+def kv_stamp(log: Column) -> Column:
+    """The time that the first line of ``log`` assigns at its top level: outside quotes and brackets, at the start or after white space; null if none does.
+
+    One pass over the line's characters carries the depth of brackets, the open quote and the first value of each of STAMP_KEYS. A quote
+    that nothing closes, or a bracket, hides what follows; a value may hold anything but white space, commas and closing brackets, or is quoted.
+    """
+    header = F.substring_index(log, "\n", 1)
+
+    def scanned(chars: Column) -> Column:
+        none = F.lit(None).cast("string")
+        start = F.struct(F.lit(0).alias("depth"), none.alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("until"), F.expr("cast(map() as map<string,string>)").alias("found"))
+
+        def step(s: Column, i: Column) -> Column:
+            c = F.get(chars, i)
+
+            def after(depth=s["depth"], quote=s["quote"], escaped=F.lit(False), until=s["until"], found=s["found"]) -> Column:
+                return F.struct(depth.alias("depth"), quote.alias("quote"), escaped.alias("escaped"), until.alias("until"), found.alias("found"))
+
+            # only a letter that may begin a key, in a place for one, costs a look ahead
+            place = (s["depth"] == 0) & c.isin("t", "@") & ((i == 0) | F.get(chars, i - 1).rlike(r"(?U)\s"))
+            tail = F.when(place, F.array_join(F.slice(chars, i + 1, F.size(chars)), ""))
+            key, value = F.regexp_extract(tail, _STAMP, 1), F.regexp_extract(tail, _STAMP, 2)
+            plain = F.when(F.left(value, F.lit(1)).isin('"', "'"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+            added = F.when(F.map_contains_key(s["found"], key), s["found"]).otherwise(F.map_concat(s["found"], F.create_map(key, plain)))
+            return (
+                F.when(i < s["until"], s)
+                .when(s["quote"].isNotNull(), F.when(s["escaped"], after()).when(c == "\\", after(escaped=F.lit(True))).when(c == s["quote"], after(quote=none)).otherwise(after()))
+                .when(c.isin('"', "'"), after(quote=c))
+                .when(c.isin("{", "[", "("), after(depth=s["depth"] + 1))
+                .when(c.isin("}", "]", ")"), after(depth=F.greatest(F.lit(0), s["depth"] - 1)))
+                .when(place & (F.coalesce(key, F.lit("")) != ""), after(until=i + F.length(F.regexp_extract(tail, _STAMP, 0)), found=added))
+                .otherwise(s)
+            )
+
+        found = F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step)["found"]
+        return F.coalesce(*[F.try_element_at(found, F.lit(k)) for k in STAMP_KEYS])
+
+    # lines without such an assignment aren't scanned
+    chars = F.when(header.rlike(r"(?:^|\s)(?:timestamp|time|@timestamp)="), F.split(header, ""))
+    return F.get(F.transform(F.filter(F.array(chars), lambda x: x.isNotNull()), scanned), F.lit(0))
+
+
 def kv_fields(log: Column) -> Column:
     """Level and message by name, else a bracketed level and what follows the last ' - '; time from the first line's own assignment."""
     m = kv_pairs(log)
     level = F.coalesce(_get(m, "level"), _get(m, "severity"), F.nullif(F.regexp_extract(log, r"(?i)\[(ERROR|WARN|WARNING|INFO|DEBUG|CRITICAL|FATAL)\]", 1), F.lit("")))
     message = F.coalesce(_get(m, "msg"), _get(m, "message"), F.element_at(F.split(log, " - "), -1))
-    header = F.substring_index(log, "\n", 1)
-    stamp = F.coalesce(*[F.nullif(unquoted(F.regexp_extract(header, rf"""(?:^|\s){k}=("[^"]*"|'[^']*'|[^\s,\]\}})]+)""", 1)), F.lit("")) for k in ("timestamp", "time", "@timestamp")])
-    return _fields(level, F.regexp_replace(message, "^[\"' ]+|[\"' ]+$", ""), stamp, _without(m, "timestamp", "time", "level", "severity", "msg", "message"))
+    return _fields(level, F.regexp_replace(message, "^[\"' ]+|[\"' ]+$", ""), kv_stamp(log), _without(m, "timestamp", "time", "level", "severity", "msg", "message"))
 
 
 def syslog_fields(log: Column) -> Column:
@@ -167,8 +213,8 @@ def _with_traces(own: Column) -> Column:
 def templated(events: DataFrame) -> DataFrame:
     """Adds masked, template, template_id and template_reliable; events with a blank message go.
 
-    Stateless: a template is what masking leaves of the message, so equal messages have equal templates on any partitioning.
+    Stateless: a template is what masking and generalisation leave of the message, so equal messages have equal templates on any partitioning.
     """
     rows = events.where(F.trim(F.coalesce("message", F.lit(""))) != "")
-    rows = rows.withColumn("template", T.mask(T.premask(F.col("message"))))
+    rows = rows.withColumn("template", generalise(T.mask(T.premask(F.col("message"))))["template"])
     return rows.withColumn("template_id", T.template_id(F.col("template"))).withColumn("template_reliable", T.reliable(F.col("template")))

@@ -7,11 +7,13 @@ import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: The columns that tell a package's files apart.
 ALARM_COLUMNS = {"alarm_id", "timestamp", "host", "service", "severity", "alarm_type"}
@@ -26,6 +28,19 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("path").alias("stream"), F.posexplode(F.split("text", r"\r?\n")).alias("ordinal", "line"))
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, ordinal, line) of each file under ``path``, whatever its size: files are read in splits, and no file is one row.
+
+    A split's lines are counted first; the counts before a split, summed, are the ordinal of its first line. Within a split lines
+    are numbered as they are read, so lines themselves are neither sorted nor exchanged. Lines end at a line feed, a carriage return or both; nothing follows the last end.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    counts = rows.groupBy("stream", "block").agg(F.count("*").alias("lines"), F.min("nth").alias("first"))
+    before = F.coalesce(F.sum("lines").over(W.partitionBy("stream").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("stream", "block", "first", before.alias("before"))
+    return rows.join(starts, ["stream", "block"]).select("stream", (F.col("before") + F.col("nth") - F.col("first")).alias("ordinal"), F.col("value").alias("line"))
+
+
 def package(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(alarms, inventory, dependencies) of a ZIP of JSON lists and CSV files, told apart by their columns, not their names.
 
@@ -88,38 +103,75 @@ def resume(selection: dict, text: str) -> list:
     return held["after"]
 
 
+def walk(client, lo: int, hi: int, most: int | None = None) -> Iterator[tuple[list, str | None]]:
+    """(rows, stop reason or None) of each page of [lo, hi): a span ends with its last page (interval_exhausted), with an empty page that
+    points further (current_view_exhausted), or after ``most`` pages (page_budget)."""
+    after, number = None, 0
+    while True:
+        rows, after = client.page(lo, hi, after)
+        number += 1
+        stop = "interval_exhausted" if after is None else "current_view_exhausted" if not rows else "page_budget" if number == most else None
+        yield rows, stop
+        if stop:
+            return
+
+
 class PagedReader(DataSourceReader):
     """Reads half-open spans of time, one a partition, page after page, and checks each span's count."""
 
     def __init__(self, schema, options):
-        self.schema, self.options = schema, options
+        self.schema, self.options, self.terms = schema, options, {}
+        self.start, self.end, self.step = (int(options[k]) for k in ("start_ms", "end_ms", "span_ms"))
+        self.most = int(options["max_pages"]) if "max_pages" in options else None
 
-    def partitions(self):
-        start, end, step = (int(self.options[k]) for k in ("start_ms", "end_ms", "span_ms"))
-        return [InputPartition((at, min(at + step, end))) for at in range(start, end, step)]
-
-    def read(self, partition):
+    def _client(self):
         import importlib
 
         module, _, name = self.options["client"].rpartition(".")
-        client = getattr(importlib.import_module(module), name)(dict(self.options))
-        lo, hi = partition.value
-        expected, got, after = client.count(lo, hi), 0, None
-        while True:
-            rows, after = client.page(lo, hi, after)
+        return getattr(importlib.import_module(module), name)
+
+    def partitions(self):
+        return [InputPartition((at, min(at + self.step, self.end))) for at in range(self.start, self.end, self.step)] or [InputPartition(None)]
+
+    def read(self, partition):
+        if partition.value is None:  # no time is left
+            return
+        options = dict(self.options) | ({"terms": dict(self.terms)} if self.terms else {})
+        client, (lo, hi) = self._client()(options), partition.value
+        expected, got, stop = client.count(lo, hi), 0, None
+        for rows, stop in walk(client, lo, hi, self.most):
             for row in rows:
                 got += 1
-                yield tuple(row)
-            if after is None:
-                break
-        if got != expected:
-            raise RuntimeError(f"[{lo}, {hi}) should hold {expected} rows and gave {got}")
+                yield (*row, stop) if len(row) < len(self.schema) else tuple(row)
+        if got != expected and stop != "page_budget":
+            raise RuntimeError(f"[{lo}, {hi}) should hold {expected} rows and gave {got}: {stop}")
+
+
+class PushingReader(PagedReader):
+    """A paged reader that takes filters: equality on the client's ``terms`` goes to the client, bounds on the time column narrow the spans."""
+
+    def pushFilters(self, filters):
+        """Bounds on time narrow the spans, and Spark checks them once more."""
+        able, at = getattr(self._client(), "terms", ()), self.schema[0].name
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, EqualTo) and name in able and name not in self.terms:
+                self.terms[name] = f.value
+                continue
+            if name == at and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.start = max(self.start, f.value + isinstance(f, GreaterThan))
+            elif name == at and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.end = min(self.end, f.value + isinstance(f, LessThanOrEqual))
+            yield f
 
 
 class PagedSource(DataSource):
     """spark.read.format("paged_search"): options client (a dotted name), start_ms, end_ms and span_ms.
 
-    The client, made from the options, has count(lo, hi) and page(lo, hi, after) -> (rows, next after or None).
+    The client, made from the options, has count(lo, hi) and page(lo, hi, after) -> (rows, next after or None), and may name the columns
+    whose equality it takes in ``terms``; it finds those asked for in options["terms"]. That needs push_filters = true, and
+    spark.sql.python.filterPushdown.enabled in the session. ``max_pages`` stops a span after so many; a last column that the schema has
+    beyond the client's rows holds the stop reason of the page that ends a span (see ``walk``), else null.
     """
 
     @classmethod
@@ -130,7 +182,24 @@ class PagedSource(DataSource):
         return self.options.get("schema", "ts_ms bigint, record_id string, raw string")
 
     def reader(self, schema):
-        return PagedReader(schema, self.options)
+        return (PushingReader if self.options.get("push_filters") == "true" else PagedReader)(schema, self.options)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def keyset_page(rows: DataFrame, at: str, key: str, limit: int, before: tuple | None = None) -> DataFrame:
+    """The ``limit`` newest rows before (at, key) = ``before``, newest first, ties by the larger key; the first page where that is None.
+
+    The last row's (at, key) is the next page's ``before``, so pages cover all rows once while ``key`` is unique, whatever comes in above. The
+    bound on ``at`` reaches the scan.
+    """
+    if before is not None:
+        a, k = map(F.lit, before)
+        rows = rows.where((F.col(at) <= a) & ((F.col(at) < a) | (F.col(key) < k)))
+    return rows.orderBy(F.desc(at), F.desc(key)).limit(limit)
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], newest: str, keep: int | None = None) -> DataFrame:
@@ -138,13 +207,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: list[str], newe
 
     Written beside the old one; the caller swaps the names.
     """
-    from pyspark.errors import AnalysisException
-    from pyspark.sql import Window as W
-
-    try:
+    if _exists(spark, path):  # any other trouble with it must not pass for an empty registry
         rows = spark.read.parquet(path).unionByName(rows)
-    except AnalysisException:
-        pass
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.col(newest).desc()))).where("_n = 1").drop("_n")
     return rows.orderBy(F.col(newest).desc()).limit(keep) if keep else rows
 
@@ -153,8 +217,7 @@ def commit_window(rows: DataFrame, path: str, query: str, batch: int) -> bool:
     """Writes a batch's rows once: under its own name, which a repeated batch finds taken or replaces whole."""
     target = f"{path}/query={query}/batch={batch}"
     spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if _exists(spark, target + "/_SUCCESS"):
         return False
     rows.write.mode("overwrite").parquet(target)
     return True

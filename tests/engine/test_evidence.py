@@ -59,22 +59,27 @@ def test_packs_stay_within_the_budget():
     assert len(wide["edges"]) <= 1 and {"S1"} <= {s["ref"] for s in wide["signals"]} and len(wide["signals"]) < 8
 
 
-def test_gate_of_interpretations():
-    good = {"summary": "a", "hypothesis": "b", "incidents": ["I1"], "evidence": ["S1"], "reasons": [], "alternatives": [], "next_checks": ["x"], "missing": [], "confidence": 0.5, "verdict": "unclear"}
-    known = ({"I1": "inc:1"}, {"S1": ["a", "b"]})
-    out = evidence.admitted(json.dumps(good), "stop", *known)
-    assert out["incidents"] == ["inc:1"] and out["evidence"] == ["a", "b"]
-    for change, why in (({"confidence": 2}, "invalid_confidence"), ({"evidence": ["S9"]}, "invalid_evidence_reference"), ({"more": 1}, "invalid_fields"), ({"verdict": "sure"}, "invalid_verdict"), ({"summary": ""}, "invalid_text"), ({"reasons": ["x"] * 4}, "invalid_list")):
-        with pytest.raises(ValueError, match=why):
-            evidence.admitted(json.dumps(good | change), "stop", *known)
-    with pytest.raises(ValueError, match="invalid_json"):
-        evidence.admitted('{"a": 1, "a": 2}', "stop", *known)
-    both = json.dumps(good | {"confidence": -1, "verdict": "no"})
-    assert evidence.faults(both, "length", *known) == ["incomplete_response", "invalid_confidence", "invalid_verdict"]
-    assert evidence.faults(json.dumps(good), "stop", *known, {"S1": {"I1"}}) == []
-    assert evidence.faults(json.dumps(good), "stop", *known, {"S1": {"I2"}}) == ["invalid_evidence_reference"]
-    with pytest.raises(ValueError, match="incomplete_response"):
-        evidence.admitted(json.dumps(good), "length", *known)
+PACK = json.dumps({"signals": [{"ref": f"S{i}"} for i in (1, 2, 3, 4)], "edges": [{"from": "S1", "to": "S2", "score": 0.8}, {"from": "S3", "to": "S1", "score": 0.7}], "roots": ["S1"]})
+
+
+def blame(*rows, **more):
+    return json.dumps({"blame": [dict(zip(("signal", "share", "edges"), r, strict=True)) for r in rows]} | more)
+
+
+def test_gate_of_interpretations(spark):
+    good = blame(("S1", 0.6, ["S1>S2"]), ("S4", 0.4, []), note="the queue first")
+    assert evidence.faults(good, PACK) == [] == evidence.faults(blame(("S2", 1, ["S1>S2"])), PACK)
+    cases = {
+        "": ["not_an_object"], "[]": ["not_an_object"], '{"blame": NaN}': ["not_an_object"], "{}": ["bad_blame"], blame(): ["bad_blame"], "x" * 5000: ["too_long"],
+        blame(("S9", 0.5, [])): ["unknown_signal"], blame((1, 0.5, [])): ["unknown_signal"], blame(("S4", 0.5, []), ("S4", 0.1, [])): ["blamed_twice"], blame(("S4", 0.7, []), ("S1", 0.7, ["S1>S2"])): ["bad_share"],
+        blame(("S4", True, [])): ["bad_share"], blame(("S4", 0, [])): ["bad_share"], blame(("S2", 0.5, ["S3>S1"])): ["foreign_edge"], blame(("S1", 0.5, ["S2>S1"])): ["foreign_edge"], blame(("S1", 0.5, "S1>S2")): ["foreign_edge"],
+        blame(("S1", 0.5, [])): ["no_edge_given"], blame(("S4", 0.5, []), note=5, more=1): ["bad_note", "unknown_field"], blame(("S4", 2, ["S1>S2"]), note="n" * 501): ["bad_note", "bad_share", "foreign_edge"],
+    }
+    assert {k: evidence.faults(k, PACK) for k in cases} == cases
+    packed = spark.createDataFrame([(i, PACK) for i in ("a", "b", "c")], "incident_id string, pack string")
+    got = {r.incident_id: r for r in evidence.interpreted(packed, spark.createDataFrame([("a", good), ("b", "{}"), ("z", good)], "incident_id string, reply string")).collect()}
+    assert [(r.place, r.share) for r in got["a"].blame] == [(1, 0.6), (4, 0.4)] and got["a"].note == "the queue first" and got["a"].faults == []
+    assert (got["b"].faults, got["b"].blame) == (["bad_blame"], None) and (got["c"].faults, got["c"].blame, got["c"].note) == (["no_reply"], None, None) and len(got) == 3
 
 
 def test_patterns_are_admitted(spark):
