@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions import times
+from .functions import times, variants
 from .functions.generalise import generalise
-from .operators import baseline, evidence, graph, incidents, liveness, monitor, parse, segment, signals
+from .operators import anomalies, baseline, evidence, graph, incidents, liveness, monitor, parse, registry, segment, signals
 from .operators import policies as line_policies
 from .plans.pipeline import downstream
+from .sources import readers
 from .sources.readers import host_enriched
 
 DAY = 86_400_000
@@ -480,12 +481,12 @@ def feedback_rules(spark, sf_dir):
     return incidents.confirmed(d, F.broadcast(rules)).select(F.col("signal_id").alias("doc_id"))
 
 
-@_query("WITH RECURSIVE c AS (SELECT 'c0:0' AS ref, 0 AS depth, 0 AS t UNION ALL SELECT 'c0:' || turn, depth + 1, turn FROM c JOIN conversations ON conv_id = 0 AND turn = t + 1) SELECT DISTINCT ref, depth::INTEGER AS depth FROM c")
+@_query("WITH RECURSIVE c AS (SELECT DISTINCT conv_id, 0 AS depth FROM conversations UNION ALL SELECT conv_id, depth + 1 FROM c JOIN (SELECT DISTINCT conv_id, turn FROM conversations) USING (conv_id) WHERE turn = depth + 1) SELECT 'c' || conv_id || ':0' AS root, 'c' || conv_id || ':' || depth AS ref, depth::INTEGER AS depth FROM c")
 def lineage_closure(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations")
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
-    roots = spark.createDataFrame([("c0:0",)], "root string")
-    return monitor.lineage(c.where("turn > 0").select(name(F.col("turn") - 1).alias("parent"), name(F.col("turn")).alias("child")), roots).select("ref", "depth")
+    roots = c.select(name(F.lit(0)).alias("root")).distinct()
+    return monitor.lineage(c.where("turn > 0").select(name(F.col("turn") - 1).alias("parent"), name(F.col("turn")).alias("child")), roots).select("root", "ref", "depth")
 
 
 @_query("SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'shop' || user_id WHEN 1 THEN 'cart-api' WHEN 2 THEN 'service_7' ELSE 'ns' || (user_id % 3) END AS workload FROM events")
@@ -634,3 +635,136 @@ def cardinality_keys(spark, sf_dir):
 
     e = _events(spark, sf_dir).select(F.col("pod_name").alias("stream"), "template_id", F.col("template_id").alias("group_type"), F.col("service").alias("identity"), F.expr(f"ts_ms div {DAY}").alias("window_start_ms"))
     return guards.keys_of(e).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# -- anomalies of a monitor, a type of event being one
+
+_PAST_SQL = "CASE WHEN len(past) >= 5 THEN list_aggregate(past, 'median')::DOUBLE END AS baseline"
+_MAD_SQL = "CASE WHEN baseline IS NOT NULL THEN list_aggregate(list_transform(past, lambda x: abs(x - baseline)), 'median')::DOUBLE END AS mad"
+_SPIKE_SQL = "current > greatest(baseline * 3, baseline + 6 * mad) AND current >= 5"
+_WINDOWS_SQL = f"""d AS (SELECT event_type AS monitor, (epoch_us(ts) // 1000) // {DAY} AS "window", count(*) AS n, count(*) FILTER (user_id % 10 < 2) AS bad FROM events GROUP BY 1, 2),
+w AS (SELECT monitor, "window", 86400 AS seconds, n * CASE WHEN "window" % 9 = 4 THEN 9 WHEN "window" % 13 = 5 THEN 0 ELSE 1 END AS total, bad * CASE WHEN "window" % 11 = 6 THEN 12 ELSE 1 END AS errors FROM d)"""
+
+
+def _windows(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy(F.col("event_type").alias("monitor"), F.expr(f"ts_ms div {DAY}").alias("window")).agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 10 < 2).alias("bad"))
+    total = F.col("n") * F.when(F.col("window") % 9 == 4, 9).when(F.col("window") % 13 == 5, 0).otherwise(1)
+    return e.select("monitor", "window", F.lit(86400).alias("seconds"), total.alias("total"), (F.col("bad") * F.when(F.col("window") % 11 == 6, 12).otherwise(1)).alias("errors"))
+
+
+def _rounded(found):
+    near = lambda c: F.round(c, 9).alias(c)
+    return found.select("monitor", "window", "kind", "identity", "direction", near("current"), near("baseline"), near("mad"))
+
+
+_VOLUMES_SQL = f"""WITH {_WINDOWS_SQL},
+k AS (SELECT monitor, "window", 'total_volume' AS kind, total::DOUBLE AS current FROM w UNION ALL SELECT monitor, "window", 'log_rate', total / 86400 FROM w UNION ALL SELECT monitor, "window", 'error_severity', errors::DOUBLE FROM w),
+h AS (SELECT *, list(current) OVER (PARTITION BY monitor, kind ORDER BY "window" ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS past FROM k), b AS (SELECT *, {_PAST_SQL} FROM h), m AS (SELECT *, {_MAD_SQL} FROM b),
+c AS (SELECT *, CASE WHEN {_SPIKE_SQL} THEN 'spike' WHEN kind <> 'error_severity' AND baseline >= 5 AND current < least(baseline * 0.25, baseline - 6 * mad) THEN 'collapse' END AS direction FROM m)
+SELECT monitor, "window", kind, NULL::VARCHAR AS identity, direction, round(current, 9) AS current, round(baseline, 9) AS baseline, round(mad, 9) AS mad FROM c WHERE direction IS NOT NULL"""
+
+
+@_query(_VOLUMES_SQL)
+def anomaly_volumes(spark, sf_dir):
+    return _rounded(anomalies.volumes(_windows(spark, sf_dir)))
+
+
+_GRID_SQL = """x AS (SELECT monitor, "window", row_number() OVER (PARTITION BY monitor ORDER BY "window") AS nth FROM w),
+g AS (SELECT i.monitor, i.identity, x.nth, x."window", coalesce(c.n, 0)::DOUBLE AS current FROM (SELECT DISTINCT monitor, identity FROM c) i JOIN x USING (monitor) LEFT JOIN c ON c.monitor = i.monitor AND c.identity = i.identity AND c."window" = x."window"),"""
+
+
+@_query(
+    f"""WITH {_WINDOWS_SQL}, c AS (SELECT event_type AS monitor, (epoch_us(ts) // 1000) // {DAY} AS "window", 'pod' || (user_id % 12) AS identity, count(*) * CASE WHEN ((epoch_us(min(ts)) // 1000) // {DAY} + user_id % 12) % 11 = 0 THEN 12 ELSE 1 END AS n FROM events GROUP BY 1, 2, user_id % 12),
+{_GRID_SQL} h AS (SELECT *, list(current) OVER (PARTITION BY monitor, identity ORDER BY nth ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS past FROM g), b AS (SELECT *, {_PAST_SQL} FROM h), m AS (SELECT *, {_MAD_SQL} FROM b)
+SELECT monitor, "window", 'pod_volume' AS kind, identity, 'spike' AS direction, current, baseline, mad FROM m WHERE {_SPIKE_SQL}"""
+)
+def anomaly_members(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy(F.col("event_type").alias("monitor"), F.expr(f"ts_ms div {DAY}").alias("window"), (F.col("user_id") % 12).alias("pod")).agg(F.count("*").alias("n"))
+    n = F.col("n") * F.when((F.col("window") + F.col("pod")) % 11 == 0, 12).otherwise(1)
+    counts = e.select("monitor", "window", F.lit("pod").alias("member"), F.concat(F.lit("pod"), "pod").alias("identity"), n.alias("n"))
+    return _rounded(anomalies.members(counts, _windows(spark, sf_dir)))
+
+
+@_query(
+    f"""WITH {_WINDOWS_SQL}, c AS (SELECT event_type AS monitor, (epoch_us(ts) // 1000) // {DAY} AS "window", 'user' || user_id AS identity, count(*) * 5 AS n FROM events GROUP BY 1, 2, 3),
+{_GRID_SQL} h AS (SELECT *, list(current) OVER (PARTITION BY monitor, identity ORDER BY nth ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS past FROM g), b AS (SELECT *, {_PAST_SQL} FROM h), m AS (SELECT *, {_MAD_SQL} FROM b),
+k AS (SELECT *, CASE WHEN {_SPIKE_SQL} THEN 'pattern_frequency' WHEN current > 0 AND nth > 5 AND list_sum(past) = 0 THEN 'new_pattern' WHEN current = 0 AND nth > 5 AND list_aggregate(past, 'min') > 0 AND baseline >= 5 AND current < least(baseline * 0.25, baseline - 6 * mad) THEN 'pattern_disappearance' END AS kind FROM m)
+SELECT monitor, "window", kind, identity, CASE kind WHEN 'pattern_frequency' THEN 'spike' WHEN 'new_pattern' THEN 'new' ELSE 'collapse' END AS direction, current, CASE WHEN kind = 'new_pattern' THEN 0 ELSE baseline END AS baseline, CASE WHEN kind <> 'new_pattern' THEN mad END AS mad FROM k WHERE kind IS NOT NULL"""
+)
+def anomaly_patterns(spark, sf_dir):
+    counts = _events(spark, sf_dir).groupBy(F.col("event_type").alias("monitor"), F.expr(f"ts_ms div {DAY}").alias("window"), F.concat(F.lit("user"), "user_id").alias("template_id")).agg((F.count("*") * 5).alias("n"))
+    return _rounded(anomalies.patterns(counts, _windows(spark, sf_dir)))
+
+
+@_query(
+    f"""WITH c AS (SELECT event_type AS monitor, (epoch_us(ts) // 1000) // {DAY} AS "window", CASE WHEN user_id % 20 = 0 THEN 'odd' ELSE 'main' END AS identity, count(*) AS n FROM events GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(n) OVER (PARTITION BY monitor, "window") AS errors, row_number() OVER (PARTITION BY monitor, "window" ORDER BY n DESC, identity) AS r FROM c)
+SELECT monitor, "window", 'pod_error_concentration' AS kind, identity, 'concentration' AS direction, n::DOUBLE AS current, NULL::DOUBLE AS baseline, NULL::DOUBLE AS mad FROM t WHERE r = 1 AND errors >= 10 AND n / errors >= 0.9"""
+)
+def anomaly_concentrations(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy(F.col("event_type").alias("monitor"), F.expr(f"ts_ms div {DAY}").alias("window"), F.when(F.col("user_id") % 20 == 0, "odd").otherwise("main").alias("identity")).agg(F.count("*").alias("n"))
+    windows = e.groupBy("monitor", "window").agg(F.sum("n").alias("errors"))
+    return _rounded(anomalies.concentrations(e.withColumn("member", F.lit("pod")), windows))
+
+
+@_query(
+    f"WITH v AS ({_VOLUMES_SQL}), g AS ({_GATE_SQL}) SELECT 'monitor' AS origin, true AS qualified, count(*) AS n, max(\"window\" * {DAY}) AS latest_ms FROM v HAVING count(*) > 0 "
+    "UNION ALL SELECT 'events', qualified, count(*), max(window_start_ms) FROM g GROUP BY qualified"
+)
+def signals_with_anomalies(spark, sf_dir):
+    found = anomalies.as_signals(anomalies.volumes(_windows(spark, sf_dir)), DAY)
+    both = signals.noise_gate(anomalies.with_signals(signals.aggregate(_events(spark, sf_dir), DAY), found))
+    return both.groupBy(F.when(F.col("monitor_anomaly").isNull(), "events").otherwise("monitor").alias("origin"), "qualified").agg(F.count("*").alias("n"), F.max("window_start_ms").alias("latest_ms"))
+
+
+# -- hits, pages, registry, stamps
+
+
+@_query(
+    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 3 THEN 'pod' || user_id ELSE 'pod' || user_id || CASE event_id % 5 WHEN 0 THEN '-nested' ELSE '-literal' END END AS pod_name, event_id % 5 = 4 AS missing,
+  CASE WHEN event_id % 5 = 2 THEN event_type END AS log_level, CASE WHEN event_id % 3 <> 1 THEN json_extract_string(props, '$.k') END AS logger, CASE WHEN event_id % 3 <> 1 THEN 'GET' END AS http_method, CASE WHEN event_id % 3 <> 1 THEN (200 + user_id % 300)::VARCHAR END AS http_status FROM events"""
+)
+def hit_attributes(spark, sf_dir):
+    e, kind = _read(spark, sf_dir, "events"), F.col("event_id") % 5
+    pod = F.concat(F.lit("pod"), F.col("user_id").cast("string"))
+    inner = F.to_json(F.struct((200 + F.col("user_id") % 300).alias("status_code"), F.lit("get").alias("method"), F.get_json_object("props", "$.k").alias("logger")))
+    said = F.when(F.col("event_id") % 3 == 1, "plain text").otherwise(inner)
+    part = lambda s, **c: F.to_json(F.struct(said.alias("message"), *[v.alias(k) for k, v in c.items()], *s))
+    nested = F.struct(F.concat(pod, F.lit("-nested")).alias("pod_name")).alias("kubernetes")
+    literal = F.concat(pod, F.lit("-literal")).alias("kubernetes.pod_name")
+    hit = F.when(kind == 0, part([nested])).when(kind == 1, part([nested, literal])).when(kind == 2, part([literal], level=F.col("event_type"))).when(kind == 3, part([F.struct(pod.alias("pod_name"), F.lit(" ").alias("pod_ip")).alias("kubernetes")])).otherwise(part([F.lit("none").alias("kubernetes")]))
+    rows = e.select("event_id", F.try_parse_json(hit).alias("v"))
+    rows = rows.select("event_id", variants.missing(F.col("v"), "kubernetes.pod_name").alias("missing"), variants.hit_attributes(F.col("v")).alias("a"))
+    return rows.select("event_id", "missing", *[F.try_element_at("a", F.lit(k)).alias(k) for k in ("pod_name", "log_level", "logger", "http_method", "http_status")])
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < DATE '1997-01-01' OR (o_orderdate = DATE '1997-01-01' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 250")
+def keyset_page(spark, sf_dir):
+    import datetime
+
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return readers.keyset_page(orders, "o_orderdate", "o_orderkey", 250, (datetime.date(1997, 1, 1), 5000))
+
+
+@_query(
+    """WITH p AS (SELECT 'user' || (user_id % 700) AS key, event_type AS template, epoch_us(ts) // 1000 AS t FROM events), f AS (SELECT key, t, template FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, template) AS n FROM p) WHERE n = 1 AND key NOT IN ('user1', 'user2'))
+SELECT 'user1' AS key, 'kept' AS template, 0 AS written_ms UNION ALL SELECT 'user2', 'kept', 0 UNION ALL SELECT * FROM (SELECT key, template, t FROM f ORDER BY t, template, key LIMIT 98)"""
+)
+def template_registry(spark, sf_dir):
+    known = spark.createDataFrame([("user1", "kept", 0), ("user2", "kept", 0)], registry.ENTRIES)
+    own = _events(spark, sf_dir).select(F.concat(F.lit("user"), F.col("user_id") % 700).alias("key"), F.col("event_type").alias("template"), F.col("ts_ms").alias("written_ms"))
+    return registry.merged(known, own, 100)
+
+
+@_query(
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN 'a ' || user_id WHEN 2 THEN user_id::VARCHAR END AS stamp FROM events"
+)
+def kv_stamps(spark, sf_dir):
+    e, kind, user = _read(spark, sf_dir, "events"), F.col("event_id") % 4, F.col("user_id").cast("string")
+    line = (
+        F.when(kind == 0, F.concat(F.lit("k=(time=1) note=\"time=2\" time="), user, F.lit(", timestamps=3")))
+        .when(kind == 1, F.concat(F.lit("time=0 list=[1, 2] timestamp='a "), user, F.lit("' end")))
+        .when(kind == 2, F.concat(F.lit("]) @timestamp="), user, F.lit(" {time=5")))
+        .otherwise(F.concat(F.lit("don't say time="), user))
+    )
+    return e.select("event_id", parse.kv_stamp(line).alias("stamp"))
