@@ -13,7 +13,7 @@ from .common import cut
 
 #: (verdict, host and path): a rule fits the host and its subdomains where the path starts as the rule's does.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-DEPTH, DISTINCT, SHARE = 4, 8, 0.1
+DISTINCT, SHARE = 8, 0.1
 MOST_RULES = 1000
 
 
@@ -53,24 +53,37 @@ def _masked(path: Column) -> Column:
 def templates(counts: DataFrame) -> DataFrame:
     """``counts`` (host, masked, n, ...), one row a masked path, with ``segments``: its template in the host's tree.
 
-    Level by level, to DEPTH segments, the children of a node become `*` if they are variable: at least DISTINCT,
+    Level by level, to the last segment, the children of a node become `*` if they are variable: at least DISTINCT,
     with at most half as many different paths below them as there are children. Children with a share of SHARE of
-    the node's URLs keep their name. What lies deeper is `**`. How many rows a path has changes nothing but that share.
+    the node's URLs keep their name. How many rows a path has changes nothing but that share.
+
+    A node with fewer than DISTINCT paths below it has no variable child at any depth, so these paths are finished at once; levels
+    go on while other nodes are left, each level written once.
     """
     rows = counts.withColumn("left", F.slice(F.split("masked", "/"), 2, 1 << 30)).withColumn("segments", F.expr("cast(array() as array<string>)"))
-    for _ in range(DEPTH):
+    done = []
+    while True:
+        node = W.partitionBy("host", "segments")
+        # one row a masked path: rows of a node are its different paths
+        rows = cut(rows.withColumn("paths", F.count("*").over(node)), "level")
+        ends = (F.size("left") == 0) | (F.col("paths") < DISTINCT)
+        done.append(rows.where(ends).withColumn("segments", F.concat("segments", "left")).drop("left", "paths"))
+        rows = rows.where(~ends)
+        if rows.isEmpty():
+            break
         here = F.get("left", F.lit(0))
         rest = F.xxhash64(F.array_join(F.slice("left", 2, 1 << 30), "/"))
-        each = rows.where("size(left) > 0").groupBy("host", "segments", here.alias("child")).agg(F.sum("n").alias("n"))
-        below = rows.where("size(left) > 0").groupBy("host", "segments").agg(F.count_distinct(here).alias("children"), F.count_distinct(rest).alias("rests"), F.sum("n").alias("total"))
+        each = rows.groupBy("host", "segments", here.alias("child")).agg(F.sum("n").alias("n"))
+        below = rows.groupBy("host", "segments").agg(F.count_distinct(here).alias("children"), F.count_distinct(rest).alias("rests"), F.sum("n").alias("total"))
         variable = below.where((F.col("children") >= DISTINCT) & (2 * F.col("rests") <= F.col("children")))
         wild = each.join(variable, ["host", "segments"]).where(F.col("n") < SHARE * F.col("total")).select("host", "segments", "child", F.lit(True).alias("wild"))
-        met = rows.withColumn("child", here).join(cut(wild, "wild"), ["host", "segments", "child"], "left")
+        met = rows.withColumn("child", here).join(wild, ["host", "segments", "child"], "left")
         named = F.when(F.col("wild"), F.lit("*")).otherwise(F.col("child"))
-        segments = F.when(F.size("left") > 0, F.concat("segments", F.array(named))).otherwise(F.col("segments"))
-        rows = cut(met.withColumn("segments", segments).withColumn("left", F.slice("left", 2, 1 << 30)).select(rows.columns), "level")
-    deeper = F.when(F.size("left") > 0, F.concat("segments", F.array(F.lit("**")))).otherwise(F.col("segments"))
-    return rows.withColumn("segments", deeper).drop("left")
+        rows = met.withColumn("segments", F.concat("segments", F.array(named))).withColumn("left", F.slice("left", 2, 1 << 30)).select([c for c in rows.columns if c != "paths"])
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def branches(placed: DataFrame, rate: float, purity: float = 0.8, least: int = 5, weight: float = 4.0) -> DataFrame:
@@ -81,13 +94,30 @@ def branches(placed: DataFrame, rate: float, purity: float = 0.8, least: int = 5
     those without labels join it where there is only one, else they are a branch of their own. Merged branches pool what lies
     below them. A branch's share is that of its labelled URLs, with ``weight`` more at its parent's share; the root's at ``rate``.
     The deepest branch below the root with at least ``least`` labelled URLs decides: it rejects from a share of ``purity`` on.
+
+    A path that is alone in its branch meets no other below it: its levels to the last are taken in one step, each drawing the share
+    towards its own, to (share - own) (weight / (known + weight)) ^ levels from it. Levels go on while branches of several paths are left.
     """
     root = placed.groupBy("host").agg(((F.sum("blocked") + weight * rate) / (F.sum("known") + weight)).alias("share"))
     none = F.lit(None).cast("double")
     rows = placed.join(root, "host").select("host", "masked", "segments", "known", "blocked", "n", F.lit("").alias("template"), "share", none.alias("block_share"), F.lit(False).alias("rejected"))
-    for level in range(1, DEPTH + 2):
+    done, level = [], 0
+    while True:
+        rows = cut(rows.withColumn("together", F.count("*").over(W.partitionBy("host", "template"))), "down")
+        left = F.size("segments") - level
+        own = F.when(F.col("known") > 0, F.col("blocked") / F.greatest(F.col("known"), F.lit(1))).otherwise(F.col("share"))
+        final = own + (F.col("share") - own) * F.pow(F.lit(weight) / (F.col("known") + weight), left)
+        decides = (left > 0) & (F.col("known") >= least)
+        rest = F.slice("segments", level + 1, 1 << 30)
+        template = F.when(left > 0, F.concat_ws("/", "template", F.array_join(rest, "/"))).otherwise(F.col("template"))
+        ends = (left <= 0) | (F.col("together") == 1)
+        done.append(rows.where(ends).select("host", "masked", template.alias("template"), F.when(decides, final).otherwise(F.col("block_share")).alias("block_share"), F.when(decides, final >= purity).otherwise(F.col("rejected")).alias("rejected")))
+        rows = rows.where(~ends).drop("together")
+        if rows.isEmpty():
+            break
+        level += 1
         here, after = F.get("segments", F.lit(level - 1)), F.get("segments", F.lit(level))
-        each = rows.where(here.isNotNull()).groupBy("host", "template", "share", here.alias("child"), after.alias("after")).agg(*[F.sum(c).alias(c) for c in ("known", "blocked", "n")])
+        each = rows.groupBy("host", "template", "share", here.alias("child"), after.alias("after")).agg(*[F.sum(c).alias(c) for c in ("known", "blocked", "n")])
         nodes = each.groupBy("host", "template", "share", "child").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.coalesce(F.max_by("after", F.when(F.col("after").isNotNull(), F.struct("n", "after"))), F.lit("/")).alias("kind"))
         own = (F.col("blocked") + weight * F.col("share")) / (F.col("known") + weight)
         nodes = nodes.withColumn("own", own).withColumn("var", F.greatest(own * (1 - own), F.lit(1e-9)) / (F.col("known") + weight)).withColumn("labelled", F.col("known") > 0)
@@ -95,22 +125,23 @@ def branches(placed: DataFrame, rate: float, purity: float = 0.8, least: int = 5
         apart = F.abs(F.col("own") - F.lag("own").over(alike)) > 1.96 * F.sqrt(F.col("var") + F.lag("var").over(alike))
         nodes = nodes.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
         nodes = nodes.withColumn("branch", F.sum("apart").over(alike.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        nodes = cut(nodes, "nodes")
-        parts = nodes.where("labelled").groupBy("host", "template", "kind").agg(F.max("branch").alias("parts"))
-        joined = nodes.join(parts, ["host", "template", "kind"], "left")
+        # unlabelled nodes look at their labelled siblings' branches
+        siblings = W.partitionBy("host", "template", "kind")
+        joined = nodes.withColumn("parts", F.max(F.when(F.col("labelled"), F.col("branch"))).over(siblings))
         joined = joined.withColumn("branch", F.when(F.col("labelled"), F.col("branch")).when(F.col("parts") == 0, 0).otherwise(-1))
-        key = ["host", "template", "kind", "branch"]
-        merged = joined.groupBy(*key, "share").agg(F.sum("known").alias("seen"), F.sum("blocked").alias("bad"), F.min("child").alias("first"))
-        merged = merged.withColumn("next_share", (F.col("bad") + weight * F.col("share")) / (F.col("seen") + weight)).drop("share", "bad")
-        named = joined.select(*key, "child").join(merged, key).select("host", "template", "child", "seen", "next_share", F.concat_ws("/", "template", "first").alias("below"))
-        met = rows.withColumn("child", here).join(cut(named, "branches"), ["host", "template", "child"], "left")
+        pool = W.partitionBy("host", "template", "kind", "branch")
+        named = joined.select("host", "template", "child", F.sum("known").over(pool).alias("seen"), F.sum("blocked").over(pool).alias("bad"), F.min("child").over(pool).alias("first"), "share")
+        named = named.select("host", "template", "child", "seen", ((F.col("bad") + weight * F.col("share")) / (F.col("seen") + weight)).alias("next_share"), F.concat_ws("/", "template", "first").alias("below"))
+        met = rows.withColumn("child", here).join(named, ["host", "template", "child"], "left")
         decides = F.col("seen") >= least
         rows = met.select(
             "host", "masked", "segments", "known", "blocked", "n", F.coalesce("below", "template").alias("template"), F.coalesce("next_share", "share").alias("share"),
             F.when(decides, F.col("next_share")).otherwise(F.col("block_share")).alias("block_share"), F.when(decides, F.col("next_share") >= purity).otherwise(F.col("rejected")).alias("rejected"),
         )
-        rows = cut(rows, "down")
-    return rows.select("host", "masked", "template", "block_share", "rejected")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, least: int = 5, weight: float = 4.0) -> DataFrame:
