@@ -50,15 +50,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def dependency_paths(edges: DataFrame, max_hops: int = 4) -> DataFrame:
     """(src, dst, hops, path): for each pair within ``max_hops``, the shortest path, the least among equals.
 
-    ``edges`` holds (src, dst). A node's path to itself is [node], of 0 hops; no path repeats a node.
+    ``edges`` holds (src, dst). A node's path to itself is [node], of 0 hops; no path repeats a node. Each hop's
+    front is written, so that a hop's plan holds none of the hops before.
     """
     links = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
     nodes = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).distinct()
-    found = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"), F.array("src").alias("path"))
-    front = found
+    links = written(links, "links")
+    found = front = written(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"), F.array("src").alias("path")), "front")
     for hop in range(1, max_hops + 1):
         step = front.join(links.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").where(~F.array_contains("path", F.col("to")))
         step = step.select("src", F.col("to").alias("dst"), F.concat("path", F.array("to")).alias("path")).groupBy("src", "dst").agg(F.min("path").alias("path"))
-        front = step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).alias("hops"), "path")
+        front = written(step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).alias("hops"), "path"), "front")
         found = found.unionByName(front)
     return found

@@ -27,7 +27,7 @@ def _mentions(rows: DataFrame) -> DataFrame:
 def _meetings(rows: DataFrame, paths: DataFrame | None, gap_ms: int) -> DataFrame:
     """Pairs (a_..., b_...) of ``rows`` that time and one of the rules of ``correlate`` may link; a pair may come more than once.
 
-    Both sides carry keys: a root or cascade class within a service (s), the own service against those that the
+    Both sides carry keys: what the classes of a root and a cascade, or of two roots, are within a service (rc, cr, rr), the own service against those that the
     other's text names or its topology reaches (m), and the reverse (n). b starts in the time that a covers, in buckets of
     ``gap_ms`` times a power of eight: a long signal takes wider ones, so it is in about eight of them, however long it is.
     """
@@ -40,9 +40,14 @@ def _meetings(rows: DataFrame, paths: DataFrame | None, gap_ms: int) -> DataFram
         found = found.withColumn("around", F.expr("cast(array() as array<string>)"))
     tagged = lambda tag, names: F.transform(names, lambda x: F.concat(F.lit(tag), x))
     own = F.when(F.col("svc") != "", F.array("svc")).otherwise(F.expr("cast(array() as array<string>)"))
-    classed = F.when(F.col("kind").isin(*P.ROOT_CLASSES, *P.CASCADE_CLASSES), own).otherwise(F.expr("cast(array() as array<string>)"))
-    a_keys = F.concat(tagged("s:", classed), tagged("m:", own), tagged("n:", F.col("names")))
-    b_keys = F.concat(tagged("s:", classed), tagged("m:", F.array_union("names", "around")), tagged("n:", own))
+    none = F.expr("cast(array() as array<string>)")
+    root, cascade = F.col("kind").isin(*P.ROOT_CLASSES), F.col("kind").isin(*P.CASCADE_CLASSES)
+    # a root and a cascade meet, and roots of different classes; cascades, or roots of one class, of a busy service don't
+    a_class = F.when(root, F.concat(tagged("rc:", own), F.transform(own, lambda x: F.concat(F.lit("rr:"), F.col("kind"), F.lit(":"), x)))).when(cascade, tagged("cr:", own)).otherwise(none)
+    others = F.filter(F.array(*[F.lit(k) for k in P.ROOT_CLASSES]), lambda k: k != F.col("kind"))
+    b_class = F.when(root, F.concat(tagged("cr:", own), F.flatten(F.transform(own, lambda x: F.transform(others, lambda k: F.concat(F.lit("rr:"), k, F.lit(":"), x)))))).when(cascade, tagged("rc:", own)).otherwise(none)
+    a_keys = F.concat(a_class, tagged("m:", own), tagged("n:", F.col("names")))
+    b_keys = F.concat(b_class, tagged("m:", F.array_union("names", "around")), tagged("n:", own))
 
     low, high = F.expr(f"first div {gap_ms}"), F.expr(f"greatest(last, first) div {gap_ms} + 1")
     level = F.least(F.lit(LEVELS - 1), F.floor(F.log2(high - low + 1) / 3).cast("int"))
