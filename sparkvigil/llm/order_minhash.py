@@ -14,13 +14,14 @@ _HASH_BITS, _PLACE_BITS = 29, 28
 
 
 def signature(text: Column, k: int = K) -> Column:
-    """array<bigint>: for each bucket that has k-mers, its number (upper 6 bits) and the hash of its tuple (lower 57).
+    """array<bigint>: for each of BUCKETS buckets its number (upper 6 bits) and the hash of its tuple (lower 57); empty for a text without words.
 
     The k-mers are of ``k`` words (fewer words: the whole sequence; none: no
     k-mer). An occurrence-numbered k-mer is the pair of a k-mer and the number
     of times it came before; its hash is that of the k-mer at first and of both together after that, and names
     its bucket and its rank there. Each bucket takes
-    its TAKEN least pairs, puts them back into text order and hashes the tuple.
+    its TAKEN least pairs, puts them back into text order and hashes the tuple. A bucket that holds fewer goes on with
+    those of the buckets after it, round and round, so that short texts too have whole tuples, and with them an order.
     One hash deals the k-mers out to all buckets, so a text is hashed and sorted
     once however many buckets there are. Equal texts have equal signatures.
     """
@@ -64,17 +65,30 @@ def _place(x: Column) -> Column:
 
 
 def _tuples(entries: Column) -> Column:
-    def head(x: Column, i: Column) -> Column:
-        return (i == 0) | (_bucket(x) != _bucket(F.get(entries, i - 1)))
+    """The tuples of all buckets, by bucket. In sorted entries, a bucket's TAKEN begin with the first entry that isn't below the bucket, so an entry
+    that is the first of its bucket serves that bucket and the empty ones before it; the first of all serves those behind the last, too."""
+    heads = F.filter(F.sequence(F.lit(0), F.size(entries) - 1), lambda i: (i == 0) | (_bucket(F.get(entries, i)) != _bucket(F.get(entries, i - 1))))
 
-    def tuple_hash(x: Column, i: Column) -> Column:
-        y = F.get(entries, i + 1)
+    def tuple_hash(i: Column) -> Column:
+        x, y = F.get(entries, i), F.get(entries, (i + 1) % F.size(entries))
         pair = F.when(_place(x) < _place(y), F.xxhash64(_hash(x), _hash(y))).otherwise(F.xxhash64(_hash(y), _hash(x)))
-        own = F.when(y.isNotNull() & (_bucket(y) == _bucket(x)), pair).otherwise(F.xxhash64(_hash(x)))
-        return F.shiftleft(_bucket(x), 57).bitwiseOR(F.shiftrightunsigned(own, 7))
+        return F.shiftrightunsigned(F.when(F.size(entries) == 1, F.xxhash64(_hash(x))).otherwise(pair), 7)
 
-    marked = F.transform(entries, lambda x, i: F.when(head(x, i), tuple_hash(x, i)))
-    return F.filter(marked, lambda x: x.isNotNull())
+    def spread(h: Column) -> Column:
+        top = lambda k: _bucket(F.get(entries, F.get(h, k))).cast("int")
+
+        def served(k: Column) -> Column:
+            """The k-th head's tuple, under each bucket that it serves; k = the number of heads stands for the first once more."""
+            first = F.when(k == 0, F.lit(0)).otherwise(top(k - 1) + 1)
+            last = F.when(k == F.size(h), F.lit(BUCKETS - 1)).otherwise(top(k))
+            none = F.expr("cast(array() as array<int>)")
+            own = F.transform(F.array(tuple_hash(F.get(h, k % F.size(h)))), lambda t: F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(none), lambda b: F.shiftleft(b.cast("bigint"), 57).bitwiseOR(t)))
+            return own[0]
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(h)), served))
+
+    made = F.transform(F.array(heads), spread)[0]
+    return F.when(F.size(entries) == 0, entries).otherwise(made)
 
 
 def fingerprint(sig: Column) -> Column:
