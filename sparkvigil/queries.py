@@ -384,7 +384,16 @@ def anomaly_changes(spark, sf_dir):
     return baseline.change(baseline.history(d, ["event_type"], "day", "n"), "n").select("event_type", "day", "direction")
 
 
-@_query()
+@_query(
+    f"""WITH c AS (SELECT 'pod' || user_id AS template_id, (epoch_us(ts) // 1000) // {DAY} AS "window", count(*) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT unnest(range(lo, hi + 1)) AS "window", lo FROM (SELECT min("window") AS lo, max("window") AS hi FROM c)),
+g AS (SELECT t.template_id, s."window", s.lo, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT template_id FROM c) t CROSS JOIN s LEFT JOIN c ON c.template_id = t.template_id AND c."window" = s."window"),
+h AS (SELECT *, list(n::DOUBLE) OVER (PARTITION BY template_id ORDER BY "window" ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS past FROM g),
+b AS (SELECT *, CASE WHEN len(past) >= 5 THEN list_aggregate(past, 'median') END AS baseline FROM h), m AS (SELECT *, CASE WHEN baseline IS NOT NULL THEN list_aggregate(list_transform(past, lambda x: abs(x - baseline)), 'median') END AS mad, len(list_filter(past, lambda x: x > 0)) AS seen FROM b),
+k AS (SELECT *, CASE WHEN n > 0 AND n > greatest(baseline * 3, baseline + 6 * mad) AND n >= 5 AND seen > 0 THEN 'pattern_frequency' WHEN n > 0 AND coalesce(seen, 0) = 0 AND len(past) >= 5 THEN 'new_pattern'
+  WHEN n = 0 AND seen >= 5 AND baseline >= 5 AND n < least(baseline * 0.25, baseline - 6 * mad) THEN 'pattern_disappearance' END AS kind FROM m)
+SELECT "window", template_id, kind, n AS current, baseline FROM k WHERE kind IS NOT NULL"""
+)
 def pattern_changes(spark, sf_dir):
     d = _events(spark, sf_dir).groupBy(F.col("pod_name").alias("template_id"), F.expr(f"ts_ms div {DAY}").alias("window")).agg(F.count("*").alias("n"))
     return baseline.patterns(d)
