@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import patterns as P
 from .functions import text as T
 from .functions import times, variants
 from .functions.generalise import generalise
@@ -137,7 +138,28 @@ def failure_classes(spark, sf_dir):
     return e.groupBy("event_type", "template", kind.alias("failure_class"), T.failure_domain(F.col("template")).alias("failure_domain")).agg(F.count("*").alias("n"))
 
 
-@_query()
+def _classes_sql(text: str, severity: int) -> str:
+    """failure_class, failure_domain and failure of a text without an alarm type, by the fixed words."""
+    hit = lambda words: f"regexp_matches({text}, '" + P.words(words).replace("'", "''") + "')"
+    kind = " ".join(f"WHEN {hit(words)} THEN '{name}'" for name, words in P.FAILURE_CLASSES.items())
+    domain = " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in P.FAILURE_DOMAINS.items())
+    return f"CASE {kind} ELSE '{'generic_error' if severity <= 3 else 'informational'}' END AS failure_class, CASE {domain} ELSE 'application' END AS failure_domain, {hit(P.FAILURE_WORDS)} AS failure"
+
+
+#: Every word of the classes and of success that is no expression; events say one each.
+_SAID = [w for words in (*P.FAILURE_CLASSES.values(), P.SUCCESS_WORDS) for w in words if not set(w) & set("\\()[]+*?.|'")]
+
+
+@_query(f"WITH w AS (SELECT event_id, 'user' || user_id || ' saw ' || ({_SAID!r})[(event_id % {len(_SAID)} + 1)::INTEGER] || CASE user_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN ' and ' || ({_SAID!r})[(user_id % {len(_SAID)} + 1)::INTEGER] ELSE '.' END AS said FROM events) SELECT event_id, said, {_classes_sql('said', 3)} FROM w")
+def failure_classes_of_words(spark, sf_dir):
+    e, words = _read(spark, sf_dir, "events"), F.array(*[F.lit(w) for w in _SAID])
+    of = lambda c: F.get(words, (F.col(c) % len(_SAID)).cast("int"))
+    tail = F.when(F.col("user_id") % 3 == 0, F.lit("x")).when(F.col("user_id") % 3 == 1, F.concat(F.lit(" and "), of("user_id"))).otherwise(".")
+    said = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(" saw "), of("event_id"), tail)
+    return e.select("event_id", said.alias("said")).select("event_id", "said", T.failure_class(F.col("said"), F.lit(None).cast("string"), F.lit(3)).alias("failure_class"), T.failure_domain(F.col("said")).alias("failure_domain"), T.is_failure(F.col("said")).alias("failure"))
+
+
+@_query(f"SELECT doc_id, {_classes_sql('text', 6)} FROM documents")
 def failure_classes_of_documents(spark, sf_dir):
     d = _read(spark, sf_dir, "documents")
     return d.select("doc_id", T.failure_class(F.col("text"), F.lit(None).cast("string"), F.lit(6)).alias("failure_class"), T.failure_domain(F.col("text")).alias("failure_domain"), T.is_failure(F.col("text")).alias("failure"))
