@@ -9,9 +9,9 @@ def test_ancestors_and_all_descendants_of_every_root(spark):
     assert len(got) == len(set(got)) and set(got) == want | {("c", f"w{i}", 2) for i in range(2100)}
 
 
-def test_query_gives_the_turns_of_its_conversation(spark):
+def test_query_gives_the_turns_of_every_conversation(spark):
     from sparkvigil.queries import lineage_closure
 
-    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id = 0").select("turn").distinct().collect()
-    got = sorted((r.depth, r.ref) for r in lineage_closure(spark, "/root/testdata/sf0.001").collect())
-    assert got == sorted((r.turn, f"c0:{r.turn}") for r in rows)
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn").distinct().collect()
+    got = sorted((r.root, r.depth, r.ref) for r in lineage_closure(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted((f"c{r.conv_id}:0", r.turn, f"c{r.conv_id}:{r.turn}") for r in rows)
