@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Stamps that an event's header may start with.
+_DAYS, _MONTHS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun", "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 STAMPS = (
+    r"\d{8}-\d{1,2}:\d{1,2}:\d{1,2}:\d{1,3}(?=\|)",
+    rf"(?<=\[)(?:{_DAYS})\s+(?:{_MONTHS})\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\s+\d{{4}}(?=\])",
+    r"(?<=\[)\d{1,2}\.\d{1,2}\s+\d{2}:\d{2}:\d{2}(?=\])",
     r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:\s*(?:Z|[+-]\d{2}:?\d{2})(?![\w:+-]))?",
     r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:\s*(?:Z|[+-]\d{2}:?\d{2})(?![\w:+-]))?",
     r"\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?",
@@ -20,9 +26,15 @@ LOCAL = (
     (r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
     (r"^\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}$", "d/MMM/yyyy:HH:mm:ss"),
-    (r"^\d{8}-\d{2}:\d{2}:\d{2}$", "yyyyMMdd-HH:mm:ss"),
+    (r"^\d{8}-\d{1,2}:\d{1,2}:\d{1,2}$", "yyyyMMdd-H:m:s"),
     (r"^\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}$", "yyyy-MM-dd-HH.mm.ss"),
+    (rf"^(?:{_MONTHS})\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\s+\d{{4}}$", "MMM d HH:mm:ss yyyy"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm"),
+    (r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
 )
+#: What stands before a fraction, and what parts them: a dot or comma after the seconds, a colon or dot in the two forms with their own separators.
+_FRACTION = r"^(.*:\d{2}(?=[.,])|\d{8}-\d{1,2}:\d{1,2}:\d{1,2}(?=:)|\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}(?=\.))[.,:](\d+)$"
+_NO_SECONDS = r"^\d{4}-\d{2}-\d{2}[T\s]\s*\d{2}:\d{2}$"
 LARGEST_SECONDS = 10_000_000_000
 
 
@@ -33,20 +45,30 @@ def header_stamp(log: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def _parts(stamp: Column) -> tuple[Column, Column, Column]:
-    """(clock without fraction and offset, microseconds, offset or empty)."""
-    text = F.trim(stamp)
-    offset = F.regexp_extract(text, OFFSET, 1)
-    clock = F.trim(F.regexp_replace(text, OFFSET, ""))
-    fraction = F.regexp_extract(clock, r":\d{2}[.,](\d+)$", 1)
-    micros = F.try_to_number(F.rpad(F.substring(fraction, 1, 6), 6, "0"), F.lit("999999")).cast("bigint")
-    return F.regexp_replace(clock, r"(:\d{2})[.,]\d+$", "$1"), F.coalesce(micros, F.lit(0)), offset
+def first_stamp(log: Column) -> Column:
+    """The first stamp of the first line, wherever it stands: tells where a header ends, and never when an event was. Families count in the order of STAMPS."""
+    first = F.substring_index(log, "\n", 1)
+    return F.coalesce(*[F.nullif(F.regexp_extract(first, p, 0), F.lit("")) for p in STAMPS])
+
+
+def _parts(stamp: Column) -> Column:
+    """struct(clock without fraction and offset, microseconds, offset or empty)."""
+
+    def parted(text: Column) -> Column:
+        micros = F.try_to_number(F.rpad(F.substring(F.regexp_extract(text, _FRACTION, 2), 1, 6), 6, "0"), F.lit("999999")).cast("bigint")
+        return F.struct(F.regexp_replace(text, _FRACTION, "$1").alias("clock"), F.coalesce(micros, F.lit(0)).alias("micros"))
+
+    def split(text: Column) -> Column:
+        rest = let(F.regexp_replace(F.trim(F.regexp_replace(text, OFFSET, "")), rf"^(?:{_DAYS})\s+", ""), parted)
+        return F.struct(rest.alias("rest"), F.regexp_extract(text, OFFSET, 1).alias("offset"))
+
+    return let(let(F.trim(stamp), split), lambda x: F.struct(x["rest"]["clock"].alias("clock"), x["rest"]["micros"].alias("micros"), x["offset"].alias("offset")))
 
 
 def _clock(text: Column) -> Column:
     out = F.lit(None).cast("timestamp_ntz")
     for shape, fmt in reversed(LOCAL):
-        clean = F.regexp_replace(text, r"\s+", " ") if " " in fmt else text
+        clean = F.regexp_replace(text, r"\s+", " ") if " " in fmt else text  # a format's blank stands for any
         out = F.when(text.rlike(shape), F.try_to_timestamp(clean, F.lit(fmt)).cast("timestamp_ntz")).otherwise(out)
     return out
 
@@ -72,19 +94,26 @@ def localise(micros: Column, zone: Column) -> Column:
 def normalise(stamp: Column, zone: Column | None = None) -> Column:
     """UTC microseconds of a stamp: epoch seconds or milliseconds, or a clock with an offset, or in ``zone``; else null.
 
-    Needs the session time zone to be UTC. A clock without offset and zone is no instant; a date alone isn't either.
+    Needs the session time zone to be UTC. A clock without offset and zone is no instant; a date alone isn't either. Seconds may
+    be left out only beside an offset. The names of weekdays aren't compared with their dates.
     """
     text = F.trim(stamp)
     number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
     epoch = F.when(number > LARGEST_SECONDS, number * 1000).otherwise(number * 1_000_000).cast("bigint")
-    clock, fraction, offset = _parts(text)
-    local = _micros(_clock(clock)) + fraction
-    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
-    digits = F.regexp_replace(offset, "[^0-9]", "")
-    shift = F.when(offset == "Z", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
-    absolute = local - shift.cast("bigint") * 60_000_000
-    naive = localise(local, zone) if zone is not None else F.lit(None).cast("bigint")
-    return F.coalesce(epoch, F.when(offset != "", absolute).otherwise(naive))
+
+    def instant(p: Column) -> Column:
+        offset = p["offset"]
+
+        def placed(local: Column) -> Column:
+            sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+            digits = F.regexp_replace(offset, "[^0-9]", "")
+            shift = F.when(offset == "Z", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+            naive = F.when(~p["clock"].rlike(_NO_SECONDS), localise(local, zone)) if zone is not None else F.lit(None).cast("bigint")
+            return F.when(offset != "", local - shift.cast("bigint") * 60_000_000).otherwise(naive)
+
+        return let(_micros(_clock(p["clock"])) + p["micros"], placed)
+
+    return F.coalesce(epoch, let(_parts(stamp), instant))
 
 
 def resolve(message: Column, zone: Column, source: Column) -> tuple[Column, Column]:
@@ -99,7 +128,7 @@ def status(message: Column, zone: Column) -> Column:
     """Why a message gives no instant of its own; null if it does."""
     text = F.trim(message)
     no_clock, no_date, no_year = text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.rlike(r"^\d{2}:\d{2}:\d{2}"), text.rlike(r"^([A-Z][a-z]{2}\s+\d{1,2}|\d{1,2}\.\d{1,2})\s+\d{2}:\d{2}:\d{2}$")
-    naive = _clock(_parts(text)[0]).isNotNull() & (_parts(text)[2] == "")
+    naive = let(_parts(text), lambda p: _clock(p["clock"]).isNotNull() & (p["offset"] == "") & ~p["clock"].rlike(_NO_SECONDS))
     return (
         F.when(F.coalesce(normalise(message), normalise(message, zone)).isNotNull(), None)
         .when(message.isNull() | (text == ""), "missing")

@@ -9,7 +9,9 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import times
 from ..functions.generalise import generalise
+from . import headers
 from . import policies as line_policies
+from .headers import unquoted
 
 _FIELDS = "struct<severity: string, message: string, stamp: string, service: string, host: string, component: string, attributes: map<string, string>>"
 
@@ -28,10 +30,6 @@ def _get(m: Column, key: str) -> Column:
     return F.nullif(F.try_element_at(m, F.lit(key)), F.lit(""))
 
 
-def unquoted(value: Column) -> Column:
-    return F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2")
-
-
 def json_fields(log: Column) -> Column:
     """Time, level and message by the usual names; the rest are attributes, nested ones as JSON. No message: all that is left."""
     m = F.from_json(log, "map<string,string>")
@@ -123,9 +121,14 @@ def syslog_fields(log: Column) -> Column:
 
 
 def structured_fields(log: Column) -> Column:
-    """Header stamp, level word and service within 256 characters; access logs: severity by status. The rest of the text is the message."""
+    """Texts of a known header family by its parts; else header stamp, level word and service within 256 characters, access logs with severity by status, and the rest of the text as message."""
+    kept = lambda k: _fields(k["severity"], k["message"], k["stamp"], k["attributes"], host=k["host"], component=k["component"]).cast(_FIELDS)
+    known = T.let(headers.by_family(log), lambda k: F.when(k.isNotNull(), kept(k)))
+    return F.coalesce(known, T.let(headers.optional(log), lambda more: T.let(times.header_stamp(log), lambda stamp: _stamped(log, stamp, more))))
+
+
+def _stamped(log: Column, stamp: Column, more: Column) -> Column:
     head = F.left(F.substring_index(log, "\n", 1), F.lit(256))
-    stamp = times.header_stamp(log)
     code = F.regexp_extract(head, r'"[A-Z]+ \S+ [^"]*" (\d{3})\b', 1)
     by_status = F.when(code >= "500", "ERROR").when(code >= "400", "WARNING").when(code != "", "INFO")
     level = F.coalesce(by_status, F.upper(F.nullif(F.regexp_extract(head, P.LEVEL_WORD, 1), F.lit(""))))
@@ -133,8 +136,11 @@ def structured_fields(log: Column) -> Column:
     level = F.coalesce(level, F.when(klog == "I", "INFO").when(klog == "W", "WARNING").when(klog == "E", "ERROR").when(klog == "F", "FATAL"))
     after = F.substring(log, F.instr(log, stamp) + F.length(stamp), F.length(log))
     message = F.when(stamp.isNotNull(), F.regexp_replace(after, r"^[\]\s|:\-]+", "")).otherwise(log)
-    attributes = F.map_concat(kv_pairs(log), F.when(code != "", F.create_map(F.lit("http_status"), code)).otherwise(F.expr("cast(map() as map<string,string>)")))
-    return _fields(level, F.coalesce(F.nullif(message, F.lit("")), log), stamp, F.map_filter(attributes, lambda k, v: k != ""), service=T.infer_service(head), component=T.infer_component(head))
+    none = F.expr("cast(map() as map<string,string>)")
+    pairs = F.map_filter(F.map_concat(kv_pairs(log), F.when(code != "", F.create_map(F.lit("http_status"), code)).otherwise(none)), lambda k, v: k != "")
+    attributes = headers.over(pairs, F.coalesce(more["attributes"], none))
+    service, component = F.coalesce(more["service"], T.infer_service(head)), F.coalesce(more["component"], T.infer_component(head))
+    return _fields(level, F.coalesce(F.nullif(message, F.lit("")), log), stamp, attributes, service=service, component=component).cast(_FIELDS)
 
 
 def positional_fields(log: Column) -> Column:
