@@ -183,6 +183,12 @@ def incidents(signals: DataFrame, edges: DataFrame, known: DataFrame | None = No
     )
 
 
+def foremost(found: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` incidents by severity, start (untimed last) and id, with their place from 1; the first is the primary one. A report, so its limit is the feature."""
+    order = [F.col("severity_min").asc_nulls_last(), F.col("start_ms").asc_nulls_last(), F.col("incident_id")]
+    return found.orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
 def confirmed(signals: DataFrame, rules: DataFrame) -> DataFrame:
     """Ids of the signals that an operator-confirmed rule fits: its root signal's text, or two of its keywords of over 4 characters.
 

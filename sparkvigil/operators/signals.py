@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quality import basis_counts
 
 #: A signal names so many of its events.
 IDS = 8
@@ -27,7 +28,7 @@ def aggregate(events: DataFrame, window_ms: int = 60_000) -> DataFrame:
 
     ``events`` holds event_id, ts_ms (null: untimed), template_id, template, template_reliable, severity (text),
     service, component, host, and optionally alarm_type, namespace, process_time_ms, source_order and any of the
-    columns that SETS names. Events without a template go. Untimed events share one window, null. Lists are sorted.
+    columns that SETS names, and basis, of which basis_counts tells how often each occurs. Events without a template go. Untimed events share one window, null. Lists are sorted.
     """
     have = set(events.columns)
     pick = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind)
@@ -42,6 +43,8 @@ def aggregate(events: DataFrame, window_ms: int = 60_000) -> DataFrame:
     )
     first = lambda c: F.min_by(c, "order_key")
     sets = [_set(c).alias(name) for name, c in SETS.items() if c in have]
+    if "basis" in have:
+        sets.append(basis_counts(F.col("basis")).alias("basis_counts"))
     out = rows.groupBy("group_type", "template_id", "identity", "window_start_ms").agg(
         F.count("*").alias("count"), F.min("ts_ms").alias("first_seen_ms"), F.max("ts_ms").alias("last_seen_ms"),
         F.min("severity_number").alias("severity_min"), first("template").alias("template"), first("service").alias("service"),

@@ -12,10 +12,10 @@ from .functions import patterns as P
 from .functions import text as T
 from .functions import times, variants
 from .functions.generalise import generalise
-from .operators import anomalies, baseline, evidence, graph, incidents, liveness, monitor, parse, registry, segment, signals
+from .operators import anomalies, baseline, evidence, graph, headers, incidents, liveness, monitor, parse, quality, registry, segment, signals, targets
 from .operators import policies as line_policies
 from .plans.pipeline import downstream
-from .sources import readers
+from .sources import hits, readers
 from .sources.readers import host_enriched
 
 DAY = 86_400_000
@@ -799,3 +799,188 @@ def kv_stamps(spark, sf_dir):
         .otherwise(F.concat(F.lit("don't say time="), user))
     )
     return e.select("event_id", parse.kv_stamp(line).alias("stamp"))
+
+
+@_query(
+    """WITH e AS (SELECT event_id, user_id AS u, event_type AS k, event_id % 5 AS f, epoch_ms(date_trunc('second', ts)) AS t FROM events)
+SELECT event_id, 'structured_text' AS format, CASE f WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARNING' WHEN 3 THEN CASE u % 3 WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARNING' ELSE 'ERROR' END WHEN 4 THEN 'ERROR' END AS severity,
+  CASE f WHEN 0 THEN k || ' v=' || u WHEN 1 THEN k || ' n=' || u || ' myid=2' WHEN 2 THEN k || ' ' || u WHEN 3 THEN 'GET /' || k || ' HTTP/1.0 (HTTP ' || (200 + 200 * (u % 3) + CASE WHEN u % 3 = 2 THEN -97 ELSE 0 END) || ')' ELSE 'ERROR [' || 'pay-' || k || '] failed ' || u END AS message,
+  CASE f WHEN 0 THEN 'CBS' WHEN 1 THEN 'Election' WHEN 2 THEN 'Step_' || k END AS component, CASE f WHEN 4 THEN 'pay-' || k END AS service, CASE f WHEN 3 THEN '10.0.0.' || (u % 250) END AS host,
+  CASE f WHEN 0 THEN u::VARCHAR WHEN 1 THEN u::VARCHAR WHEN 3 THEN u::VARCHAR END AS number, CASE f WHEN 1 THEN '2' END AS myid, CASE f WHEN 1 THEN '774' END AS line, CASE f WHEN 3 THEN t END AS ts_ms,
+  CASE WHEN f <> 3 THEN 'timezone_missing' END AS time_status FROM e"""
+)
+def header_canonical(spark, sf_dir):
+    """Events as lines of five header families, read again."""
+    e, t = _read(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    u, k, clock = F.col("user_id"), F.col("event_type"), F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    status = 200 + 200 * (u % 3) + F.when(u % 3 == 2, -97).otherwise(0)
+    made = [
+        F.concat(clock, F.lit(", Info                  CBS    "), k, F.lit(" v="), u), F.concat(clock, F.lit(",747 - WARN  [Peer[myid=1]/0:0:Election@774] - "), k, F.lit(" n="), u, F.lit(" myid=2")),
+        F.concat(F.date_format(t, "yyyyMMdd-H:m:s:SSS"), F.lit("|Step_"), k, F.lit("|30002312|"), k, F.lit(" "), u),
+        F.concat(F.lit("10.0.0."), u % 250, F.lit(" - - ["), F.date_format(t, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), k, F.lit(' HTTP/1.0" '), status, F.lit(" "), u),
+        F.concat(clock, F.lit(" ERROR [pay-"), k, F.lit("] failed "), u),
+    ]
+    raw = F.get(F.array(*made), (F.col("event_id") % 5).cast("int"))
+    got = parse.canonical(e.select(F.col("event_id").alias("source_id"), raw.alias("raw")))
+    a = lambda key: F.try_element_at("attributes", F.lit(key))
+    number = F.coalesce(a("v"), a("n"), a("response_size_bytes"))
+    return got.select(F.col("source_id").alias("event_id"), "format", "severity", "message", "component", "service", "host", number.alias("number"), a("myid").alias("myid"), a("line").alias("line"), "ts_ms", "time_status")
+
+
+@_query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_ms(date_trunc('second', ts)) + 7 * (event_id % 9) WHEN 1 THEN epoch_ms(date_trunc('second', ts)) WHEN 2 THEN epoch_us(ts) // 1000
+  ELSE epoch_ms(date_trunc('minute', ts)) - 7200000 END AS ts_ms, CASE WHEN event_id % 4 = 3 THEN 'message_explicit' ELSE 'message_source_timezone' END AS basis FROM events"""
+)
+def stamp_families(spark, sf_dir):
+    """Clocks with their own separators, with weekdays, and without seconds beside an offset."""
+    e, t = _read(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    millis = F.lpad((7 * (F.col("event_id") % 9)).cast("string"), 3, "0")
+    made = [F.concat(F.date_format(t, "yyyyMMdd-H:m:s"), F.lit(":"), millis), F.date_format(t, "E MMM d HH:mm:ss yyyy"), F.date_format(t, "yyyy-MM-dd-HH.mm.ss.SSSSSS"), F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm"), F.lit("+02:00"))]
+    rows = e.select("event_id", F.get(F.array(*made), (F.col("event_id") % 4).cast("int")).alias("stamp"))
+    at, basis = times.resolve(F.col("stamp"), F.lit("UTC"), F.lit(None).cast("string"))
+    return rows.select("event_id", F.floor(at / 1000).cast("bigint").alias("ts_ms"), basis.alias("basis"))
+
+
+@_query(
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'DOUBLE' WHEN 3 THEN 'STRING' ELSE 'BIGINT' END AS kind, "
+    "CASE event_id % 5 WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN '00' || user_id WHEN 2 THEN user_id || '.5' WHEN 3 THEN event_type ELSE '-' || (user_id + 1) END AS value FROM events"
+)
+def typed_attributes(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    u = F.col("user_id")
+    value = F.get(F.array(u.cast("string"), F.concat(F.lit("00"), u), F.concat(u, F.lit(".5")), F.concat(F.lit('"'), "event_type", F.lit('"')), F.concat(F.lit("-"), u + 1)), (F.col("event_id") % 5).cast("int"))
+    rows = e.select("event_id", headers.typed_attributes(headers.scalar_pairs(F.concat(F.lit("op=x, size="), value, F.lit(" size=again list=[1,2]")))).alias("a"))
+    held = F.try_element_at("a", F.lit("size"))
+    return rows.select("event_id", F.schema_of_variant(held).alias("kind"), held.cast("string").alias("value"))
+
+
+def _segmented(spark, sf_dir):
+    classified = segment.classify(segment.lines(_read(spark, sf_dir, "documents"), "doc_id"), "(?:Licensed|The )")
+    return classified, segment.assemble(classified)
+
+
+@_query(
+    "SELECT count(*) AS total_events, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'possible_incomplete') AS possible_incomplete, 0::BIGINT AS confirmed_truncated, count(*) FILTER (status = 'orphan') AS orphan, "
+    "count(*) FILTER (emission_reason = 'analysis_end') AS analysis_end_events FROM (SELECT *, CASE WHEN orphan THEN 'orphan' WHEN emission_reason = 'analysis_end' THEN 'possible_incomplete' ELSE 'complete' END AS status FROM (" + _SEGMENT_SQL + "))"
+)
+def boundary_counts(spark, sf_dir):
+    return quality.boundaries(_segmented(spark, sf_dir)[1])
+
+
+@_query(
+    "SELECT doc_id, event_no, CASE WHEN orphan THEN 'orphan' ELSE 'possible_incomplete' END AS boundary_status, emission_reason, line_count, start_ordinal, end_ordinal FROM (" + _SEGMENT_SQL + ") WHERE orphan OR emission_reason = 'analysis_end' ORDER BY doc_id, event_no LIMIT 200"
+)
+def boundary_samples(spark, sf_dir):
+    return quality.affected(_segmented(spark, sf_dir)[1]).withColumnRenamed("stream", "doc_id").drop("stream_id")
+
+
+@_query(
+    _SEGMENT_SQL.rsplit("e AS (", 1)[0]
+    + "g AS (SELECT doc_id, event_no, count(*) AS line_count, sum((NOT blank)::INT) AS held FROM n WHERE NOT (blank AND before = 0) GROUP BY doc_id, event_no) "
+    "SELECT *, nonblank = accounted AS zero_loss, round(internal / nonblank * 100, 2) AS undersegmentation_rate FROM (SELECT count(*) AS lines, sum((NOT blank)::INT)::BIGINT AS nonblank, sum((hit AND NOT blank AND NOT start)::INT)::BIGINT AS internal FROM n), "
+    "(SELECT count(*) AS events, count(*) FILTER (line_count = 1) AS single, count(*) FILTER (line_count > 1) AS multiline, min(line_count) AS min_lines, max(line_count) AS max_lines, sum(held)::BIGINT AS accounted FROM g)"
+)
+def line_accounting(spark, sf_dir):
+    return quality.accounting(*_segmented(spark, sf_dir))
+
+
+@_query(
+    "WITH " + _LINES_SQL + r""", s AS (SELECT list_transform(list_filter(regexp_split_to_array(line, '\s+'), lambda t: t <> '')[1:8], lambda t: regexp_replace(regexp_replace(t, '[\p{L}\p{M}]+', 'a', 'g'), '\d+', '9', 'g')) AS shape,
+  starts_with(line, 'Licensed') OR starts_with(line, 'The ') AS fits FROM l WHERE regexp_matches(line, '\S')), c AS (SELECT shape, fits, count(*) AS n FROM s GROUP BY ALL),
+m AS (SELECT *, NOT fits AND EXISTS (SELECT 1 FROM c AS o WHERE o.fits AND len(list_filter(list_zip(c.shape, o.shape), lambda x: x[1] = x[2])) >= 0.75 * greatest(len(c.shape), len(o.shape))) AS near FROM c)
+SELECT *, matched >= 3 AND similar_unmatched > 0 AS suspicious FROM (SELECT coalesce(sum(n) FILTER (fits), 0)::BIGINT AS matched, coalesce(sum(n) FILTER (NOT fits), 0)::BIGINT AS unmatched, coalesce(sum(n) FILTER (near), 0)::BIGINT AS similar_unmatched FROM m)"""
+)
+def partial_misses(spark, sf_dir):
+    lines = segment.lines(_read(spark, sf_dir, "documents"), "doc_id")
+    return quality.partial_misses(lines.select("line", F.col("line").rlike("^(?:Licensed|The )").alias("matched")))
+
+
+@_query(
+    """WITH e AS (SELECT event_id % 5 AS f, event_id % 7 = 0 AS gone, event_id % 11 = 0 AS lost FROM events), p AS (SELECT *, f < 2 AS timed, CASE f WHEN 0 THEN 'message_explicit' WHEN 1 THEN 'source_record' ELSE 'untimed' END AS basis,
+  CASE f WHEN 0 THEN 'resolved' WHEN 2 THEN 'timezone_missing' ELSE 'missing' END AS status FROM e),
+c AS (SELECT 'count' AS kind, unnest(['events_total', 'parser_no_event', 'parsed_events_total', 'source_timestamp_present', 'source_timestamp_not_detected', 'parsed_timestamp_resolved', 'parsed_timestamp_unresolved', 'downstream_events_total',
+    'downstream_timestamp_resolved', 'downstream_timestamp_unresolved', 'parsed_events_not_delivered', 'parsed_resolved_not_delivered', 'timestamp_lost', 'timestamp_changed']) AS name, NULL::VARCHAR AS status,
+  unnest([true, f = 4, f < 4, f < 3, f = 3, timed, f IN (2, 3), f < 4 AND NOT gone, timed AND NOT gone AND NOT lost, f < 4 AND NOT gone AND NOT (timed AND NOT lost), f < 4 AND gone, timed AND gone, timed AND NOT gone AND lost, timed AND NOT gone AND lost]) AS said FROM p)
+SELECT kind, name, status, count(*) AS n FROM c WHERE said GROUP BY ALL UNION ALL SELECT 'basis', basis, NULL, count(*) FROM p WHERE f < 4 GROUP BY ALL UNION ALL SELECT 'parser', 'json', status, count(*) FROM p WHERE f < 4 GROUP BY ALL"""
+)
+def time_counters(spark, sf_dir):
+    """Events as JSON: with an instant, with the record's own, with a clock alone, with none, and blank; some don't arrive, some lose their time."""
+    e, t = _read(spark, sf_dir, "events"), F.col("ts").cast("timestamp")
+    f = (F.col("event_id") % 5).cast("int")
+    stamp = F.when(f == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(f == 2, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    raw = F.when(f == 4, F.lit(" ")).otherwise(F.to_json(F.struct(stamp.alias("time"), F.col("event_type").alias("msg"))))
+    rows = e.select(F.col("event_id").alias("source_id"), raw.alias("raw"), F.when(f == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("source_timestamp"))
+    parsed = parse.canonical(rows)
+    went = parsed.where(F.col("format").isNotNull() & (F.col("source_id") % 7 != 0)).select("source_id", F.when(F.col("source_id") % 11 != 0, F.col("ts_ms")).alias("ts_ms"))
+    return quality.time_counters(parsed, went, "source_id")
+
+
+def _records(spark, sf_dir):
+    """Events as records of three namespaces, and the end of their time."""
+    e = _read(spark, sf_dir, "events")
+    r = e.select(
+        F.concat(F.lit("ns"), F.col("user_id") % 3).alias("namespace"), F.concat(F.lit("w"), F.col("user_id") % 700).alias("workload"), F.col("event_type").alias("container"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("sequence"), F.concat(F.lit("password=hush; did "), F.col("event_type"), F.lit(" "), F.col("event_id")).alias("message"),
+    )
+    return r, (r.agg(F.max("ts_ms")).first()[0] or 0) + 1
+
+
+_RECORDS_SQL = "WITH r AS (SELECT 'ns' || (user_id % 3) AS namespace, 'w' || (user_id % 700) AS workload, event_type AS container, epoch_us(ts) // 1000 AS ts_ms, event_id AS sequence FROM events), f AS (SELECT *, max(ts_ms) OVER () + 1 AS e FROM r), d AS (SELECT * FROM f WHERE ts_ms >= e - 86400000) "
+
+
+@_query(
+    _RECORDS_SQL + "SELECT namespace, workload, n > 20 AS truncated FROM (SELECT namespace, workload, row_number() OVER (PARTITION BY namespace ORDER BY workload) AS nth, count(*) OVER (PARTITION BY namespace) AS n FROM (SELECT DISTINCT namespace, workload FROM d)) WHERE nth <= 20"
+)
+def target_options(spark, sf_dir):
+    records, end = _records(spark, sf_dir)
+    return targets.options(records, "workload", end, most=20)
+
+
+@_query(
+    _RECORDS_SQL + ", s AS (SELECT *, ts_ms >= e - 900000 AS late, row_number() OVER (PARTITION BY namespace, container ORDER BY ts_ms DESC, sequence DESC) AS nth FROM d) "
+    "SELECT namespace, container, count(*) FILTER (late) AS events, max(ts_ms) FILTER (late) AS latest_ms, coalesce(string_agg('[redacted]; did ' || container || ' ' || sequence, '|' ORDER BY nth) FILTER (late AND nth <= 10), '') AS samples, "
+    "CASE WHEN count(*) FILTER (late) > 0 THEN 'LIVE' ELSE 'QUIET' END AS state FROM s GROUP BY namespace, container"
+)
+def target_validation(spark, sf_dir):
+    records, end = _records(spark, sf_dir)
+    merged = records.select("namespace", F.col("container").alias("workload"), "ts_ms", "sequence", "message")
+    got = targets.validated(merged, end, "workload")
+    return got.select("namespace", F.col("workload").alias("container"), "events", "latest_ms", F.array_join("samples", "|").alias("samples"), "state")
+
+
+@_query(
+    """WITH h AS (SELECT event_id // 20 AS page, event_id AS id, CASE WHEN event_id % 97 = 0 THEN 'message' WHEN event_id % 89 = 0 THEN 'timestamp' WHEN event_id % 83 = 0 THEN 'pod' WHEN event_id % 79 = 0 THEN 'sequence' END AS fault FROM events),
+w AS (SELECT *, count(fault) OVER (PARTITION BY page) AS bad FROM h)
+SELECT page, 'kept' AS outcome, count(*) AS hits, 0::BIGINT AS faulty, NULL AS fault FROM w WHERE bad = 0 GROUP BY page
+UNION ALL SELECT page, 'refused', count(*), count(fault), (list(fault ORDER BY id) FILTER (fault IS NOT NULL))[1] FROM w WHERE bad > 0 GROUP BY page"""
+)
+def strict_hits(spark, sf_dir):
+    """Events as hits, twenty a page, some of them broken: whole pages and refusals."""
+    e, i = _read(spark, sf_dir, "events"), F.col("event_id")
+    message = F.when(i % 97 == 0, F.lit("7")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    at = F.when(i % 89 == 0, F.lit("true")).otherwise(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+    pod = F.when(i % 83 == 0, F.lit('" "')).otherwise(F.concat(F.lit('"pod'), "user_id", F.lit('"')))
+    sequence = F.when(i % 79 == 0, F.lit("1.5")).otherwise(i.cast("string"))
+    source = F.concat(F.lit('{"message":'), message, F.lit(',"@timestamp":'), at, F.lit(',"sequence":'), sequence, F.lit(',"cluster_id":"c","kubernetes":{"namespace_name":"n","pod_name":'), pod, F.lit(',"container_name":"x"}}'))
+    rows = e.select(F.floor(i / 20).cast("bigint").alias("page"), F.lit("logs").alias("index"), F.lpad(i.cast("string"), 12, "0").alias("id"), F.lit(None).cast("bigint").alias("version"), F.try_parse_json(source).alias("source"))
+    whole, refused = hits.pages(hits.checked(rows), "page")
+    kept = whole.groupBy("page").agg(F.lit("kept").alias("outcome"), F.count("*").alias("hits"), F.lit(0).cast("bigint").alias("faulty"), F.lit(None).cast("string").alias("fault"))
+    return kept.unionByName(refused.select("page", F.lit("refused").alias("outcome"), "hits", "faulty", "fault"))
+
+
+@_query(
+    "SELECT 'tpl_' || event_type AS template_id, 'svc' || (user_id % 5) AS identity, count(*) AS count, nullif(count(*) FILTER (event_id % 3 = 0), 0) AS explicit, nullif(count(*) FILTER (event_id % 3 = 1), 0) AS record, nullif(count(*) FILTER (event_id % 3 = 2), 0) AS zoned, (count(DISTINCT event_id % 3)) AS kinds "
+    f"FROM events GROUP BY event_type, user_id % 5, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {DAY}"
+)
+def signal_bases(spark, sf_dir):
+    basis = F.get(F.array(F.lit("message_explicit"), F.lit("source_record"), F.lit("message_source_timezone")), (F.col("event_id") % 3).cast("int"))
+    got = signals.aggregate(_events(spark, sf_dir).withColumn("basis", basis), DAY)
+    n = lambda k: F.try_element_at("basis_counts", F.lit(k))
+    return got.select("template_id", "identity", "count", n("message_explicit").alias("explicit"), n("source_record").alias("record"), n("message_source_timezone").alias("zoned"), F.size("basis_counts").cast("bigint").alias("kinds"))
+
+
+@_query("SELECT *, row_number() OVER (ORDER BY severity_min, start_ms, incident_id)::INTEGER AS place FROM (SELECT 'inc' || user_id AS incident_id, min(" + _SQL_NUMBER + ") AS severity_min, min(epoch_us(ts) // 1000) AS start_ms FROM events GROUP BY user_id) ORDER BY severity_min, start_ms, incident_id LIMIT 5")
+def foremost_incidents(spark, sf_dir):
+    """Each user's events as one incident: the five foremost."""
+    found = _events(spark, sf_dir).groupBy(F.concat(F.lit("inc"), F.col("user_id")).alias("incident_id")).agg(F.min(T.severity_number(F.col("severity"))).alias("severity_min"), F.min("ts_ms").alias("start_ms"))
+    return incidents.foremost(found)
