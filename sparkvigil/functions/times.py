@@ -91,49 +91,67 @@ def localise(micros: Column, zone: Column) -> Column:
     return F.when(once, F.unix_micros(guess))
 
 
-def normalise(stamp: Column, zone: Column | None = None) -> Column:
-    """UTC microseconds of a stamp: epoch seconds or milliseconds, or a clock with an offset, or in ``zone``; else null.
+def reading(stamp: Column, zone: Column | None = None) -> Column:
+    """struct(explicit, zoned, naive): UTC microseconds of a stamp by itself, and also by its clock in ``zone``; and whether it is a clock without an offset.
 
-    Needs the session time zone to be UTC. A clock without offset and zone is no instant; a date alone isn't either. Seconds may
-    be left out only beside an offset. The names of weekdays aren't compared with their dates.
+    Epoch seconds or milliseconds and clocks with an offset are explicit. Needs the session time zone to be UTC. A clock without offset and zone is
+    no instant; a date alone isn't either. Seconds may be left out only beside an offset. The names of weekdays aren't compared with their dates.
     """
-    text = F.trim(stamp)
-    number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
-    epoch = F.when(number > LARGEST_SECONDS, number * 1000).otherwise(number * 1_000_000).cast("bigint")
+    none = F.lit(None).cast("bigint")
+
+    def read(text: Column) -> Column:
+        number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
+        epoch = F.when(number > LARGEST_SECONDS, number * 1000).otherwise(number * 1_000_000).cast("bigint")
+
+        def instant(p: Column) -> Column:
+            offset = p["offset"]
+
+            def placed(local: Column) -> Column:
+                sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+                digits = F.regexp_replace(offset, "[^0-9]", "")
+                shift = F.when(offset == "Z", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+                naive = local.isNotNull() & (offset == "") & ~p["clock"].rlike(_NO_SECONDS)
+                by_zone = F.when(naive, localise(local, zone)) if zone is not None else none
+                explicit = F.coalesce(epoch, F.when(offset != "", local - shift.cast("bigint") * 60_000_000))
+                return let(explicit, lambda e: F.struct(e.alias("explicit"), F.coalesce(e, by_zone).alias("zoned"), F.coalesce(naive, F.lit(False)).alias("naive")))
+
+            return let(_micros(_clock(p["clock"])) + p["micros"], placed)
 
-    def instant(p: Column) -> Column:
-        offset = p["offset"]
+        return let(_parts(text), instant)
 
-        def placed(local: Column) -> Column:
-            sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
-            digits = F.regexp_replace(offset, "[^0-9]", "")
-            shift = F.when(offset == "Z", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
-            naive = F.when(~p["clock"].rlike(_NO_SECONDS), localise(local, zone)) if zone is not None else F.lit(None).cast("bigint")
-            return F.when(offset != "", local - shift.cast("bigint") * 60_000_000).otherwise(naive)
+    return let(F.trim(stamp), read)
 
-        return let(_micros(_clock(p["clock"])) + p["micros"], placed)
 
-    return F.coalesce(epoch, let(_parts(stamp), instant))
+def normalise(stamp: Column, zone: Column | None = None) -> Column:
+    """UTC microseconds of a stamp, as ``reading`` finds them; else null."""
+    return reading(stamp, zone)["zoned"]
 
 
 def resolve(message: Column, zone: Column, source: Column) -> tuple[Column, Column]:
     """(microseconds, basis): the message's own instant, then its clock in the source's zone, then the record's time, else untimed."""
-    explicit, zoned, record = normalise(message), normalise(message, zone), normalise(source)
-    at = F.coalesce(explicit, zoned, record)
-    basis = F.when(explicit.isNotNull(), "message_explicit").when(zoned.isNotNull(), "message_source_timezone").when(record.isNotNull(), "source_record").otherwise("untimed")
-    return at, basis
+    return resolved(reading(message, zone), normalise(source))
+
+
+def resolved(own: Column, record: Column) -> tuple[Column, Column]:
+    """``resolve`` from the message's ``reading`` and the record's instant."""
+    basis = F.when(own["explicit"].isNotNull(), "message_explicit").when(own["zoned"].isNotNull(), "message_source_timezone").when(record.isNotNull(), "source_record").otherwise("untimed")
+    return F.coalesce(own["zoned"], record), basis
 
 
 def status(message: Column, zone: Column) -> Column:
     """Why a message gives no instant of its own; null if it does."""
+    return status_of(message, zone, reading(message, zone))
+
+
+def status_of(message: Column, zone: Column, own: Column) -> Column:
+    """``status`` from the message's ``reading``."""
     text = F.trim(message)
     no_clock, no_date, no_year = text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.rlike(r"^\d{2}:\d{2}:\d{2}"), text.rlike(r"^([A-Z][a-z]{2}\s+\d{1,2}|\d{1,2}\.\d{1,2})\s+\d{2}:\d{2}:\d{2}$")
-    naive = let(_parts(text), lambda p: _clock(p["clock"]).isNotNull() & (p["offset"] == "") & ~p["clock"].rlike(_NO_SECONDS))
     return (
-        F.when(F.coalesce(normalise(message), normalise(message, zone)).isNotNull(), None)
+        F.when(own["zoned"].isNotNull(), None)
         .when(message.isNull() | (text == ""), "missing")
-        .when(naive & zone.isNotNull(), "source_timezone_unresolved")
-        .when(naive, "timezone_missing")
+        .when(own["naive"] & zone.isNotNull(), "source_timezone_unresolved")
+        .when(own["naive"], "timezone_missing")
         .when(no_year, "year_missing")
         .when(no_date | no_clock, "date_missing")
         .when(text.rlike(r"^\d{4}-"), "invalid")

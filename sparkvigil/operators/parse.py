@@ -196,16 +196,17 @@ def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None, assign
     first = lambda own, *keys: F.coalesce(*([F.nullif(F.col(f"_f.{own}"), F.lit(""))] if own else []), *[_get(a, k) for k in keys])
     z = F.col(zone) if zone else F.lit(None).cast("string")
     source = F.col("source_timestamp").cast("string") if "source_timestamp" in raw.columns else F.lit(None).cast("string")
-    at, basis = times.resolve(F.col("_f.stamp"), z, source)
+    rows = rows.withColumn("_time", times.reading(F.col("_f.stamp"), z)).withColumn("_record", times.normalise(source))
+    at, basis = times.resolved(F.col("_time"), F.col("_record"))
     out = rows.withColumn("delivery", delivery).withColumn("severity", T.normal_severity(F.col("_f.severity"))).withColumn("message", F.coalesce(F.nullif(F.col("_f.message"), F.lit("")), F.col("_log")))
     out = out.withColumn("service", first("service", "service", "service_name", "app", "application")).withColumn("host", first("host", "host", "hostname")).withColumn("component", first("component", "component", "logger"))
     out = out.withColumn("trace_id", first(None, "trace_id", "traceId")).withColumn("span_id", first(None, "span_id", "spanId"))
     moved = ("service", "service_name", "app", "application", "host", "hostname", "component", "logger", "trace_id", "traceId", "span_id", "spanId")
-    out = out.withColumn("attributes", _without(a, *moved)).withColumn("ts_ms", F.floor(at / 1000).cast("bigint")).withColumn("basis", basis).withColumn("time_status", times.status(F.col("_f.stamp"), z))
+    out = out.withColumn("attributes", _without(a, *moved)).withColumn("ts_ms", F.floor(at / 1000).cast("bigint")).withColumn("basis", basis).withColumn("time_status", times.status_of(F.col("_f.stamp"), z, F.col("_time")))
     if policies is not None:
         out = out.withColumn("policy_id", F.when((F.col("format") == "plain_text") & F.col("_own").isNotNull(), F.col("_policy")))
     identity = F.concat_ws("|", *[F.col(c).cast("string") for c in given if c != text and not c.startswith("attr")], text)
-    return out.withColumn("event_id", F.substring(F.sha2(identity, 256), 1, 32)).drop("_log", "_own", "_f", "_policy", "_pattern", "_groups")
+    return out.withColumn("event_id", F.substring(F.sha2(identity, 256), 1, 32)).drop("_log", "_own", "_f", "_time", "_record", "_policy", "_pattern", "_groups")
 
 
 def _with_traces(own: Column) -> Column:
