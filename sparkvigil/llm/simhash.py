@@ -39,7 +39,11 @@ def shingle_hashes(text: str | None, words_each: int = 4) -> np.ndarray:
 
 def simhash64(text: str | None, words_each: int = 4) -> int:
     """Majority of the bits of the XXH64 of all word shingles; 0 for a text without words."""
-    h = shingle_hashes(text, words_each)
+    return _majority(shingle_hashes(text, words_each))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     count = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -147,20 +151,25 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def _shingled(docs: DataFrame, words_each: int, whole: bool) -> DataFrame:
-    """(doc, text_hash, set_hash, n, and the band keys or, if ``whole``, the set itself) of each row of (doc, text_hash, text); a text without words has neither."""
+    """(doc, text_hash, set_hash, n, fp, and the band keys or, if ``whole``, the set itself) of each row of (doc, text_hash, text); a text without words has neither.
+
+    ``fp`` is the SimHash of the text's shingles, repeats included; where the set itself is asked for it is null.
+    """
     name = "items" if whole else "keys"
 
     def each(batches):
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            sets = [np.unique(shingle_hashes(t, words_each)) for t in batch.column("text").to_pylist()]
+            hashes = [shingle_hashes(t, words_each) for t in batch.column("text").to_pylist()]
+            fp = pa.nulls(len(hashes), pa.int64()) if whole else pa.array(np.array([_majority(h) for h in hashes], np.uint64).view(np.int64))
+            sets = [np.unique(h) for h in hashes]
             lists = sets if whole else [np.array(band_keys(h) if len(h) else [], np.uint64) for h in sets]
             offsets = np.cumsum([0, *map(len, lists)])
             values = pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64))
             named = pa.array([xxhash.xxh3_128_digest(h.tobytes(), SEED) for h in sets], pa.binary())
-            columns = [batch.column("doc"), batch.column("text_hash"), named, pa.array([len(h) for h in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "set_hash", "n", name])
+            columns = [batch.column("doc"), batch.column("text_hash"), named, pa.array([len(h) for h in sets], pa.int32()), fp, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "set_hash", "n", "fp", name])
 
-    return docs.mapInArrow(each, f"doc bigint, text_hash binary, set_hash binary, n int, {name} array<bigint>")
+    return docs.mapInArrow(each, f"doc bigint, text_hash binary, set_hash binary, n int, fp bigint, {name} array<bigint>")
 
 
 def _text_hash() -> Column:
@@ -251,24 +260,42 @@ def _unlinked(prefixes: DataFrame, similar: float) -> DataFrame:
     return some.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def _by_print(nodes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` whose SimHash fingerprints link (``near_links``) and whose sizes allow that they are similar.
+
+    Nodes of one fingerprint meet its least one, and the least ones of fingerprints that link meet each other. Texts without words have no pairs.
+    """
+    some = nodes.where("n > 0").select("node", "n", "fp")
+    leads = cut(some.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("lead")).select("fp", "lead.*"), "prints")
+    of = lambda side: leads.select(F.col("fp").alias(side), F.col("node").alias(side + "_node"), F.col("n").alias(side + "_n"))
+    near = near_links(leads.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    same = some.join(of("b").withColumnRenamed("b", "fp"), "fp").where("node <> b_node")
+    columns = lambda t, node, n: t.select(F.greatest(node, "b_node").alias("a"), F.least(node, "b_node").alias("b"), F.least(n, "b_n").alias("less"), F.greatest(n, "b_n").alias("more"))
+    pairs = columns(same, "node", "n").unionByName(columns(near, "a_node", "a_n"))
+    return pairs.where(F.col("less") / F.col("more") >= similar).select("a", "b").distinct()
+
+
 def _grouped(docs: DataFrame, similar: float, words_each: int) -> DataFrame:
     """(doc, text_hash, root) of each row of ``docs``: rows of one root are near duplicates, over links at least; see ``similar_components``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), _text_hash().alias("text_hash"), text.alias("text"))
     marked = cut(_shingled(rows, words_each, whole=False), "bands")
     # a node for each different set; its number, unlike a hash of 64 bits, can stand for no other
-    alike = marked.groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    alike = marked.groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = cut(alike.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = cut(nodes.select("node", "n", "text_hash", F.explode("keys").alias("key")), "keyed")
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"), F.min_by("n", "node").alias("m")).where("b <> top")
     shared = cut(keyed.join(least.select("key", "b", "m"), "key"), "buckets")
-    texts = shared.select("text_hash").distinct()
+    near = cut(_by_print(nodes, similar), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = shared.select("text_hash").unionByName(ends.join(nodes.select("node", "text_hash"), "node").select("text_hash")).distinct()
     held = rows.join(texts.hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
     found = _shingled(held.select("doc", "text_hash", "text"), words_each, whole=True).select("set_hash", "items")
     sets = cut(found.join(nodes.select("set_hash", "node"), "set_hash").select("node", "items"), "sets")
 
     fit = F.least("n", "m") / F.greatest("n", "m") >= similar
-    done = cut(shared.where("node <> b").where(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "stars")
+    stars = shared.where("node <> b").where(fit).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+    done = cut(near.unionByName(stars).distinct(), "stars")
     links = cut(_verified(done, sets, similar), "links")
     roots = cut(connected_components(links), "roots")
     rooted = _rooted(shared.select("key", "node"), roots)
@@ -292,7 +319,8 @@ def similar_components(docs: DataFrame, similar: float = 0.8, words_each: int =
     component_id is the least doc_id that links reach, null where all are; texts link if the Jaccard similarity of
     their sets of word shingles is at least ``similar``. Texts of one set are one node, those without words (null, empty) too.
     Rows of one id are told apart by their texts: each is in the component of its own text.
-    Candidates share a band key; each link is verified on the whole sets. The members of a bucket
+    Candidates are texts whose SimHash fingerprints are within 4 bits; each link is verified on the whole sets. As most pairs
+    of similarity 0.8 differ in more bits, texts that share a band key are candidates too. The members of a band's bucket
     meet its least one first, then the most central set that holds a rare shingle of theirs. What no links
     connect by then meets by rare shingles: similar sets share one among their rarest, at places that leave enough to share.
     """

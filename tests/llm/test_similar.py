@@ -120,3 +120,21 @@ def test_rare_shingles_find_every_similar_pair(spark):
     assert len(found) < 120 * 119 / 4
     central = {(r.a, r.b) for r in simhash._central(prefixes, 0.8).collect()}
     assert central and central <= {(a, b) for a in sets for b in range(a)}
+
+
+def test_fingerprints_within_four_bits_give_candidates(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(8):
+        base = [rng.choice(words) for _ in range(700)]
+        texts += [" ".join(base), " ".join([*base, "tail"]), " ".join([*base[:300], "changed", *base[301:]])]
+    prints = [simhash.simhash64(t, 5) for t in texts]
+    close = {(j, i) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    assert len(close) > 4
+    # without any band, what the fingerprints link is still one group
+    monkeypatch.setattr(simhash, "band_keys", lambda h: [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert all(found[a] == found[b] for a, b in close)
+    assert len(set(found.values())) < len(texts)
