@@ -13,6 +13,14 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def first_pairs(keys: Column, values: Column, plain) -> Column:
+    """map of each key to ``plain`` of its first value, in the order of their first places; ``keys`` and ``values`` go by place. The pairs are found once and sorted, not sought for each key."""
+    placed = F.transform(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"), x["value"].alias("value")))
+    first = let(F.sort_array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    ordered = F.sort_array(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["value"].alias("value"))))
+    return F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), plain(x["value"]).alias("value"))))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -169,7 +177,11 @@ def looks_like_kv(log: Column) -> Column:
 
 def detect_format(log: Column) -> Column:
     """json, syslog, positional_structured, structured_text, kv or plain_text; null for blank text."""
-    t = F.regexp_replace(log, r"(?U)^\s+|\s+$", "")
+    return let(F.regexp_replace(log, r"(?U)^\s+|\s+$", ""), _format)
+
+
+def _format(t: Column) -> Column:
+    """``detect_format`` of a text without white space at its ends."""
     is_json = F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull()
     structured = _any(*[t.rlike(p) for p in P.STRUCTURED])
     return (

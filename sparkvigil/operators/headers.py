@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import times
-from ..functions.text import let
+from ..functions.text import first_pairs, let
 
 
 class Family(NamedTuple):
@@ -58,13 +58,7 @@ def unquoted(value: Column) -> Column:
 
 def scalar_pairs(text: Column) -> Column:
     """map of the plain key=value pairs, quotes removed; values that open a bracket aren't plain; the first value of a repeated key stays."""
-    values = F.regexp_extract_all(text, F.lit(SCALAR_PAIR), F.lit(2))
-
-    def paired(keys: Column) -> Column:
-        pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), unquoted(v).alias("value")))
-        return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
-
-    return let(F.regexp_extract_all(text, F.lit(SCALAR_PAIR), F.lit(1)), paired)
+    return first_pairs(F.regexp_extract_all(text, F.lit(SCALAR_PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(SCALAR_PAIR), F.lit(2)), unquoted)
 
 
 def typed(value: Column) -> Column:

@@ -32,7 +32,10 @@ def _get(m: Column, key: str) -> Column:
 
 def json_fields(log: Column) -> Column:
     """Time, level and message by the usual names; the rest are attributes, nested ones as JSON. No message: all that is left."""
-    m = F.from_json(log, "map<string,string>")
+    return T.let(F.from_json(log, "map<string,string>"), _json_fields)
+
+
+def _json_fields(m: Column) -> Column:
     stamp = F.coalesce(_get(m, "timestamp"), _get(m, "time"), _get(m, "@timestamp"))
     level = F.upper(F.trim(F.coalesce(_get(m, "level"), _get(m, "severity"), _get(m, "status"), F.lit("INFO"))))
     numbers = F.create_map(*[F.lit(x) for pair in P.NUMERIC_LEVELS.items() for x in pair])
@@ -43,10 +46,7 @@ def json_fields(log: Column) -> Column:
 
 def kv_pairs(log: Column) -> Column:
     """map of key=value, quotes removed; the first value of a repeated key stays."""
-    keys, values = F.regexp_extract_all(log, F.lit(P.KV_PAIR), F.lit(1)), F.regexp_extract_all(log, F.lit(P.KV_PAIR), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), unquoted(v).alias("value")))
-    first = F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
-    return F.map_from_entries(first)
+    return T.first_pairs(F.regexp_extract_all(log, F.lit(P.KV_PAIR), F.lit(1)), F.regexp_extract_all(log, F.lit(P.KV_PAIR), F.lit(2)), unquoted)
 
 
 # The names of an event's own time, in the order in which they count.
@@ -98,7 +98,10 @@ def kv_stamp(log: Column) -> Column:
 
 def kv_fields(log: Column) -> Column:
     """Level and message by name, else a bracketed level and what follows the last ' - '; time from the first line's own assignment."""
-    m = kv_pairs(log)
+    return T.let(kv_pairs(log), lambda m: _kv_fields(log, m))
+
+
+def _kv_fields(log: Column, m: Column) -> Column:
     level = F.coalesce(_get(m, "level"), _get(m, "severity"), F.nullif(F.regexp_extract(log, r"(?i)\[(ERROR|WARN|WARNING|INFO|DEBUG|CRITICAL|FATAL)\]", 1), F.lit("")))
     message = F.coalesce(_get(m, "msg"), _get(m, "message"), F.element_at(F.split(log, " - "), -1))
     return _fields(level, F.regexp_replace(message, "^[\"' ]+|[\"' ]+$", ""), kv_stamp(log), _without(m, "timestamp", "time", "level", "severity", "msg", "message"))
@@ -180,14 +183,13 @@ def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None, assign
     log = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
     given = raw.columns
     if policies is not None:
-        held = line_policies.assigned(raw.select(F.col(stream)).distinct(), assignments, policies, stream)
-        held = held.select(F.col(stream).alias("_stream"), F.col("policy_id").alias("_policy"), F.col("pattern").alias("_pattern"), F.col("groups").alias("_groups"))
+        held = line_policies.held(assignments, policies).select("_stream", F.col("policy_id").alias("_policy"), F.col("pattern").alias("_pattern"), F.col("groups").alias("_groups"))
         raw = raw.join(held, F.col(stream) == F.col("_stream"), "left").drop("_stream")
     rows = raw.withColumn("_log", log).withColumn("format", T.detect_format(F.col("_log")))
     parsed = None
     if policies is not None:
         by_policy = line_policies.fields(F.col("_log"), F.col("_pattern"), F.col("_groups"))
-        parsed = F.when((F.col("format") == "plain_text") & F.col("_pattern").isNotNull(), _with_traces(by_policy).cast(_FIELDS))
+        parsed = F.when((F.col("format") == "plain_text") & F.col("_pattern").isNotNull(), T.let(by_policy, lambda own: _with_traces(own).cast(_FIELDS)))
     for name, parser in PARSERS.items():
         parsed = (F if parsed is None else parsed).when(F.col("format") == name, parser(F.col("_log")).cast(_FIELDS))
     rows = rows.withColumn("_own", parsed).withColumn("_f", F.coalesce("_own", F.when(F.col("format").isNotNull(), plain_fields(F.col("_log")).cast(_FIELDS))))

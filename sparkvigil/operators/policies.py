@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import times
+from ..functions.text import first_pairs, let
 from ..plans.admission import faults
 
 # What severities mean, how many samples a format may have, how many teach it, and what shares admit it.
@@ -77,8 +78,7 @@ def explicit(message: Column) -> Column:
     """map of the message's explicit key=value, quotes removed; the first value of a key stays."""
     keys, values = F.regexp_extract_all(message, F.lit(ASSIGNMENT), F.lit(1)), F.regexp_extract_all(message, F.lit(ASSIGNMENT), F.lit(2))
     plain = lambda v: F.when(F.length(v) >= 2, F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2")).otherwise(v)
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), plain(v).alias("value")))
-    return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+    return first_pairs(keys, values, plain)
 
 
 def captured(line: Column, pattern: Column, groups: Column) -> Column:
@@ -103,17 +103,18 @@ def fields(log: Column, pattern: Column, groups: Column) -> Column:
         of = lambda k: F.try_element_at(got, F.lit(k))
         level = F.upper(of("severity"))
         names = F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
-        message = F.coalesce(F.concat(of("message"), rest), log)
-        said = explicit(message)
         claimed = F.transform_keys(F.map_filter(got, lambda k, v: F.startswith(k, F.lit("attr:"))), lambda k, v: F.substr(k, F.lit(6)))
-        attributes = F.map_concat(said, F.map_filter(claimed, lambda k, v: ~F.map_contains_key(said, k)))
-        return F.struct(
-            F.coalesce(F.try_element_at(names, level), level).alias("severity"), message.alias("message"), of("timestamp").alias("stamp"), of("service").alias("service"), of("host").alias("host"),
-            of("component").alias("component"), of("trace_id").alias("trace_id"), of("span_id").alias("span_id"), attributes.alias("attributes"),
-        )
 
-    one = F.transform(F.array(captured(line, pattern, groups)), made)[0]
-    return F.when(matches(line, pattern), one)
+        def told(message: Column) -> Column:
+            attributes = let(explicit(message), lambda said: F.map_concat(said, F.map_filter(claimed, lambda k, v: ~F.map_contains_key(said, k))))
+            return F.struct(
+                F.coalesce(F.try_element_at(names, level), level).alias("severity"), message.alias("message"), of("timestamp").alias("stamp"), of("service").alias("service"), of("host").alias("host"),
+                of("component").alias("component"), of("trace_id").alias("trace_id"), of("span_id").alias("span_id"), attributes.alias("attributes"),
+            )
+
+        return let(F.coalesce(F.concat(of("message"), rest), log), told)
+
+    return F.when(matches(line, pattern), let(captured(line, pattern, groups), made))
 
 
 def assigned(events: DataFrame, assignments: DataFrame, policies: DataFrame, stream: str = "stream") -> DataFrame:
@@ -121,9 +122,13 @@ def assigned(events: DataFrame, assignments: DataFrame, policies: DataFrame, str
 
     ``assignments`` (stream, policy_id) holds a row a stream; ``policies`` is ``compiled``. Streams are joined by key, so their number is no part of the plan.
     """
+    return events.join(held(assignments, policies), F.col(stream) == F.col("_stream"), "left").drop("_stream")
+
+
+def held(assignments: DataFrame, policies: DataFrame) -> DataFrame:
+    """(_stream, policy_id, pattern, groups) of the streams that have a fit policy."""
     fit = policies.where("fault IS NULL").select("policy_id", "pattern", "groups")
-    held = assignments.select(F.col("stream").alias("_stream"), "policy_id").dropDuplicates(["_stream"]).join(fit, "policy_id")
-    return events.join(held, F.col(stream) == F.col("_stream"), "left").drop("_stream")
+    return assignments.select(F.col("stream").alias("_stream"), "policy_id").dropDuplicates(["_stream"]).join(fit, "policy_id")
 
 
 def sampled(lines: DataFrame, most: int = SAMPLES) -> DataFrame:
