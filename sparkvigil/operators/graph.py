@@ -36,11 +36,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = written(both, "edges")
     now = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
     for _ in range(rounds):
-        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = now.join(near, now["node"] == near["a"]).select("node", F.least("root", "near").alias("root"))
+        # merged: tables of nodes are shuffled and never sent to the driver, at any size
+        near = both.join(now.hint("merge"), both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        step = now.join(near.hint("merge"), now["node"] == near["a"]).select("node", F.least("root", "near").alias("root"))
         up = now.select(F.col("node").alias("of"), F.col("root").alias("up"))
-        after = written(step.join(up, step["root"] == up["of"]).select("node", F.least("root", "up").alias("root")), "roots")
-        changed = after.join(now.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        after = written(step.join(up.hint("merge"), step["root"] == up["of"]).select("node", F.least("root", "up").alias("root")), "roots")
+        changed = after.join(now.withColumnRenamed("root", "was").hint("merge"), "node").where("root <> was").isEmpty()
         now = after
         if changed:
             return now
