@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .baseline import HORIZON, LEAST, change
+from .baseline import HORIZON, LEAST, change, changed
 
 # The least errors of a window that can be concentrated, the share that is, and the kinds' severities where they aren't 4.
 LEAST_ERRORS, SHARE = 10, 0.9
@@ -38,8 +38,9 @@ def volumes(windows: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 
 def _pasts(counts: DataFrame, windows: DataFrame, keys: list[str], horizon: int) -> DataFrame:
-    """``counts`` (monitor, window, keys, n > 0) with nth, seen (its counts in the ``horizon`` windows before, latest last) and past (the same with 0 for the windows that lack it)."""
-    rows = counts.where("n > 0").join(numbered(windows).select("monitor", "window", "nth"), ["monitor", "window"])
+    """``counts`` (monitor, window, keys, n > 0) with nth, after (the monitor's next window), seen (its counts in the ``horizon`` windows before, latest last) and past (the same with 0 for the windows that lack it)."""
+    after = F.lead("window").over(W.partitionBy("monitor").orderBy("window"))
+    rows = counts.where("n > 0").join(numbered(windows).select("monitor", "window", "nth", after.alias("after")), ["monitor", "window"])
     before = W.partitionBy("monitor", *keys).orderBy("nth").rangeBetween(-horizon, -1)
     rows = rows.withColumn("seen", F.collect_list(F.col("n").cast("double")).over(before))
     return rows.withColumn("past", F.concat(F.array_repeat(F.lit(0.0), F.least(F.lit(horizon), F.col("nth") - 1) - F.size("seen")), "seen"))
@@ -66,19 +67,27 @@ def patterns(counts: DataFrame, windows: DataFrame, horizon: int = LEAST) -> Dat
     with a median of at least 5, and this window doesn't. Identity is the template's id.
     """
     counts = counts if "is_new" in counts.columns else counts.withColumn("is_new", F.lit(True))
-    rows = change(_pasts(counts, windows, ["template_id"], horizon), "n", collapse=False)
-    own = {"identity": F.col("template_id"), "current": F.col("n").cast("double")}
-    often = _out(rows.where("direction = 'spike'"), kind=F.lit("pattern_frequency"), **own)
-    fresh = rows.where((F.size("seen") == 0) & (F.col("nth") > horizon) & F.col("is_new") & F.col("direction").isNull())
-    fresh = _out(fresh, BY_ABSENCE, monitor=F.col("monitor"), window=F.col("window"), kind=F.lit("new_pattern"), direction=F.lit("new"), baseline=F.lit(0.0), mad=F.lit(None).cast("double"), threshold=F.lit(1.0), **own)
-    # the last window of an unbroken run of ``horizon`` windows, where the next one lacks the pattern
+    rows = _pasts(counts, windows, ["template_id"], horizon)
     order = W.partitionBy("monitor", "template_id").orderBy("nth")
     rows = rows.withColumn("next", F.lead("nth").over(order)).withColumn("run", F.collect_list(F.col("n").cast("double")).over(order.rangeBetween(1 - horizon, 0)))
-    last = rows.where((F.size("run") == horizon) & (F.coalesce("next", F.lit(0)) != F.col("nth") + 1))
-    after = numbered(windows).select("monitor", F.col("window").alias("at"), (F.col("nth") - 1).alias("nth"))
-    gone = last.join(after, ["monitor", "nth"]).select("monitor", F.col("at").alias("window"), "template_id", F.lit(0).alias("n"), F.col("run").alias("past"))
-    gone = _out(change(gone, "n").where("direction = 'collapse'"), kind=F.lit("pattern_disappearance"), **own)
-    return often.unionByName(fresh).unionByName(gone)
+    # the last window of an unbroken run of ``horizon`` windows, where the monitor's next one lacks the pattern
+    last = (F.size("run") == horizon) & (F.coalesce("next", F.lit(0)) != F.col("nth") + 1) & F.col("after").isNotNull()
+    rows = rows.withColumn("_now", changed(F.col("n"), F.col("past"), collapse=False)).withColumn("_gone", F.when(last, changed(F.lit(0), F.col("run"))))
+    # one pass over the counts: what each says of its own window, and of the one after it
+    no = F.lit(None).cast("double")
+
+    def found(window: Column, kind: str, direction: str, current: Column, of: Column, threshold: Column, past: Column, rule: str) -> Column:
+        named = {"window": window, "kind": F.lit(kind), "identity": F.col("template_id"), "direction": F.lit(direction), "current": current.cast("double"), "baseline": of["baseline"], "mad": of["mad"], "threshold": threshold, "observations": F.size(past), "rule": F.lit(rule)}
+        return F.struct(*[c.alias(k) for k, c in named.items()])
+
+    now, gone, past = F.col("_now"), F.col("_gone"), F.col("past")
+    often = F.when(now["direction"] == "spike", found(F.col("window"), "pattern_frequency", "spike", F.col("n"), now, now["high"], past, BY_HISTORY))
+    is_fresh = (F.size("seen") == 0) & (F.col("nth") > horizon) & F.col("is_new") & now["direction"].isNull()
+    absent = F.struct(F.lit(0.0).alias("baseline"), no.alias("mad"))
+    fresh = F.when(is_fresh, found(F.col("window"), "new_pattern", "new", F.col("n"), absent, F.lit(1.0), past, BY_ABSENCE))
+    lost = F.when(gone["direction"] == "collapse", found(F.col("after"), "pattern_disappearance", "collapse", F.lit(0), gone, gone["low"], F.col("run"), BY_HISTORY))
+    every = rows.select("monitor", F.inline(F.filter(F.array(often, fresh, lost), lambda x: x.isNotNull())))
+    return every.select(*COLUMNS)
 
 
 def concentrations(errors: DataFrame, windows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .graph import written
 
 LEAST, HORIZON, MULTIPLIER, SPIKE, COLLAPSE = 5, 30, 6, 3.0, 0.25
@@ -13,8 +14,12 @@ LEAST, HORIZON, MULTIPLIER, SPIKE, COLLAPSE = 5, 30, 6, 3.0, 0.25
 
 def median(values: Column) -> Column:
     """The median of an array without nulls; null for an empty one."""
-    s, n = F.sort_array(values), F.size(values)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+    return let(F.sort_array(values), middle)
 
 
 def history(metrics: DataFrame, key: list[str], at: str, value: str, horizon: int = HORIZON) -> DataFrame:
@@ -29,15 +34,27 @@ def change(rows: DataFrame, value: str, collapse: bool = True) -> DataFrame:
     From LEAST windows on: a spike is above 3 medians and above the median by 6 deviations, and at least 5; a
     collapse below a quarter and below the median by 6 deviations, of a median of at least 5.
     """
-    v, base, mad = F.col(value), F.col("baseline"), F.col("mad")
-    rows = rows.withColumn("baseline", F.when(F.size("past") >= LEAST, median(F.col("past"))))
-    rows = rows.withColumn("mad", median(F.transform("past", lambda x: F.abs(x - F.col("baseline")))))
-    rows = rows.withColumn("mad", F.when(base.isNotNull(), mad))
-    rows = rows.withColumn("high", F.greatest(base * SPIKE, base + MULTIPLIER * mad)).withColumn("low", F.least(base * COLLAPSE, base - MULTIPLIER * mad))
-    direction = F.when((v > F.col("high")) & (v >= 5), "spike")
-    if collapse:
-        direction = direction.when((base >= 5) & (v < F.col("low")), "collapse")
-    return rows.withColumn("direction", direction)
+    held = rows.withColumn("_change", changed(F.col(value), F.col("past"), collapse))
+    return held.withColumns({c: F.col(f"_change.{c}") for c in ("baseline", "mad", "high", "low", "direction")}).drop("_change")
+
+
+def changed(v: Column, past: Column, collapse: bool = True) -> Column:
+    """struct(baseline, mad, high, low, direction) of ``v`` against the array ``past``, as ``change`` says. Each is worked out once, also where a filter on it is pushed down."""
+
+    def judged(high: Column, low: Column, base: Column, mad: Column) -> Column:
+        direction = F.when((v > high) & (v >= 5), "spike")
+        if collapse:
+            direction = direction.when((base >= 5) & (v < low), "collapse")
+        return F.struct(base.alias("baseline"), mad.alias("mad"), high.alias("high"), low.alias("low"), direction.alias("direction"))
+
+    def limits(base: Column, mad: Column) -> Column:
+        return judged(F.greatest(base * SPIKE, base + MULTIPLIER * mad), F.least(base * COLLAPSE, base - MULTIPLIER * mad), base, mad)
+
+    def of(p: Column) -> Column:
+        deviation = lambda base: F.when(base.isNotNull(), median(F.transform(p, lambda x: F.abs(x - base))))
+        return let(F.when(F.size(p) >= LEAST, median(p)), lambda base: let(deviation(base), lambda mad: limits(base, mad)))
+
+    return let(past, of)
 
 
 def window_metrics(events: DataFrame, window: Column, key: str, value: str, top: int = 32) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkvigil.functions import text as T
-from sparkvigil.operators import parse, policies
+from sparkvigil.operators import anomalies, graph, parse, policies
 
 
 def searches(df):
@@ -13,8 +13,8 @@ def searches(df):
 def test_pairs_are_sought_once(spark):
     lines = spark.createDataFrame([("a=1 b='x y' a=2 level=warn c=",)], "line string")
     assert searches(lines.select(parse.kv_fields(F.col("line")).alias("f"))) == 2  # keys and values
-    row = lines.select(parse.kv_pairs(F.col("line")).alias("m"), parse.kv_fields(F.col("line")).alias("f")).first()
-    assert list(row.m.items()) == [("a", "1"), ("b", "x y"), ("level", "warn")] and row.f.severity == "warn"
+    row = lines.select(F.map_keys(parse.kv_pairs(F.col("line"))).alias("k"), parse.kv_pairs(F.col("line")).alias("m"), parse.kv_fields(F.col("line")).alias("f")).first()
+    assert row.k == ["a", "b", "level"] and row.m == {"a": "1", "b": "x y", "level": "warn"} and row.f.severity == "warn"
     assert lines.select(T.first_pairs(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), lambda v: v)).first()[0] is None
 
 
@@ -25,3 +25,26 @@ def test_policy_fields_are_captured_once(spark):
     assert searches(got) == 2
     f = got.first().f
     assert f.message == "sent k=1 k=2" and f.attributes == {"k": "1", "pid": "7", "trace_id": "web"}
+
+
+def test_patterns_take_one_pass_over_the_counts(spark):
+    counts = spark.createDataFrame([("m", w, "t", 50) for w in range(9)] + [("m", 10, "u", 3)], "monitor string, window bigint, template_id string, n bigint")
+    windows = spark.createDataFrame([("m", w) for w in range(12)], "monitor string, window bigint")
+    got = anomalies.patterns(counts, windows)
+    assert {(r.window, r.kind, r.identity, r.direction, r.current, r.baseline) for r in got.collect()} == {(9, "pattern_disappearance", "t", "collapse", 0.0, 50.0), (10, "new_pattern", "u", "new", 3.0, 0.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("sort_array") < 12
+
+
+def test_components_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, write = [], graph.written
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(graph, "written", kept)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
+    roots = {r.node: r.root for r in graph.components(edges).collect()}
+    assert roots == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+    assert plans and not any("Broadcast" in p for p in plans)
