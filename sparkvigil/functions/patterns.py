@@ -147,6 +147,10 @@ PREMASKS = (
     (r"(?i)\b\d+\.\d+\s*(?:s|ms|sec)?\b", "<NUM>"),
     (r"\b\d{5,}\b", "<NUM>"),
 )
+#: What a text must hold for each of these to match anywhere in it (a digit as (?U) knows it, or a part of the text; None: unknown). No replacement adds any of it.
+DIGIT = r"(?U)\d"
+MASK_NEEDS = (":", "=", ":", "-", ":", DIGIT, "://", None, "0x", None, DIGIT, DIGIT, DIGIT, DIGIT)
+PREMASK_NEEDS = ("://", "-", DIGIT, None, "/", None, None, ".", DIGIT, DIGIT)
 VARIABLE_TOKENS = ("<*>", "<ID>", "<UUID>", "<IP>", "<URL>", "<HEX>", "<NUM>")
 
 # Redaction, in the order in which it is applied.

@@ -32,14 +32,29 @@ def _replace(text: Column, rules) -> Column:
     return text
 
 
+def _masked(text: Column, rules, needs) -> Column:
+    """``_replace`` where each rule searches only the texts that hold what it can't match without. Whether there is a digit is asked once."""
+
+    def step(rule, need, digit: Column):
+        after = lambda x: F.regexp_replace(x, "(?U)" + rule[0], rule[1])
+        return lambda x: after(x) if need is None else F.when(digit if need == P.DIGIT else F.contains(x, F.lit(need)), after(x)).otherwise(x)
+
+    def steps(x: Column, digit: Column) -> Column:
+        for rule, need in zip(rules, needs, strict=True):
+            x = let(x, step(rule, need, digit))
+        return x
+
+    return let(text, lambda x: let(x.rlike(P.DIGIT), lambda digit: steps(x, digit)))
+
+
 def premask(text: Column) -> Column:
     """URLs, ids, addresses, hashes, paths, files and long numbers as general labels; empty for null."""
-    return _replace(F.coalesce(text, F.lit("")), P.PREMASKS)
+    return _masked(F.coalesce(text, F.lit("")), P.PREMASKS, P.PREMASK_NEEDS)
 
 
 def mask(message: Column) -> Column:
     """A message with its runtime values masked: identity fields first, then typed values, then compounds and numbers."""
-    return _replace(collapse(message), P.MASKS)
+    return _masked(collapse(message), P.MASKS, P.MASK_NEEDS)
 
 
 def variable_ratio(template: Column) -> Column:

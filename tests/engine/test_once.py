@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sparkvigil.functions import patterns as P
 from sparkvigil.functions import text as T
+from sparkvigil.functions.generalise import NEEDS, RULES
 from sparkvigil.operators import anomalies, graph, parse, policies
 
 
@@ -48,3 +50,20 @@ def test_components_send_nothing_to_the_driver(spark, monkeypatch):
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     assert roots == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_masks_search_only_texts_that_can_match(spark):
+    texts = ["plain words", "a=1 pod=x9 at 10.0.0.1:80", '"pod": "p1" see https://h.example/a/b.pdf', "id ab-12-34 0xAF fe80:0:0:1 12-34", "\u0661\u0662\u0663\u0664\u0665 for file r.txt", "task_id:7 deadbeefdeadbeef block rdd_12 from web.h.example:443", "", None,
+             "123e4567-e89b-12d3-a456-426614174000 took 1.5 ms", "x.exe - ran /var/log/a_1-2 C:\\a\\b_1_2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = T._replace(T.collapse(T._replace(F.coalesce("text", F.lit("")), P.PREMASKS)), P.MASKS)
+    got = rows.select(T.mask(T.premask(F.col("text"))).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len({r.a for r in got}) > 7
+    assert len(P.PREMASKS) == len(P.PREMASK_NEEDS) and len(P.MASKS) == len(P.MASK_NEEDS) and len(RULES) == len(NEEDS)
+
+
+def test_templates_parse_each_event_once(spark):
+    events = spark.createDataFrame([("a failed",), (" ",), (None,)], "raw string").withColumn("message", F.regexp_replace("raw", "failed", "broke"))
+    got = parse.templated(events)
+    assert [r.template for r in got.collect()] == ["a broke"]
+    assert got.drop("raw").repartition(2)._jdf.queryExecution().analyzed().toString().count("Filter") == 0
