@@ -224,6 +224,7 @@ def templated(events: DataFrame) -> DataFrame:
 
     Stateless: a template is what masking and generalisation leave of the message, so equal messages have equal templates on any partitioning.
     """
-    rows = events.where(F.trim(F.coalesce("message", F.lit(""))) != "")
-    rows = rows.withColumn("template", generalise(T.mask(T.premask(F.col("message"))))["template"])
+    # no filter on the message: pushed below the parsers, it would parse every event a second time
+    said = F.trim(F.coalesce("message", F.lit(""))) != ""
+    rows = events.withColumn("template", F.explode(F.when(said, F.array(generalise(T.mask(T.premask(F.col("message"))))["template"]))))
     return rows.withColumn("template_id", T.template_id(F.col("template"))).withColumn("template_reliable", T.reliable(F.col("template")))
