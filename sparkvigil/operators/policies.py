@@ -211,17 +211,22 @@ def admitted(samples: DataFrame, policies: DataFrame, least: float = ADMITTED) -
     A sample passes if the pattern fits; the message isn't blank, its group has caught it and, where header fields are claimed, it doesn't begin the line; each claimed
     field and attribute is filled; and a claimed time that is an instant lies in the years YEARS. A policy with a fault, or without samples, isn't admitted.
     """
-    rows = samples.join(policies, "policy_id").withColumn("f", fields(F.col("sample"), F.col("pattern"), F.col("groups"))).withColumn("line", first_line(F.col("sample")))
-    got, of = captured(F.col("line"), F.col("pattern"), F.col("groups")), F.col("groups")
-    rows = rows.withColumn("got", F.when(F.col("f").isNotNull(), got)).withColumn("begins", _start("line", "regex", F.try_element_at(of, F.lit("message"))))
-    claims = F.size(F.map_keys(of)) - F.map_contains_key(of, F.lit("message")).cast("int")
-    body = ~F.map_contains_key(of, F.lit("message")) | (F.map_contains_key("got", F.lit("message")) & (F.col("begins") >= F.when(claims > 0, 1).otherwise(0)))
-    filled = F.forall(F.map_keys(of), lambda k: F.map_contains_key("got", k))
+    # policies are few and texts many: no text is shuffled for its policy's sake, and what can't pass isn't read further
+    rows = samples.join(F.broadcast(policies), "policy_id").withColumn("line", F.when(F.col("fault").isNull(), first_line(F.col("sample"))))
+    line, full, of = F.col("line"), F.concat(F.lit("(?U)^(?:"), F.col("pattern"), F.lit(")")), F.col("groups")
+    caught = lambda group: F.call_function("regexp_extract", line, full, group)
     none = F.lit(None).cast("string")
-    at, _ = times.resolve(F.col("f.stamp"), none, none)
-    year = F.year(F.timestamp_micros(at))
-    timely = year.isNull() | year.between(*YEARS)
-    ok = F.col("f").isNotNull() & F.col("f.message").rlike(r"(?U)\S") & body & filled & timely
+    stamp = F.regexp_replace(caught(F.try_element_at(of, F.lit("timestamp"))), r"(?U)^\s+|\s+$", "")
+    year = F.year(F.timestamp_micros(times.resolve(stamp, none, none)[0]))
+    timely = F.when(F.map_contains_key(of, F.lit("timestamp")), year.isNull() | year.between(*YEARS)).otherwise(True)
+    body = F.map_contains_key(of, F.lit("message"))
+    filled = F.forall(F.map_values(of), lambda group: caught(group).rlike(r"(?U)\S"))  # the message too, where it is claimed
+    # instr keeps a pattern until the next; rlike compiles a row's pattern for each row
+    fits = F.regexp_instr(line, full) > 0
+    reads = F.when(fits, F.when(filled, (body | F.col("sample").rlike(r"(?U)\S")) & timely))
+    rows = rows.select("policy_id", "regex", "line", F.coalesce(reads, F.lit(False)).alias("reads"), F.try_element_at(of, F.lit("message")).alias("said"), (F.size(of) > 1).cast("int").alias("from"))
+    asked = F.col("reads") & F.col("said").isNotNull()
+    ok = F.col("reads") & (F.col("said").isNull() | (_start(F.when(asked, F.col("line")), F.when(asked, F.col("regex")), "said") >= F.col("from")))
     counted = rows.groupBy("policy_id").agg(F.count("*").alias("samples"), F.count_if(F.coalesce(ok, F.lit(False))).alias("passed"))
     out = policies.select("policy_id", "fault").join(counted, "policy_id", "left").na.fill(0, ["samples", "passed"])
     passed = F.when(F.col("fault").isNull(), F.col("passed")).otherwise(0)

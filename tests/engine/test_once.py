@@ -67,3 +67,19 @@ def test_templates_parse_each_event_once(spark):
     got = parse.templated(events)
     assert [r.template for r in got.collect()] == ["a broke"]
     assert got.drop("raw").repartition(2)._jdf.queryExecution().analyzed().toString().count("Filter") == 0
+
+
+def test_admission_reads_a_sample_once_and_shuffles_no_text(spark):
+    rows = [
+        ("timed", r"^(\S+ \S+) (\w+): (.*)$", {"timestamp": "1", "component": "2", "message": "3"}), ("bare", r"^(?P<all>\w.*)", {"message": "all"}),
+        ("led", r"^(\w*)[ ,](.*)$", {"component": "1", "message": "2"}), ("none", r"^\w+", {"component": "0"}), ("any", r"^.+", {"message": "0"}), ("unsent", r"^a", {}), ("open", r"^[a-z]+", {}),
+    ]
+    policies_ = policies.compiled(spark.createDataFrame(rows, "policy_id string, regex string, groups map<string,string>"))
+    lines = ["2024-01-02 03:04:05Z web: k=1 sent", "1970-01-02 03:04:05Z web: old", "1 2 web:   ", "١٢ at", " blank first", "abc\n  more", "", "\n \nx", None]
+    samples = spark.createDataFrame([(r[0], x) for r in rows if r[0] != "unsent" for x in lines], "policy_id string, sample string")
+    got = policies.admitted(samples, policies_)
+    passed = {r.policy_id: (r.samples, r.passed, r.fault) for r in got.collect()}
+    assert passed == {"timed": (9, 1, None), "bare": (9, 5, None), "led": (9, 2, None), "none": (9, 0, "no_message_group"), "any": (9, 0, "catch_all"), "unsent": (0, 0, None), "open": (9, 1, None)}
+    plan = got._jdf.queryExecution()
+    assert searches(got) == 0 and "strategy=broadcast" in plan.optimizedPlan().toString()
+    assert plan.analyzed().toString().count("map_entries(") == 0
