@@ -173,6 +173,7 @@ RFC5424 = r"^\s*<(\d+)>v?\d?\s+([\d\-T:.Z+]+)\s+(\S+)\s+(\S+)\s+(.*)"
 RFC3164 = r"^\s*(?:<(\d+)>)?\s*([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^:]+):\s+(.*)"
 KV_PAIR = r"""([a-zA-Z0-9_]+)=(".*?"|'.*?'|[^\s,)\]}]+)"""
 KV_ASSIGNMENT = r"(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*)\s*=\s*"
+KV_TWO = KV_ASSIGNMENT + r"+[\s\S]*?" + KV_ASSIGNMENT  # the first gives no white space back, so the rest is searched once
 STRUCTURED = (
     r"^\[", r"\|", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\s+\S+\s+\S+\s+\[", rf"^\d{{4}}-\d{{2}}-\d{{2}}[T\s]{_CLOCK}",
     rf"^\d{{2}}/\d{{2}}/\d{{4}}\s{_CLOCK}", rf"^[IWEF]\d{{4}}\s{_CLOCK}\.\d+",

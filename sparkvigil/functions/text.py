@@ -184,18 +184,18 @@ def evidence_line(text: Column, limit: int = 240) -> Column:
 
 def looks_like_kv(log: Column) -> Column:
     """Two assignments, or one near the start: after at most 64 characters and 4 words."""
-    n, at = F.regexp_count(log, F.lit(P.KV_ASSIGNMENT)), F.regexp_instr(log, F.lit(P.KV_ASSIGNMENT))
+    at = F.regexp_instr(log, F.lit(P.KV_ASSIGNMENT))
     prefix = F.trim(F.substring(log, F.lit(1), F.greatest(at - 1, F.lit(0))))
     short = (prefix == "") | ((F.length(prefix) <= 64) & (F.size(F.split(prefix, r"\s+")) <= 4))
-    return (n >= 2) | ((n == 1) & short)
+    return F.contains(log, F.lit("=")) & (log.rlike(P.KV_TWO) | ((at > 0) & short))
 
 
 def detect_format(log: Column) -> Column:
     """json, syslog, positional_structured, structured_text, kv or plain_text; null for blank text."""
-    return let(F.regexp_replace(log, r"(?U)^\s+|\s+$", ""), _format)
+    return let(F.regexp_replace(log, r"(?U)^\s+|\s+$", ""), format_of)
 
 
-def _format(t: Column) -> Column:
+def format_of(t: Column) -> Column:
     """``detect_format`` of a text without white space at its ends."""
     is_json = F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull()
     structured = _any(*[t.rlike(p) for p in P.STRUCTURED])

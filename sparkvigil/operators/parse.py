@@ -185,7 +185,7 @@ def canonical(raw: DataFrame, text: str = "raw", zone: str | None = None, assign
     if policies is not None:
         held = line_policies.held(assignments, policies).select("_stream", F.col("policy_id").alias("_policy"), F.col("pattern").alias("_pattern"), F.col("groups").alias("_groups"))
         raw = raw.join(held, F.col(stream) == F.col("_stream"), "left").drop("_stream")
-    rows = raw.withColumn("_log", log).withColumn("format", T.detect_format(F.col("_log")))
+    rows = raw.withColumn("_log", log).withColumn("format", T.format_of(F.col("_log")))
     parsed = None
     if policies is not None:
         by_policy = line_policies.fields(F.col("_log"), F.col("_pattern"), F.col("_groups"))

@@ -83,3 +83,17 @@ def test_admission_reads_a_sample_once_and_shuffles_no_text(spark):
     plan = got._jdf.queryExecution()
     assert searches(got) == 0 and "strategy=broadcast" in plan.optimizedPlan().toString()
     assert plan.analyzed().toString().count("map_entries(") == 0
+
+
+def test_format_is_told_without_counting_assignments(spark):
+    texts = ["a=1 b=2", "a=1", "a = \n b\t= 2", "=a b=", "one two three four a=1", "one two three four five a=1", "x" * 70 + " a=1", "x" * 70 + " a=1 b=1", "a==b=1", "a.b-c_=1b=2", "-a=1", "no", "", None, "a=" + " " * 5000 + "b", "k=1 " + "w " * 20000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    log, each = F.col("text"), F.lit(P.KV_ASSIGNMENT)
+    n, prefix = F.regexp_count(log, each), F.trim(F.substring(log, F.lit(1), F.greatest(F.regexp_instr(log, each) - 1, F.lit(0))))
+    counted = (n >= 2) | ((n == 1) & ((prefix == "") | ((F.length(prefix) <= 64) & (F.size(F.split(prefix, r"\s+")) <= 4))))
+    got = rows.select(T.looks_like_kv(log).alias("a"), counted.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and {r.a for r in got} == {True, False, None}
+    plan = rows.select(T.detect_format(log).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(" not in plan
+    formats = parse.canonical(rows.withColumnRenamed("text", "raw")).select("format")._jdf.queryExecution().optimizedPlan().toString()
+    assert formats.count(r"(?U)^\s+|\s+$") == 1  # a text's ends are trimmed once
